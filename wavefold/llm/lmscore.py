@@ -1,0 +1,119 @@
+"""Language-model scoring by cross-entropy difference.
+
+A target and a background model are trigram models over one vocabulary, the 256 byte values (0 also begins and ends a
+text), with the same Witten-Bell interpolation; the background's counts are scaled to the target's size where they are
+more, so that the two are matched. A document's score is the mean over its bytes of target loss less background loss:
+the lower, the more it is like the target. Counts come from every row. Their number can't pass 256 ** 3 however large
+the corpus is, which bounds what the driver gathers and what workers get.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from ._common import ship, slices
+
+RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def trigrams(text: str | None) -> np.ndarray:
+    """Of each byte and of the end, the code of it and the two before it."""
+    b = np.frombuffer(b"\0\0" + (text or "").encode("utf-8", "surrogatepass") + b"\0", np.uint8).astype(np.int32)
+    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+
+
+class _Side:
+    """One model from sorted trigram codes and their counts."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        c3 = counts.astype(np.float64)
+        c2, c1 = np.bincount(codes & 0xFFFF, c3, 1 << 16), np.bincount(codes & 0xFF, c3, 256)
+        k2 = np.bincount(np.arange(1 << 16) >> 8, c2 > 0, 256)
+        p1 = (c1 + 1.0) / (c1.sum() + 256)
+        n1 = np.bincount(np.arange(1 << 16) >> 8, c2, 256)
+        l1 = np.where(n1 + k2 > 0, k2 / np.maximum(n1 + k2, 1e-12), 1.0)
+        prev, last = np.arange(1 << 16) >> 8, np.arange(1 << 16) & 0xFF
+        self.p2 = np.where(n1[prev] > 0, (1 - l1[prev]) * c2 / np.maximum(n1[prev], 1e-12), 0) + l1[prev] * p1[last]
+        n2, kinds = np.bincount(codes >> 8, c3, 1 << 16), np.bincount(codes >> 8, c3 > 0, 1 << 16)
+        self.l2 = np.where(n2 + kinds > 0, kinds / np.maximum(n2 + kinds, 1e-12), 1.0)
+        ctx = codes >> 8
+        p3 = np.where(n2[ctx] > 0, (1 - self.l2[ctx]) * c3 / np.maximum(n2[ctx], 1e-12), 0) + self.l2[ctx] * self.p2[codes & 0xFFFF]
+        self.loss = -np.log(p3)
+
+    def losses(self, codes: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        out = np.empty(len(codes))
+        out[hit] = self.loss[at[hit]]
+        miss = codes[~hit]
+        out[~hit] = -np.log(self.l2[miss >> 8] * self.p2[miss & 0xFFFF])
+        return out
+
+
+class Model:
+    def __init__(self, codes: np.ndarray, target: np.ndarray, background: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, target, background = codes[order].astype(np.int32), target[order].astype(np.float64), background[order].astype(np.float64)
+        scale = min(1.0, target.sum() / max(background.sum(), 1)) if target.sum() else 1.0
+        self.target, self.background = _Side(self.codes, target), _Side(self.codes, background * scale)
+
+    def judge(self, text: str | None) -> tuple[int, float, float]:
+        codes = trigrams(text)
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            hit = self.codes[at] == codes
+        else:
+            at, hit = np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+        return len(codes), float(self.target.losses(codes, at, hit).mean()), float(self.background.losses(codes, at, hit).mean())
+
+
+def counts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """code, n_target, n_background over all texts: those whose doc_id is in `target` count for it, all for the background."""
+
+    def run(batches):
+        total = np.zeros((2, 0), np.int64)
+        codes = np.empty(0, np.int32)
+        for b in slices(batches):
+            own = np.array(b.column("_t").to_pylist(), bool)
+            parts = [trigrams(t) for t in b.column("text").to_pylist()]
+            here, number = np.unique(np.concatenate(parts), return_counts=True)
+            mine = [p for p, o in zip(parts, own, strict=True) if o]
+            t_here, t_number = np.unique(np.concatenate(mine), return_counts=True) if mine else (np.empty(0, np.int32), np.empty(0, np.int64))
+            union = np.union1d(codes, here)
+            new = np.zeros((2, len(union)), np.int64)
+            new[:, np.searchsorted(union, codes)] = total
+            new[1, np.searchsorted(union, here)] += number
+            new[0, np.searchsorted(union, t_here)] += t_number
+            codes, total = union, new
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(total[0]), pa.array(total[1])], ["code", "n_target", "n_background"])
+
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("_t", F.lit(True))
+    joined = marked.join(ids, "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("_t"))
+    return joined.mapInArrow(run, "code int, n_target long, n_background long").groupBy("code").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
+
+
+def train(docs: DataFrame, target: DataFrame) -> Model:
+    ship(docs.sparkSession)
+    t = counts(docs, target).toArrow()  # at most 256 ** 3 rows; null texts aren't counted
+    return Model(*(np.asarray(t.column(c)) for c in ("code", "n_target", "n_background")))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens (bytes and the end), target_loss, background_loss, score for every row, from its whole text.
+
+    Null counts as empty: one token, the end. Null and repeated doc_ids are scored row by row; models without counts
+    are uniform; other columns aren't looked at.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in slices(batches):
+            got = [m.judge(t) for t in b.column("text").to_pylist()]
+            t, g = np.array([x[1] for x in got]), np.array([x[2] for x in got])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in got], pa.int64()), pa.array(t), pa.array(g), pa.array(t - g)], [x.split()[0] for x in RESULT.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
