@@ -1,4 +1,60 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import os
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..sources import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver was started."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+
+
+def query(sql: str | None = None, *ctes: str):
+    """Registers a function under its name; `ctes` names views that the SQL reads."""
+
+    def add(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            head = ", ".join(views.SQL[c] for c in ctes)
+            ORACLE_SQL[f.__name__] = (f"with {head} {', ' + sql.strip()[5:] if sql.strip().lower().startswith('with ') else sql}") if head else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Sums in another order differ in their last bits; + 0.0 makes -0.0 plain."""
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+def r(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["segment_combiners"](spark, sf_dir)
+
+
+def load() -> None:
+    from . import evaluation_queries, family_queries, model_queries, relational_queries, signal_queries, stream_queries  # noqa: F401
