@@ -100,12 +100,12 @@ def zero_crossings(spark, sf_dir):
 def _nleo_sql(inner: str, edge: int) -> str:
     return f"""with w as (select rec, ch, t, v, count(*) over (partition by rec, ch) as n,
 lag(v, 1) over o as p1, lag(v, 2) over o as p2, lag(v, 3) over o as p3, lead(v, 1) over o as f1 from evt window o as (partition by rec, ch order by t))
-select rec, ch, {r(f'sum(case when t >= {edge + 1} and t < n - {edge + 1} then {inner} else 0 end)', 2)} as nleo from w group by all"""
+select rec, ch, {r(f'sum(case when t >= {edge + 1} and t < n - {edge + 1} then {inner} else 0 end)', 5)} as nleo from w group by all"""
 
 
 def _nleo(spark, sf_dir, *lags: int, absolute: bool = False) -> DataFrame:
     x = S.nleo(evt_signal(spark, sf_dir), ["rec", "ch"], *lags)
-    return rounded(x.groupBy("rec", "ch").agg(F.sum(F.abs("nleo") if absolute else F.col("nleo")).alias("nleo")), "nleo", digits=2)
+    return rounded(x.groupBy("rec", "ch").agg(F.sum(F.abs("nleo") if absolute else F.col("nleo")).alias("nleo")), "nleo", digits=5)
 
 
 @query(_nleo_sql("v * v - p1 * f1", 2), "evt")
