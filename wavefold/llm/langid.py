@@ -159,7 +159,7 @@ def _pick(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def train(docs: DataFrame, per_language: int = 300, share: float = 0.99, margin: float = 1.0, order: int = ORDER) -> Model:
+def train(docs: DataFrame, per_language: int = 300, share: float = 0.99, margin: float = 0.5, order: int = ORDER) -> Model:
     """Fits on a bounded sample of labelled rows: about `per_language` of each language, drawn by a hash of doc_id; a
     fifth of them calibrate. Rows whose text or language is null don't count. No rows: everything is unknown."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and text is not null")
