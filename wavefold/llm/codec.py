@@ -63,7 +63,7 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(ids.tolist(), null, strict=True)], lengths, tokens
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = 4_000_000) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = 8_000_000) -> DataFrame:
     """The files of all documents: part, file_no, n_docs, n_tokens, content.
 
     Null counts as empty: the end id alone. Rows with a null doc_id come first; rows that repeat one are written as

@@ -1,10 +1,10 @@
 """An adaptive context-mixing range coder for token ids, run over many blocks in step.
 
 Blocks are independent: each begins with empty models and has a checksum of its ids. That lets NumPy code token t of all
-blocks at once. A token is first predicted: the order-2 model names the id last seen after the same two ids, the order-1
-model the one last seen after the same id; how often each was right lately selects an adaptive mix of three chances
-(order 2 is right, order 1 is right, neither). If neither is, the id is coded in four nibbles: the first three under
-adaptive order-0 counts (the first one's mixed with those after the previous id's first nibble), the last as it is.
+blocks at once. Three models predict a token: order 2 names the id last seen after the same two ids, order 1 the one
+last seen after the same id, order 0 the ids lately seen at all, one in each of 512 slots. How often the first two were
+right lately selects adaptive counts, in which the chances of the four outcomes mix: order 2 is right, order 1 is, the id
+is in its slot, or none. The outcome is coded by these counts, then the slot's number or the id itself evenly.
 """
 
 from __future__ import annotations
@@ -13,58 +13,60 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-SLOTS = 1024
+BLOCK = 4096
+SLOTS, CACHE_BITS = 1024, 9
 _U = np.uint64
 _32 = _U(32)
 _LOW = _U(0xFFFFFFFF)
-_STEP = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.int16)
-_FLAT = np.arange(17, dtype=np.int16)
+_16 = _U(0xFFFF)
+_SHIFT = np.array([0, 16, 32, 48], _U)
+_STEP = _U(24) << _SHIFT
+_HALF, _ONES = _U(0x7FFF7FFF7FFF7FFF), _U(0x0001000100010001)
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (ids * 40503 >> 6) & ((1 << CACHE_BITS) - 1)
 
 
 class _Models:
+    """Of each lane: slots of the three orders (an id, and for orders 1 and 2 above it how often it was right), and counts."""
+
     def __init__(self, lanes: int):
-        self.p1, self.p2 = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.c1, self.c2 = np.zeros(lanes * SLOTS, np.uint8), np.zeros(lanes * SLOTS, np.uint8)
-        self.mix = np.full((lanes * 32, 3), 8, np.int32)
-        self.first, self.after = np.tile(_FLAT, (lanes, 1)), np.tile(_FLAT, (lanes * 16, 1))
-        self.second, self.third = np.tile(_FLAT, (lanes * 16, 1)), np.tile(_FLAT, (lanes * 256, 1))
+        self.o1, self.o2 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
+        self.o0 = np.zeros(lanes << CACHE_BITS, np.uint16)
+        self.counts = np.full(lanes * 32, _U(8) * _ONES, _U)
         self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the id before, the one before that
         self.lane = np.arange(lanes)
+        self.at1, self.at0, self.at_counts = self.lane * SLOTS, self.lane << CACHE_BITS, self.lane * 32
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        a, b, lane = self.a[:n], self.b[:n], self.lane[:n]
-        s1 = lane * SLOTS + ((a * 40503 >> 4) & (SLOTS - 1))
-        s2 = lane * SLOTS + (((a * 40503) ^ (b * 30011) ^ (b >> 5)) & (SLOTS - 1))
-        p1, p2 = self.p1[s1].astype(np.int64), self.p2[s2].astype(np.int64)
-        ctx = lane * 32 + self.c2[s2] * 4 + self.c1[s1] + 16 * (p1 == p2)
-        return s1, s2, p1, p2, ctx
-
-    def learn(self, ids: np.ndarray, s1, s2, p1, p2, ctx, symbol) -> None:
-        n = len(ids)
-        for p, c, s, was in ((self.p1, self.c1, s1, p1), (self.p2, self.c2, s2, p2)):
-            right = was == ids
-            conf = c[s]
-            p[s] = ids
-            c[s] = np.where(right, np.minimum(conf + 1, 3), conf >> 1)
-        row = self.mix[ctx]
-        row[self.lane[:n], symbol] += 24
-        big = row.sum(axis=1) > 2000
-        if big.any():
-            row[big] = (row[big] + 1) >> 1
-        self.mix[ctx] = row
+        """Places of orders 1 and 2, their entries and ids, the place of the counts and the running sums of the counts."""
+        a, b = self.a[:n] * 40503, self.b[:n] * 30011
+        s1, s2 = self.at1[:n] + ((a >> 4) & (SLOTS - 1)), self.at1[:n] + ((a ^ b ^ (b >> 7)) & (SLOTS - 1))
+        e1, e2 = self.o1[s1], self.o2[s2]
+        p1, p2 = (e1 & 0xFFFF).astype(np.int64), (e2 & 0xFFFF).astype(np.int64)
+        ctx = self.at_counts[:n] + ((e2 >> 16) * 4 + (e1 >> 16)) + ((p1 == p2) << 4)
+        row = self.counts[ctx]
+        # The four counts' running sums, each in 16 bits.
+        sums = row * _ONES
+        return s1, s2, e1, e2, p1, p2, ctx, row, sums
+
+    def learn(self, ids: np.ndarray, made: tuple[np.ndarray, ...], symbol: np.ndarray) -> None:
+        s1, s2, e1, e2, p1, p2, ctx, row, sums = made
+        n, own = len(ids), ids.astype(np.uint32)
+        for table, s, e, p in ((self.o1, s1, e1, p1), (self.o2, s2, e2, p2)):
+            conf = e >> 16
+            table[s] = own | (np.where(p == ids, np.minimum(conf + 1, 3), conf >> 1).astype(np.uint32) << 16)
+        self.o0[self.at0[:n] + _slot(ids)] = own
+        row = row + _STEP[symbol]
+        big = np.flatnonzero((sums >> _U(48)) > 4000)
+        if len(big):
+            row[big] = ((row[big] >> _U(1)) & _HALF) | _ONES
+        self.counts[ctx] = row
         self.b[:n] = self.a[:n]
         self.a[:n] = ids
 
 
-def _raise(table: np.ndarray, at: np.ndarray, row: np.ndarray, s: np.ndarray) -> None:
-    row = row + _STEP[s] * np.int16(24)
-    big = row[:, 16] > 2000
-    if big.any():
-        row[big] = ((row[big] - _FLAT) >> 1) + _FLAT
-    table[at] = row
-
-
 class _Coder:
     """Carryless 64-bit range coders in step, with output and input in 32-bit words."""
 
@@ -77,26 +79,20 @@ class _Coder:
             self.code = (self.words[:, 0].astype(_U) << _32) | self.words[:, 1]
             self.at += 2
 
-    def target(self, sel, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = self.range[sel] // total.astype(_U)
-        return r, np.minimum(((self.code[sel] - self.low[sel]) // r).astype(np.int64), total - 1)
-
-    def narrow(self, sel, cum: np.ndarray, freq: np.ndarray, total: np.ndarray | None = None, r: np.ndarray | None = None) -> None:
-        """sel: all of the first lanes (a slice) or some (their numbers)."""
-        if r is None:
-            r = self.range[sel] // total.astype(_U)
-        low, width = self.low[sel] + r * cum.astype(_U), r * freq.astype(_U)
-        end = low + (width - _U(1))
-        same = (low >> _32) == (end >> _32)
-        out = np.flatnonzero(same | (width < _U(1 << 24)))
+    def narrow(self, sel, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
+        """Of lanes `sel` (the first ones or some), each worth r a count: takes `freq` counts after `cum`."""
+        low, width = self.low[sel] + r * cum, r * freq
+        out = np.flatnonzero(width < _U(1 << 40))
         if len(out):
-            lo = low[out]
-            wide = np.where(same[out], width[out], (~lo + _U(1)) & _LOW)
+            lo, wide = low[out], width[out]
+            same = (lo >> _32) == ((lo + (wide - _U(1))) >> _32)
+            go = same | (wide < _U(1 << 24))
+            out, lo, wide = out[go], lo[go], np.where(same, wide, (~lo + _U(1)) & _LOW)[go]
             lanes = sel[out] if isinstance(sel, np.ndarray) else out
             at = self.at[lanes]
             if self.decoding:
                 self.code[lanes] = (self.code[lanes] << _32) | self.words[lanes, np.minimum(at, self.words.shape[1] - 1)]
-            else:
+            elif len(at):
                 if at.max() + 4 > self.words.shape[1]:
                     self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1])))
                 self.words[lanes, at] = lo >> _32
@@ -134,36 +130,23 @@ def encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     for t in range(max(lengths)):
         n = lanes if t < lengths[-1] else lanes - 1
         x = columns[t, :n]
-        s1, s2, p1, p2, ctx = models.predict(n)
-        symbol = np.where(x == p2, 0, np.where(x == p1, 1, 2))
-        f = models.mix[ctx]
-        sums = f.cumsum(axis=1)
-        freq = f[models.lane[:n], symbol]
-        coder.narrow(slice(0, n), sums[models.lane[:n], symbol] - freq, freq, sums[:, 2])
-        esc = np.flatnonzero(symbol == 2)
-        if len(esc):
-            y, before, k = x[esc], models.a[esc] >> 12, np.arange(len(esc))
-            for table, at, s, mixed in _nibbles(models, esc, y, before):
-                row = table[at]
-                both = row.astype(np.int64) + models.first[esc] if mixed else row
-                cum = both[k, s]
-                coder.narrow(esc, cum, both[k, s + 1] - cum, both[:, 16])
-                if mixed:
-                    _raise(models.first, esc, models.first[esc], s)
-                _raise(table, at, row, s)
-            coder.narrow(esc, y & 15, np.ones(len(esc), np.int64), np.full(len(esc), 16))
-        models.learn(x, s1, s2, p1, p2, ctx, symbol)
+        made = models.predict(n)
+        p1, p2, row, sums = made[4], made[5], made[7], made[8]
+        slot = _slot(x)
+        symbol = np.where(x == p2, 0, np.where(x == p1, 1, np.where(models.o0[models.at0[:n] + slot] == x, 2, 3)))
+        shift = _SHIFT[symbol]
+        freq = (row >> shift) & _16
+        coder.narrow(slice(0, n), coder.range[:n] // (sums >> _U(48)), ((sums >> shift) & _16) - freq, freq)
+        rest = np.flatnonzero(symbol >= 2)
+        if len(rest):
+            cached = symbol[rest] == 2
+            coder.narrow(rest, coder.range[rest] >> np.where(cached, _U(CACHE_BITS), _U(16)), np.where(cached, slot[rest], x[rest]).astype(_U), _U(1))
+        models.learn(x, made, symbol)
     raw = ids.tobytes()
     begins = np.concatenate([[0], np.cumsum(lengths)]).tolist()
     return [(n, zlib.crc32(raw[4 * b : 4 * (b + n)]), payload) for n, b, payload in zip(lengths, begins, coder.finish(), strict=False)]
 
 
-def _nibbles(m: _Models, esc: np.ndarray, y: np.ndarray, before: np.ndarray):
-    yield m.after, esc * 16 + before, y >> 12, True
-    yield m.second, esc * 16 + (y >> 12), (y >> 8) & 15, False
-    yield m.third, esc * 256 + (y >> 8), (y >> 4) & 15, False
-
-
 def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of blocks in the order encode() gave them; raises ValueError where a checksum doesn't hold."""
     lanes = len(blocks)
@@ -177,33 +160,26 @@ def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     models, coder = _Models(lanes), _Coder(lanes, words)
     for t in range(max(lengths)):
         n = lanes if t < lengths[-1] else lanes - 1
-        s1, s2, p1, p2, ctx = models.predict(n)
-        sums = models.mix[ctx].cumsum(axis=1)
-        r, v = coder.target(slice(0, n), sums[:, 2])
-        symbol = (v >= sums[:, 0]).astype(np.int64) + (v >= sums[:, 1])
-        lane = models.lane[:n]
-        low = np.where(symbol > 0, sums[lane, symbol - 1], 0)
-        coder.narrow(slice(0, n), low, sums[lane, symbol] - low, r=r)
+        made = models.predict(n)
+        p1, p2, row, sums = made[4], made[5], made[7], made[8]
+        total = sums >> _U(48)
+        r = coder.range[:n] // total
+        v = np.minimum((coder.code[:n] - coder.low[:n]) // r, total - _U(1))
+        symbol = (v >= (sums & _16)).astype(np.int64) + (v >= ((sums >> _U(16)) & _16)) + (v >= ((sums >> _32) & _16))
+        shift = _SHIFT[symbol]
+        freq = (row >> shift) & _16
+        coder.narrow(slice(0, n), r, ((sums >> shift) & _16) - freq, freq)
         x = np.where(symbol == 0, p2, p1)
-        esc = np.flatnonzero(symbol == 2)
-        if len(esc):
-            k, y = np.arange(len(esc)), np.zeros(len(esc), np.int64)
-            for table, shift in ((models.after, 12), (models.second, 8), (models.third, 4)):
-                at = esc * 16 + (models.a[esc] >> 12) if shift == 12 else esc * 16 + (y >> 12) if shift == 8 else esc * 256 + (y >> 8)
-                row = table[at]
-                both = row.astype(np.int64) + models.first[esc] if shift == 12 else row
-                r, v = coder.target(esc, both[:, 16].astype(np.int64))
-                s = (both[:, 1:16] <= v[:, None]).sum(axis=1)
-                cum = both[k, s]
-                coder.narrow(esc, cum, both[k, s + 1] - cum, r=r)
-                if shift == 12:
-                    _raise(models.first, esc, models.first[esc], s)
-                _raise(table, at, row, s)
-                y += s << shift
-            r, v = coder.target(esc, np.full(len(esc), 16))
-            coder.narrow(esc, v, np.ones(len(esc), np.int64), r=r)
-            x[esc] = y + v
-        models.learn(x, s1, s2, p1, p2, ctx, symbol)
+        rest = np.flatnonzero(symbol >= 2)
+        if len(rest):
+            cached = symbol[rest] == 2
+            bits = np.where(cached, _U(CACHE_BITS), _U(16))
+            r = coder.range[rest] >> bits
+            v = np.minimum((coder.code[rest] - coder.low[rest]) // r, (_U(1) << bits) - _U(1))
+            coder.narrow(rest, r, v, _U(1))
+            v = v.astype(np.int64)
+            x[rest] = np.where(cached, models.o0[models.at0[rest] + np.where(cached, v, 0)], v)
+        models.learn(x, made, symbol)
         columns[t, :n] = x
     ids = np.ascontiguousarray(columns.T).ravel()
     out = np.concatenate([ids[k * BLOCK : k * BLOCK + n] for k, n in enumerate(lengths)]).astype("<u4")
