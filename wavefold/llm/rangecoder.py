@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 SLOTS, CACHE_BITS = 1024, 9
 _U = np.uint64
 _32 = _U(32)
