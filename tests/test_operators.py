@@ -36,6 +36,9 @@ def test_montages(spark):
         for r in signal.montage(s, name).collect():
             got[r.out_ch, r.t] = r.v
         assert np.allclose(got, want)
+        arrays = frame(spark, [(0, c, x[c].tolist()) for c in range(20)] + [(1, 0, [1.0])], "rec long, ch long, samples array<double>")
+        rows = signal.montage_arrays(arrays, name).collect()
+        assert {r.rec for r in rows} == {0} and np.allclose([r.samples for r in sorted(rows, key=lambda r: r.out_ch)], want)
     assert np.allclose((families.montage_matrix("CAR") @ x[:19]).sum(axis=0), 0)
     with pytest.raises(ValueError):
         signal.weights("none")

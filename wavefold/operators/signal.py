@@ -47,6 +47,48 @@ def montage(signal: DataFrame, name: str, include_stim: bool = False) -> DataFra
     return wide.select("rec", "t", F.posexplode(F.array(*outs)).alias("out_ch", "v")).where("v is not null").select("rec", F.col("out_ch").cast("long").alias("out_ch"), "t", "v")
 
 
+def _times(w: float):
+    return lambda a: a * w
+
+
+def _plus(w: float):
+    return lambda a, b: a + b * w
+
+
+def montage_arrays(arrays: DataFrame, name: str) -> DataFrame:
+    """The same from rec, ch, samples to rec, out_ch, samples: one shuffle by recording, of arrays and not of samples.
+    Recordings without all EEG channels have no rows."""
+    rows = arrays.where(F.col("ch") < EEG).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("ch", "samples"))).alias("_c")).where(F.size("_c") == EEG)
+    x = rows.select("rec", F.transform("_c", lambda c: c.samples).alias("_x"))
+    at = lambda k: F.col("_x")[k]
+    if name == "CAR":
+        mean = F.transform(F.sequence(F.lit(0), F.size(at(0)) - 1), lambda t: F.aggregate("_x", F.lit(0.0), lambda s, c: s + c[t]) / EEG)
+        x = x.withColumn("_m", F.when(F.size(at(0)) > 0, mean).otherwise(F.array().cast("array<double>")))
+        outs = [F.zip_with(at(k), F.col("_m"), lambda a, b: a - b) for k in range(EEG)]
+    else:
+        outs = []
+        for row in weights(name):
+            (k, w), *rest = row.items()
+            out = at(k) if w == 1 else F.transform(at(k), _times(w))
+            for j, v in rest:
+                out = F.zip_with(out, at(j), _plus(v))
+            outs.append(out)
+    return x.select("rec", F.posexplode(F.array(*outs)).alias("out_ch", "samples")).select("rec", F.col("out_ch").cast("long").alias("out_ch"), "samples")
+
+
+def array_segments(arrays: DataFrame, length: int) -> DataFrame:
+    """Adds seg and cuts samples to it; a signal shorter than one window is one segment."""
+    n = F.size("samples")
+    count = F.greatest(F.floor(n / F.lit(length)), F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: F.slice("samples", (k * length + 1).cast("int"), F.lit(length)))
+    return arrays.select(*[c for c in arrays.columns if c != "samples"], F.posexplode(cut).alias("seg", "samples"))
+
+
+def array_energy(seg: DataFrame) -> DataFrame:
+    """Adds energy and vpp of each segment's samples."""
+    return seg.withColumn("energy", F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v)).withColumn("vpp", F.array_max("samples") - F.array_min("samples"))
+
+
 def segments(signal: DataFrame, length: int, fallback: bool = True, by: tuple[str, ...] = ("rec", "ch")) -> DataFrame:
     """Adds seg: tumbling windows of `length` samples without the incomplete last one. With `fallback` a signal shorter
     than one window is one segment, else it has none."""

@@ -25,6 +25,12 @@ def _montage(name: str):
     return query(_weights_sql(name), "sig")(f)
 
 
+@query(_weights_sql("BipolarDB"), "sig")
+def montage_arrays(spark, sf_dir):
+    m = S.montage_arrays(emb_arrays(spark, sf_dir), "BipolarDB")
+    return rounded(m.select("rec", "out_ch", F.posexplode("samples").alias("t", "v")).withColumn("t", F.col("t").cast("long")), "v")
+
+
 for _name in ("CAR", "Cz", "BipolarDB", "Laplacian"):
     _montage(_name)
 
@@ -73,9 +79,8 @@ def combiner_unbiased(spark, sf_dir):
 f as (select rec, ch as out_ch, t // 16 as seg, sum(v * v) as energy, max(v) - min(v) as vpp from car group by all)
 select rec, out_ch, {r('avg(energy)', 5)} as energy_mean, {r('median(energy)', 5)} as energy_median, {r('stddev_samp(energy)', 5)} as energy_std, {r('avg(vpp)', 5)} as vpp_mean, {r('max(vpp)', 5)} as vpp_max from f group by all""", "sig")
 def segment_combiners(spark, sf_dir):
-    """The flagship: common-average montage, tumbling segments, measures, combiners."""
-    m = S.segments(S.montage(emb_signal(spark, sf_dir), "CAR"), 16, by=("rec", "out_ch"))
-    f = S.temporal_basic(m, ["rec", "out_ch", "seg"])
+    """The flagship: common-average montage, tumbling segments, measures, combiners, all behind one shuffle by recording."""
+    f = S.array_energy(S.array_segments(S.montage_arrays(emb_arrays(spark, sf_dir), "CAR"), 16))
     out = f.groupBy("rec", "out_ch").agg(F.avg("energy").alias("energy_mean"), F.median("energy").alias("energy_median"), F.stddev_samp("energy").alias("energy_std"), F.avg("vpp").alias("vpp_mean"), F.max("vpp").alias("vpp_max"))
     return rounded(out, "energy_mean", "energy_median", "energy_std", "vpp_mean", "vpp_max", digits=5)
 
