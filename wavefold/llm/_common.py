@@ -12,11 +12,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Entries a worker keeps of what it has computed for a word; a full table starts again empty, which changes no result.
+#: Entries a worker keeps of what a word encodes to; a full table starts again empty, which changes no result.
 CACHE_ENTRIES = 600_000
 #: UTF-8 bytes of text a worker takes at a time out of an Arrow batch.
 SLICE_BYTES = 2_000_000
@@ -71,23 +70,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-class HashCache(dict):
-    """word -> 64-bit hash."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_words = HashCache()
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), _U, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> _U(30))
@@ -110,14 +92,14 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def sliding_min_places(h: np.ndarray, w: int) -> np.ndarray:
-    """Winnowing: of each run of w consecutive hashes the place of the smallest, the last one of equals."""
-    k = max(len(h) - w + 1, 0)
-    best, at = h[:k].copy(), np.arange(k)
-    for j in range(1, w):
-        other = h[j : j + k]
-        take = np.flatnonzero(other <= best)
-        best[take] = other[take]
-        at[take] = take + j
+    """Winnowing: of each run of w consecutive hashes the place of the smallest, the last one of equals. Runs are made of
+    shorter ones, doubled."""
+    best, at, have = h, np.arange(len(h)), 1
+    while have < w and len(best):
+        step = min(have, w - have)
+        take = best[step:] <= best[:-step]
+        best, at = np.where(take, best[step:], best[:-step]), np.where(take, at[step:], at[:-step])
+        have += step
     return at
 
 
@@ -131,6 +113,68 @@ def sliding_min_choice(h: np.ndarray, w: int) -> np.ndarray:
     return at[keep]
 
 
+class Words:
+    """What is a word, by bytes of UTF-8; `fold` says which byte another counts as."""
+
+    def __init__(self, inside: np.ndarray, fold: np.ndarray):
+        self.inside = inside
+        self.code = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U)[fold]
+
+    def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word of all texts, and where each text's words begin (one more than texts)."""
+        raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        raw = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+        out, places, at = [np.empty(0, _U)], [np.empty(0, np.int64)], 0
+        while at < len(raw):
+            end = min(at + _BLOCK, len(raw))
+            while end < len(raw) and self.inside[raw[end - 1]] and self.inside[raw[end]]:  # words stay whole
+                gaps = np.flatnonzero(~self.inside[raw[end : end + _BLOCK]])
+                end = end + int(gaps[0]) if len(gaps) else min(end + _BLOCK, len(raw))
+            h, start = self._block(raw[at:end])
+            out.append(h)
+            places.append(start + at)
+            at = end
+        return np.concatenate(out), np.concatenate([[0], np.searchsorted(np.concatenate(places), ends)])
+
+    def _block(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A word's hash is the sum of its bytes' codes times powers of an odd number, from differences of one running sum."""
+        inside = self.inside[raw]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        power, inverse = _powers(len(raw))
+        run = np.concatenate([np.zeros(1, _U), np.cumsum(self.code[raw] * power, dtype=_U)])
+        return mix((run[end] - run[start]) * inverse[start] + (end - start).astype(_U)), start
+
+
+_BLOCK = 1 << 18
+_table: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_table[0]) < n:
+        for k, base in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+            x = np.full(max(n, _BLOCK), base, _U)
+            x[0] = 1
+            _table[k] = np.multiply.accumulate(x)
+    return _table[0][:n], _table[1][:n]
+
+
+_ALL = np.arange(256)
+#: Runs of anything but space and the five controls from tab on, unchanged.
+SPACED = Words(~np.isin(_ALL, [32, 9, 10, 11, 12, 13]), _ALL)
+#: Runs of digits, ASCII letters (large as small) and all beyond ASCII.
+LETTERS = Words((_ALL >= 0x80) | ((_ALL >= 0x30) & (_ALL <= 0x39)) | ((_ALL | 0x20) >= 0x61) & ((_ALL | 0x20) <= 0x7A) & (_ALL >= 0x41), np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL))
+
+
+def whole(first: np.ndarray, n: int, total: int) -> np.ndarray:
+    """Of runs of n words that begin at each of `total` - n + 1 words, whether they lie in one text."""
+    ok = np.ones(max(total - n + 1, 0), bool)
+    for j in range(1, n):
+        ok[np.clip(first[1:-1] - j, 0, None)[(first[1:-1] - j >= 0) & (first[1:-1] - j < len(ok))]] = False
+    return ok
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """uint64 as Spark's long."""
     return h.view(np.int64)

@@ -12,24 +12,21 @@ document moves. Beyond, fingerprints and then windows of the documents that matc
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import Stored, ngram_hashes, ship, signed, slices, sliding_min_choice, table, word_hashes
+from ._common import LETTERS, Stored, ngram_hashes, ship, signed, slices, sliding_min_choice, sliding_min_places, table, whole
 
 WINDOW, K = 10, 5
-#: What counts as a word, after A-Z became a-z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_word = re.compile(WORD)
-_small = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def words(text: str | None) -> list[str]:
-    return _word.findall(text.translate(_small)) if text else []
+def each(texts: list[str | None]) -> list[np.ndarray]:
+    """Word hashes of every text."""
+    h, first = LETTERS.hashes(texts)
+    return [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def _windows(h: np.ndarray) -> tuple[int, np.ndarray]:
@@ -49,8 +46,8 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                n, w = _windows(word_hashes(words(text)))
+            for item, h in zip(b.column("item_id").to_pylist(), each(b.column("text").to_pylist()), strict=True):
+                n, w = _windows(h)
                 w = np.unique(w)
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(w), pa.int32()), pa.array(signed(w)), pa.array([item] * len(w), pa.int64())], ["len", "hash", "item_id"])
 
@@ -60,8 +57,7 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
 def benchmark_fingerprints(bench: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
-            for text in b.column("text").to_pylist():
-                h = word_hashes(words(text))
+            for h in each(b.column("text").to_pylist()):
                 if len(h) >= WINDOW:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(_fingerprints(h)[1]))], ["fp"])
 
@@ -132,15 +128,30 @@ def decontaminate(docs: DataFrame, bench: DataFrame, most_windows: int = 2_000_0
     def run(batches):
         index = shared.value
         for b in slices(batches):
-            out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = word_hashes(words(text))
-                out.append(_row(doc, len(h), *_judge(h, index)))
-            yield _batch(out)
+            h, first = LETTERS.hashes(b.column("text").to_pylist())
+            begin, end = first[:-1].tolist(), first[1:].tolist()
+            maybe = _candidates(h, first, index)
+            yield _batch([_row(doc, e - a, *(_judge(h[a:e], index) if m else (0, ()))) for doc, a, e, m in zip(b.column("doc_id").to_pylist(), begin, end, maybe, strict=True)])
 
     return table(docs).mapInArrow(run, RESULT)
 
 
+def _candidates(h: np.ndarray, first: np.ndarray, index: _Index) -> list[bool]:
+    """Which of the texts whose words follow each other in h hold a fingerprint, or the hash of a short item."""
+    hit = []
+    for n, (keys, _, _) in index.by.items():
+        if n == WINDOW:
+            at = np.unique(sliding_min_places(ngram_hashes(h, K), WINDOW - K + 1)[whole(first, WINDOW, len(h))])
+            own, keys = ngram_hashes(h, K)[at], index.fps
+        else:
+            at = np.flatnonzero(whole(first, n, len(h)))
+            own = ngram_hashes(h, n)[at]
+        if len(keys) and len(own):
+            hit.append(at[_within(keys, signed(own))[0]])
+    places = np.sort(np.concatenate(hit)) if hit else np.empty(0, np.int64)
+    return (np.diff(np.searchsorted(places, first)) > 0).tolist()
+
+
 def _batch(out: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [x.split()[0] for x in RESULT.split(", ")])
@@ -153,8 +164,7 @@ def _joined(docs: DataFrame, windows: DataFrame, fps: DataFrame) -> DataFrame:
     def exploded(full: bool):
         def run(batches):
             for b in slices(batches):
-                for doc, key, text in zip(b.column("doc_id").to_pylist(), b.column("_key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    h = word_hashes(words(text))
+                for doc, key, h in zip(b.column("doc_id").to_pylist(), b.column("_key").to_pylist(), each(b.column("text").to_pylist()), strict=True):
                     for n in [*short, WINDOW] if full else [WINDOW]:
                         g = ngram_hashes(h, n) if full else _fingerprints(h)[1] if len(h) >= n else h[:0]
                         yield pa.RecordBatch.from_arrays([pa.array([doc] * len(g), pa.int64()), pa.array([key] * len(g), pa.int64()), pa.array([n] * len(g), pa.int32()), pa.array(np.arange(len(g)), pa.int32()), pa.array(signed(g))], ["doc_id", "_key", "len", "pos", "hash"])
@@ -173,8 +183,8 @@ def _joined(docs: DataFrame, windows: DataFrame, fps: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             out = []
-            for doc, text, spans, items in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "_spans", "_items")), strict=True):
-                n = len(words(text))
+            for doc, h, spans, items in zip(b.column("doc_id").to_pylist(), each(b.column("text").to_pylist()), b.column("_spans").to_pylist(), b.column("_items").to_pylist(), strict=True):
+                n = len(h)
                 covered = np.zeros(n + 1, np.int64)
                 for s in spans or []:
                     covered[s["pos"]] += 1

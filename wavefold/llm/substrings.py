@@ -1,9 +1,10 @@
 """Removal of repeated word windows, found level by level with doubling lengths.
 
-Windows of a quarter's length that occur only once can't lie in a longer window that repeats, so only windows repeated at
-one length are extended to twice that length, 5 to 10 to 20 for windows of 20, or until no
-candidate survives. The first level is thinned by winnowing, at no loss: of each long window only the start-sized window with the
-smallest hash is counted, and that choice depends on the words alone. Windows are carried as 64-bit hashes.
+Windows of a quarter's length that occur only once can't lie in a longer window that repeats, so only what is repeated
+at one length is extended to twice that length: 5, 10, 20 words, or until no candidate survives. The two lower levels
+are thinned by winnowing, at no loss: each whole window is counted by the smallest hash of a shorter window in it, a
+choice that depends on its words alone, so two equal whole windows are counted by equal ones at the same place. Windows
+are carried as 64-bit hashes.
 
 Hot windows (a passage in a third of all rows) stay harmless: counts and first places are partial aggregates, and the
 joins back are plain equi-joins that adaptive execution splits.
@@ -12,25 +13,19 @@ joins back are plain equi-joins that adaptive execution splits.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import Stored, free_shuffles, mix, ngram_hashes, ship, signed, slices, sliding_min_choice, sliding_min_places, table, word_hashes
+from ._common import SPACED, Stored, free_shuffles, mix, ngram_hashes, ship, signed, slices, sliding_min_places, table, whole
 
 WINDOW = 20
-#: Fixed value: what counts as a word.
-_word = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def words(text: str | None) -> list[str]:
-    return _word.findall(text) if text else []
-
-
 def _doubled(h: np.ndarray, length: int, start: int) -> np.ndarray:
     """Hashes of the windows of `length` words: a window's from those of its halves."""
     g, n = ngram_hashes(h, start), start
@@ -40,77 +35,66 @@ def _doubled(h: np.ndarray, length: int, start: int) -> np.ndarray:
     return g if n == length else g[:0]
 
 
-def _anchors(h: np.ndarray, window: int, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the thinned first level; none in a document shorter than a window."""
-    if len(h) < window:
-        return np.empty(0, np.int64), h[:0]
-    g = ngram_hashes(h, start)
-    at = sliding_min_choice(g, window - start + 1)
-    return at, g[at]
+def _level(h: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes at a level, and for each whole window the place of the one it is counted by (itself at the last level)."""
+    g = _doubled(h, length, window // 4)
+    return g, sliding_min_places(g, window - length + 1)
 
 
-def _rows(out: list[tuple[int, np.ndarray, list[np.ndarray]]], names: list[str]) -> pa.RecordBatch:
-    n = [len(p) for _, p, _ in out]
-    doc = np.repeat(np.array([d for d, _, _ in out], np.int64), n)
-    cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
-    cols = [pa.array(doc), pa.array(cat([p for _, p, _ in out], np.int64).astype(np.int32))]
-    cols += [pa.array(signed(cat([c[k] for _, _, c in out], _U))) for k in range(len(names) - 2)]
-    return pa.RecordBatch.from_arrays(cols, names)
+def _emit(length: int, below: int | None, window: int):
+    """Rows doc_id, pos, h of a level; where there is a level below, only for windows whose place there is in `places`."""
 
+    def run(batches):
+        for b in slices(batches):
+            h, first = SPACED.hashes(b.column("text").to_pylist())
+            ok = whole(first, window, len(h))
+            if below is not None:
+                counts = np.asarray(pc.list_value_length(b.column("places")))
+                kept = np.zeros(len(h) + 1, bool)
+                flat = np.asarray(b.column("places").flatten(), np.int64) + np.repeat(first[:-1], counts)
+                kept[flat[flat < len(h)]] = True
+                ok &= kept[_level(h, below, window)[1]]
+            g, at = _level(h, length, window)
+            at = np.unique(at[ok])
+            doc = np.searchsorted(first, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column("doc_id"))[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(signed(g[at]))], ["doc_id", "pos", "h"])
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose hash occurs more than once."""
-    return rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h"), "h", "left_semi")
+    return run
 
 
-def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, places: where in a document a window starts whose words also start earlier, by doc_id and then by place."""
-    spark = docs.sparkSession
-    half, start = window // 2, window // 4
-    if window != 4 * start:
-        raise ValueError("the window is start * 2 * 2 words")
+ROWS = "doc_id long, pos int, h long"
+PLACE_BITS = 24
 
-    def first(batches):
-        for b in slices(batches):
-            yield _rows([(d, at, [g]) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for at, g in [_anchors(word_hashes(words(t)), window, start)]], ["doc_id", "pos", "h"])
 
-    level = Stored(docs.mapInArrow(first, "doc_id long, pos int, h long"), "windows")
-    kept = Stored(_repeated(level.df).groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "places")
-    level.drop()
-    free_shuffles(spark)
+def _place(small: bool) -> Column:
+    """doc_id and pos in order: as one long where they fit, else as a struct."""
+    return F.shiftleft("doc_id", PLACE_BITS) + F.col("pos") if small else F.struct("doc_id", "pos")
 
-    def extend(batches):
-        for b in slices(batches):
-            out = []
-            for d, t, places in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("places"), strict=True):
-                h = word_hashes(words(t))
-                if len(h) < window:
-                    continue
-                # A window survives if the anchor it is counted by does.
-                alive = np.isin(sliding_min_places(ngram_hashes(h, start), window - start + 1), places.values.to_numpy())
-                need = np.zeros(len(h) - half + 1, bool)
-                need[: len(alive)] |= alive
-                need[half:] |= alive
-                at = np.flatnonzero(need)
-                whole = np.zeros(len(at), _U)
-                inside = at < len(alive)
-                inside[inside] = alive[at[inside]]
-                whole[inside] = _doubled(h, window, start)[at[inside]] | _U(1)  # never 0: a whole window starts here
-                out.append((d, at, [_doubled(h, half, start)[at], whole]))
-            if out:
-                yield _rows(out, ["doc_id", "pos", "h", "whole"])
-
-    level = Stored(docs.join(kept.df, "doc_id").mapInArrow(extend, "doc_id long, pos int, h long, whole long"), "windows")
+
+def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, places: where in a document a window starts whose words also start earlier, by doc_id and then by place."""
+    spark = docs.sparkSession
+    if window % 4:
+        raise ValueError("the window must be a multiple of 4 words")
+    ends = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+    small = ends[0] is None or (ends[0] >= 0 and ends[1] < 1 << (63 - PLACE_BITS) and (ends[2] or 0) < 1 << PLACE_BITS)
+    by_doc = lambda rows: rows.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    kept = None
+    for length, below in ((window // 4, None), (window // 2, window // 4)):
+        source = docs if kept is None else docs.join(kept.df, "doc_id")
+        level = Stored(source.mapInArrow(_emit(length, below, window), ROWS), "windows")
+        twice = level.df.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
+        now = Stored(by_doc(level.df.join(twice, "h", "left_semi")), "places")
+        level.drop()
+        if kept is not None:
+            kept.drop()
+        kept = now
+        free_shuffles(spark)
+    last = Stored(docs.join(kept.df, "doc_id").mapInArrow(_emit(window, window // 2, window), ROWS).select("doc_id", "pos", "h"), "windows")
     kept.drop()
-    # Twice the length survives where both halves do.
-    alive = _repeated(level.df)
-    halves = alive.where("whole <> 0").select("doc_id", "pos", F.col("whole").alias("h")).join(alive.select("doc_id", (F.col("pos") - half).alias("pos")).where("pos >= 0"), ["doc_id", "pos"], "left_semi")
-    last = Stored(halves, "windows")
-    level.drop()
     free_shuffles(spark)
-    place = F.struct("doc_id", "pos")
-    firsts = last.df.groupBy("h").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h", "_first")
-    out = Stored(last.df.join(firsts, "h").where(place > F.col("_first")).groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "repeats")
+    firsts = last.df.select("h", _place(small).alias("p")).groupBy("h").agg(F.min("p").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h", "_first")
+    out = Stored(by_doc(last.df.join(firsts, "h").where(_place(small) > F.col("_first"))), "repeats")
     last.drop()
     free_shuffles(spark)
     return out.df
@@ -134,16 +118,20 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for b in slices(batches):
             cols = [[], [], [], [], []]
             for d, t, p in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("places"), strict=True):
-                w = words(t)
-                gone = np.zeros(len(w) + 1, np.int64)
+                w = t.encode("utf-8", "surrogatepass").split() if t else []  # bytes split at the same six characters
+                gone = 0
                 if p.is_valid:
+                    edge = np.zeros(len(w) + 1, np.int64)
                     at = p.values.to_numpy()
                     at = at[at + window <= len(w)]
-                    gone[at] += 1
-                    gone[at + window] -= 1
-                covered = np.cumsum(gone)[:-1] > 0 if len(w) else np.empty(0, bool)
-                kept = " ".join(x for x, c in zip(w, covered.tolist(), strict=True) if not c) if covered.any() else " ".join(w)
-                for c, v in zip(cols, (d, len(w), int(covered.sum()), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept), strict=True):
+                    edge[at] += 1
+                    edge[at + window] -= 1
+                    left = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+                    gone = len(w) - len(left)
+                    kept = b" ".join([w[k] for k in left.tolist()])
+                else:
+                    kept = b" ".join(w)
+                for c, v in zip(cols, (d, len(w), gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in (RESULT + ", kept string").split(", ")])
