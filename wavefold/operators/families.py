@@ -19,57 +19,67 @@ SCHEMA = "rec long, family string, montage string, seconds double, combiner stri
 COMBINERS = ("mean", "median", "std", "skew", "kurt")
 
 
-def _pairs(n: int) -> list[tuple[int, int]]:
-    return [(j, k) for j in range(n) for k in range(j)]
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Channels j > k in row-major order."""
+    return np.tril_indices(n, -1)
 
 
-def _matrix(n: int, w: list[float]) -> np.ndarray:
-    out = np.zeros((n, n))
-    for (j, k), x in zip(_pairs(n), w, strict=True):
-        out[j, k] = out[k, j] = x
-    return graph.clean(out)
+# Each takes all segments of a recording (segments, channels, samples) at once and gives segments by features.
+
+
+def _flat(rows: np.ndarray) -> np.ndarray:
+    return rows.reshape(len(rows), -1)
 
 
 def _spectral(x: np.ndarray, fs: float, whole: int) -> np.ndarray:
-    return numeric.relative_power(x, fs).ravel()
+    return _flat(np.moveaxis(numeric.relative_power(x, fs), 0, 1))
 
 
-def _cwt(x: np.ndarray, fs: float, whole: int) -> np.ndarray:
-    scales = numeric.cwt_scales(whole, fs)
-    return np.concatenate([numeric.cwt_energy(c, scales) for c in x])
+def _in_parts(f: Callable) -> Callable:
+    """Segments a few at a time, for transforms that need room."""
+    return lambda x, fs, whole: np.concatenate([_flat(f(x[k : k + 4], fs)) for k in range(0, len(x), 4)])
 
 
-def _each(f: Callable) -> Callable:
-    return lambda x, fs, whole: np.concatenate([f(c, fs) for c in x])
+def _temporal(x: np.ndarray, fs: float, whole: int) -> np.ndarray:
+    return np.array([np.concatenate([numeric.temporal(c, fs) for c in s]) for s in x])
 
 
 def _cc(x: np.ndarray, fs: float, whole: int) -> np.ndarray:
-    return np.array([numeric.cross_correlation(x[j], x[k]) for j, k in _pairs(len(x))])
+    return np.array([numeric.cross_correlations(s, *_pairs(x.shape[1])) for s in x])
 
 
 def _plv(x: np.ndarray, fs: float, whole: int) -> np.ndarray:
+    j, k = _pairs(x.shape[1])
+    made = (x if band == "raw" else numeric.lfilter(*numeric.band_filter(band, fs), x) for band in ("raw", *numeric.BANDS))
+    return np.concatenate([numeric.locking_matrix(np.angle(numeric.analytic(y)))[:, j, k] for y in made], axis=1)
+
+
+def _profiles(w: np.ndarray, n: int) -> np.ndarray:
     out = []
-    for band in ("raw", *numeric.BANDS):
-        phase = np.angle(numeric.analytic(x if band == "raw" else numeric.lfilter(*numeric.band_filter(band, fs), x)))
-        out += [abs(np.exp(1j * (phase[j] - phase[k])).mean()) for j, k in _pairs(len(x))]
+    for row in w:
+        m = np.zeros((n, n))
+        m[_pairs(n)] = row
+        out.append(graph.profile(graph.clean(m + m.T)))
     return np.array(out)
 
 
 def _gplv(x: np.ndarray, fs: float, whole: int) -> np.ndarray:
     """The amplitudes themselves stand for phases, as the method has it."""
-    return graph.profile(_matrix(len(x), [abs(np.exp(1j * (x[j] - x[k])).mean()) for j, k in _pairs(len(x))]))
+    j, k = _pairs(x.shape[1])
+    return _profiles(numeric.locking_matrix(x)[:, j, k], x.shape[1])
 
 
-#: family -> (features of one segment, whether the skewness combiner is biased)
+#: family -> (features of all segments, whether the skewness combiner is biased)
 FAMILIES: dict[str, tuple[Callable[[np.ndarray, float, int], np.ndarray], bool]] = {
-    "spectral": (_spectral, False), "cwt": (_cwt, True), "dwt": (_each(lambda c, fs: numeric.dwt_energy(c)), False), "mst": (_each(numeric.mst), False), "sst": (_each(numeric.sst), False),
-    "utm": (_each(numeric.temporal), False), "plv": (_plv, False), "cc": (_cc, True), "gcc": (lambda x, fs, w: graph.profile(_matrix(len(x), list(_cc(x, fs, w)))), False), "gplv": (_gplv, False),
+    "spectral": (_spectral, False), "cwt": (lambda x, fs, w: _flat(numeric.cwt_energy(x, numeric.cwt_scales(w, fs))), True), "dwt": (lambda x, fs, w: _flat(numeric.dwt_energy(x)), False),
+    "mst": (_in_parts(numeric.mst), False), "sst": (_in_parts(numeric.sst), False), "utm": (_temporal, False), "plv": (_plv, False), "cc": (_cc, True),
+    "gcc": (lambda x, fs, w: _profiles(_cc(x, fs, w), x.shape[1]), False), "gplv": (_gplv, False),
 }
 ALIASES = {"kurtosis": "kurt", "sr": "spectral", "skewness": "skew"}
 
 
 def register_family(name: str, f: Callable[[np.ndarray, float, int], np.ndarray], bias: bool = False) -> None:
-    """Adds a family: f(segment channels x samples, sampling frequency, samples of the recording) -> features."""
+    """Adds a family: f(segments x channels x samples, sampling frequency, samples of the recording) -> segments x features."""
     FAMILIES[name] = f, bias
 
 
@@ -95,8 +105,8 @@ def segment_features(x: np.ndarray, family: str, fs: float, seconds: float) -> n
     size, n = int(fs * seconds), x.shape[1]
     count = n // size if size else 0
     if count == 0:
-        return np.tile(f(x, fs, n), (5, 1))
-    rows = np.array([f(x[:, k * size : (k + 1) * size], fs, n) for k in range(count)])
+        return np.tile(f(x[None], fs, n), (5, 1))
+    rows = f(x[:, : count * size].reshape(len(x), count, size).swapaxes(0, 1), fs, n)
     with np.errstate(all="ignore"):
         return numeric.combine(rows, bias)
 
