@@ -15,12 +15,11 @@ from wavefold.llm.queries import read, tokenizer
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that a language model accepts; those without a letter, or unlike any language, go."""
-    found = langid.identify(docs, langid.train(docs)).where("not accepted")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns).where("doc_id is not null")
+    return langid.accepted(docs, langid.train(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near-copies."""
+    """Keeps the document with the least doc_id of each group of near-copies; rows without doc_id or repeating one go."""
     first = neardup.near_duplicates(docs).where("doc_id = class_id")
     return docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
 
