@@ -8,9 +8,10 @@ with a chance equal to their weighted Jaccard similarity. Points above a documen
 processes stop there.
 
 Signatures are cut into bands; documents that agree in a band are candidates and are verified by the exact overlap of
-their bags. Copies with the same words are one node from the start. In a bucket everyone is compared with one leader
-(a different one in each band), links are joined to components, and only buckets still holding several components go
-on to have their members compared across components; so a bucket of n like documents costs n comparisons.
+their bags. Copies with the same words are one node from the start. In a bucket everyone is compared with one leader,
+links are joined to components, and only in buckets still holding several components are members compared across
+components, where they share a shingle that the leader lacks or could be linked without one; so a bucket of n like
+documents costs n comparisons.
 """
 
 from __future__ import annotations
@@ -18,22 +19,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import Stored, free_shuffles, mix, ngram_hashes, ship, signed, slices, table, word_hashes
+from ._common import Stored, free_shuffles, mix, ngram_hashes, ship, signed, slices, table
 from .components import components
-from .decontaminate import words
+from .decontaminate import each
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 32, 6, 0.8
 _U = np.uint64
 _G = _U(0x9E3779B97F4A7C15)
 
 
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes; the distinct shingles' hashes, sorted, and their counts. Fewer than five words are one shingle."""
-    h = word_hashes(words(text))
-    s, n = np.unique(ngram_hashes(h, min(SHINGLE, len(h))), return_counts=True)
-    return h, s, n
+def bag(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text's word hashes: the distinct shingles' hashes, sorted, and their counts. Fewer than five words are one shingle."""
+    return np.unique(ngram_hashes(h, min(SHINGLE, len(h))), return_counts=True)
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS) -> np.ndarray:
@@ -81,10 +80,10 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             content, bags = [], []
-            for text in b.column("text").to_pylist():
-                h, s, n = bag(text)
+            texts = b.column("text").to_pylist()
+            for text, h in zip(texts, each(texts), strict=True):
                 content.append(xxhash.xxh3_128_digest(h.tobytes() if len(h) else b"\0" + (text or "").encode("utf-8", "surrogatepass"), seed=int(len(h) > 0)))
-                bags.append((s, n))
+                bags.append(bag(h))
             keys = _bands(signatures(bags))
             col = pa.array([signed(k) if len(x[0]) else None for k, x in zip(keys, bags, strict=True)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(content, pa.binary()), col], ["doc_id", "content", "bands"])
@@ -97,7 +96,7 @@ def _bags(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            rows = [np.sort((np.repeat(s, n) & _U(0x7FFFFFFF)).astype(np.int32)) for _, s, n in map(bag, b.column("text").to_pylist())]
+            rows = [np.sort((np.repeat(s, n) & _U(0x7FFFFFFF)).astype(np.int32)) for s, n in map(bag, each(b.column("text").to_pylist()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "shingles"])
 
     return texts.mapInArrow(run, "doc_id long, shingles array<int>")
@@ -111,26 +110,80 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(n, m[at])[v[at] == u].sum()) if len(u) and len(v) else 0
 
 
-def _links(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (u, v), those whose bags are similar."""
+def _overlaps(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """u, v, shared, nu, nv, similar of each pair (u, v): the exact overlap of the two bags and their sizes."""
 
     def run(batches):
         for b in batches:
             u, v, x, y = (b.column(c) for c in ("u", "v", "x", "y"))
-            keep = []
+            shared, nu, nv = (np.zeros(b.num_rows, np.int32) for _ in range(3))
             for k in range(b.num_rows):
                 p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
-                least, most = sorted((len(p), len(q)))
-                if least >= similarity * most:
-                    both = overlap(p, q)
-                    if both >= similarity * (len(p) + len(q) - both) - 1e-9:
-                        keep.append(k)
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([u.take(take), v.take(take)], ["u", "v"])
+                shared[k], nu[k], nv[k] = overlap(p, q), len(p), len(q)
+            similar = shared >= similarity * (nu + nv - shared) - 1e-9
+            yield pa.RecordBatch.from_arrays([u, v, pa.array(shared), pa.array(nu), pa.array(nv), pa.array(similar)], ["u", "v", "shared", "nu", "nv", "similar"])
 
     a = bags.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
     b = bags.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long, shared int, nu int, nv int, similar boolean")
+
+
+def _inside(left: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one leader and two components that could be linked by what they share with the leader alone.
+
+    The overlap then is at most the smaller of theirs with the leader, a, so both a must reach t (n + n'), t = s / (1 + s).
+    One of the two isn't linked to the leader itself; its a and n leave a range for the other's n, which is met by bins.
+    """
+    t, grid = similarity / (1 + similarity), 1.05
+    bin_ = lambda x: F.floor(F.log(F.greatest(x.cast("double"), F.lit(1.0))) / F.log(F.lit(grid))).cast("int")
+    low, high = F.col("n") * similarity, F.least(F.col("a") / t - F.col("n") + 1e-6, F.col("n") / similarity)
+    x = left.where(~F.col("similar") & (high >= low)).select("leader", F.col("doc_id").alias("p"), F.col("c").alias("cp"), F.col("a").alias("ap"), F.col("n").alias("np"), F.explode(F.sequence(bin_(low), bin_(high))).alias("bin"))
+    y = left.select("leader", F.col("doc_id").alias("q"), F.col("c").alias("cq"), F.col("a").alias("aq"), F.col("n").alias("nq"), bin_(F.col("n")).alias("bin"))
+    able = F.least("ap", "aq") >= t * (F.col("np") + F.col("nq")) - 1e-6
+    return x.join(y, (x["leader"] == y["leader"]) & (x["bin"] == y["bin"]) & (F.col("cp") != F.col("cq")) & able).select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v"))
+
+
+def _outside(left: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one leader and two components that share shingles the leader lacks, where a link is possible at all.
+
+    The overlap is at most the smaller a and what the remainders share, so a document must share at least
+    t (n + n') - a of its remainder, for the least n' of its leader's documents that it could be like. Of tokens in one
+    order, the rarest first, two that share so many share one of each document's first |remainder| - that + 1.
+    """
+    t = similarity / (1 + similarity)
+    bin_ = F.floor(F.log("n") / F.log(F.lit(1.05))).cast("int")
+    sizes = left.groupBy("leader", bin_.alias("bin")).agg(F.min("n").alias("m")).groupBy("leader").agg(F.collect_list("m").alias("sizes"))  # a number for each twentieth
+
+    def run(batches):
+        for b in batches:
+            lengths, flat, share = [], [], []
+            for x, y, n, a, near in zip(b.column("x"), b.column("y"), b.column("n").to_pylist(), b.column("a").to_pylist(), b.column("sizes"), strict=True):
+                p, c = np.unique(x.values.to_numpy(), return_counts=True)
+                q, m = np.unique(y.values.to_numpy(), return_counts=True)
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                over = c - np.minimum(c, np.where(q[at] == p, m[at], 0))
+                tokens = np.repeat(p, over).astype(np.int64)
+                again = np.arange(len(tokens)) - np.repeat(np.cumsum(over) - over, over)
+                flat.append(tokens * 64 + np.minimum(again, 63))
+                lengths.append(len(tokens))
+                # The least size met in a twentieth below may stand for larger ones there.
+                other = max(similarity * n, min((k for k in near.values.to_pylist() if k * 1.06 + 1 >= similarity * n), default=n))
+                share.append(max(1, int(np.ceil(t * (n + other) - a - 1e-6))))
+            rows = np.repeat(np.arange(b.num_rows), lengths)
+            cols = [b.column(k).take(pa.array(rows)) for k in ("leader", "doc_id", "c", "a", "n")]
+            tokens = np.concatenate(flat) if flat else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.array(share, np.int32)[rows]), pa.array(tokens)], ["leader", "doc_id", "c", "a", "n", "share", "s"])
+
+    both = left.drop("similar").join(sizes, "leader").join(bags.select("doc_id", F.col("shingles").alias("x")), "doc_id").join(bags.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("y")), "leader")
+    rest = Stored(both.select("leader", "doc_id", "c", "a", "n", "sizes", "x", "y").mapInArrow(run, "leader long, doc_id long, c long, a int, n int, share int, s long"), "rest").df
+    many = rest.groupBy("leader", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = Window.partitionBy("leader", "doc_id")  # no more rows than a document has shingles
+    met = rest.join(many, ["leader", "s"]).withColumn("m", F.count(F.lit(1)).over(own)).where("m >= share")
+    met = met.withColumn("r", F.row_number().over(own.orderBy("k", "s"))).where("r <= m - share + 1").select("leader", "s", "doc_id", "c", "a", "n")
+    x, y = met.toDF("leader", "s", "u", "cu", "au", "nu"), met.toDF("leader", "s", "v", "cv", "av", "nv")
+    most = F.least("au", "av") + F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av"))
+    able = most >= similarity * (F.col("nu") + F.col("nv") - most) - 1e-9
+    return x.join(y, (x["leader"] == y["leader"]) & (x["s"] == y["s"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & able).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -149,27 +202,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     nodes = Stored(rows.groupBy("content").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies")), "nodes").df
     signs = rows.where("bands is not null").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     buckets = signs.select("doc_id", F.explode("bands").alias("b"))
-    # The leader of a bucket is the least by an order of the band's own.
-    rank = F.struct(F.xxhash64("doc_id", "b").alias("o"), F.col("doc_id").alias("leader"))
-    led = buckets.groupBy("b").agg(F.min(rank).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", F.col("l.leader").alias("leader"))
-    members = Stored(buckets.join(led, "b"), "buckets").df
-    pairs = Stored(members.where("doc_id <> leader").select(F.greatest("doc_id", "leader").alias("u"), F.least("doc_id", "leader").alias("v")).distinct(), "pairs")
-    wanted = members.select("doc_id").distinct()
-    texts = base.join(wanted, "doc_id")
-    bags = Stored(_bags(texts), "bags").df
-    links = Stored(_links(pairs.df, bags, similarity), "links")
-    found = components(links.df)
+    crowded = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = Stored(buckets.join(crowded, "b"), "buckets").df
+    # The leader of a bucket is the member that meets most others in all its buckets: of a group of copies, the most
+    # central one, to which the others are nearest.
+    fame = met.groupBy("doc_id").agg(F.sum("n").alias("fame"))
+    best = F.max(F.struct("fame", (-F.col("doc_id")).alias("m")))
+    led = met.join(fame, "doc_id").groupBy("b").agg(best.alias("l")).select("b", (-F.col("l.m")).alias("leader"))
+    members = Stored(met.join(led, "b").select("b", "doc_id", "leader", F.greatest("doc_id", "leader").alias("u"), F.least("doc_id", "leader").alias("v")), "members").df
+    pairs = members.where("u <> v").select("u", "v").distinct()
+    bags = Stored(_bags(base.join(members.select("doc_id").distinct(), "doc_id")), "bags").df
+    tried = Stored(_overlaps(pairs, bags, similarity), "overlaps").df
+    links = tried.where("similar").select("u", "v")
+    found = components(links)
     free_shuffles(spark)
-    # Buckets with several components: the pairs across them that were not compared yet.
-    own = members.join(found.df.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("b", "doc_id", "leader", F.coalesce("class", "doc_id").alias("c"))
+    # Buckets with several components: pairs across them that a link is still possible for.
+    own = members.join(found.df.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("class", "doc_id"))
     mixed = own.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("b")
-    left = Stored(own.join(mixed, "b"), "mixed").df
-    x, y = left.select("b", F.col("doc_id").alias("u"), F.col("c").alias("cu"), "leader"), left.select("b", F.col("doc_id").alias("v"), F.col("c").alias("cv"))
-    more = x.join(y, "b").where("u > v and cu <> cv and u <> leader and v <> leader").select("u", "v").distinct()
-    rest = Stored(more.join(pairs.df, ["u", "v"], "left_anti"), "rest")
-    late = Stored(_links(rest.df, bags, similarity), "links")
+    size = F.when(F.col("doc_id") == F.col("u"), F.col("nu")).otherwise(F.col("nv"))
+    left = Stored(own.join(mixed, "b").where("u <> v").select("doc_id", "leader", "c", "u", "v").distinct().join(tried, ["u", "v"]).select("doc_id", "leader", "c", F.col("shared").alias("a"), size.alias("n"), "similar").distinct(), "mixed").df
+    more = _inside(left, similarity).union(_outside(left, bags, similarity)).distinct()
+    late = Stored(_overlaps(more.join(tried.select("u", "v"), ["u", "v"], "left_anti"), bags, similarity).where("similar").select("u", "v"), "links")
     if late.df.limit(1).count():
-        found = components(links.df.union(late.df))
+        found = components(links.union(late.df))
     classes = found.df.withColumnRenamed("node", "n2")
     named = nodes.join(classes, nodes["node"] == classes["n2"], "left").select("content", "n_copies", F.coalesce("class", "node").alias("class_id"))
     out = rows.select("doc_id", "content").join(named, "content").select("doc_id", "class_id", "n_copies")
