@@ -83,9 +83,11 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     for length, below in ((window // 4, None), (window // 2, window // 4)):
         source = docs if kept is None else docs.join(kept.df, "doc_id")
         level = Stored(source.mapInArrow(_emit(length, below, window), ROWS), "windows")
-        twice = level.df.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-        now = Stored(by_doc(level.df.join(twice, "h", "left_semi")), "places")
+        # Stored, so that the join back deals both sides anew and adaptive execution can split a hot hash.
+        twice = Stored(level.df.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h"), "twice")
+        now = Stored(by_doc(level.df.join(twice.df, "h", "left_semi")), "places")
         level.drop()
+        twice.drop()
         if kept is not None:
             kept.drop()
         kept = now
@@ -93,9 +95,10 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     last = Stored(docs.join(kept.df, "doc_id").mapInArrow(_emit(window, window // 2, window), ROWS).select("doc_id", "pos", "h"), "windows")
     kept.drop()
     free_shuffles(spark)
-    firsts = last.df.select("h", _place(small).alias("p")).groupBy("h").agg(F.min("p").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h", "_first")
-    out = Stored(by_doc(last.df.join(firsts, "h").where(_place(small) > F.col("_first"))), "repeats")
+    firsts = Stored(last.df.select("h", _place(small).alias("p")).groupBy("h").agg(F.min("p").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h", "_first"), "firsts")
+    out = Stored(by_doc(last.df.join(firsts.df, "h").where(_place(small) > F.col("_first"))), "repeats")
     last.drop()
+    firsts.drop()
     free_shuffles(spark)
     return out.df
 
