@@ -89,7 +89,8 @@ def counts(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("_t", F.lit(True))
-    joined = marked.join(ids, "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("_t"))
+    # Both sides are dealt by doc_id at every size: the list of targets grows with the corpus, so it is never broadcast.
+    joined = marked.join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("_t"))
     return joined.mapInArrow(run, "code int, n_target long, n_background long").groupBy("code").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
 
 
