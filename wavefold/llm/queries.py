@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, codec, decontaminate, langid, lmscore, neardup, packing, quality, sharding, substrings
+from . import ann, codec, decontaminate, langid, neardup, packing, quality, sharding, substrings, wordlm
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents whose label says good quality; background: all documents."""
     docs = read(spark, sf_dir, "documents")
-    return lmscore.score(docs, lmscore.train(docs, read(spark, sf_dir, "labels").where("quality = 1")))
+    return wordlm.score(docs, read(spark, sf_dir, "labels").where("quality = 1"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
