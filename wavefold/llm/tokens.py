@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct piece is encoded once by the
 `tokenizers` library, and the pieces' ids are put together. Pieces of Latin script go straight to the library's BPE
-model; all others through its whole chain. Files with another chain than the two known here are encoded text by text.
+model; all others through its whole chain. Texts that hold an added token's content go through the whole chain uncut, as
+it splits there first. Files with another chain than the two known here are encoded text by text.
 """
 
 from __future__ import annotations
@@ -37,14 +38,17 @@ class Encoder:
     def __init__(self, path: str):
         no_threads()
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model, self.letters = self.tok.model, _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        added = spec.get("added_tokens") or []
+        self.added = [x["content"] for x in added]
         self.memory: dict[str, bytes] = {}
         self.cut = self.parts = None
         self.lower = False
+        if any(x.get("normalized") for x in added):  # sought in normalised text
+            return
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.cut = re.compile(rf" ?{_NS}+|{_WS}+(?!{_NS})|{_WS}+")
             self.parts = re.compile(rf"{_SHORT}| ?{_L}+| ?{_N}+| ?{_OTHER}+")
@@ -72,13 +76,14 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.cut is None:
             return [self._one(t) if t else b"" for t in texts]
-        cut = [self.cut.findall(t) if t else [] for t in texts]
+        uncut = {k for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        cut = [self.cut.findall(t) if t and k not in uncut else [] for k, t in enumerate(texts)]
         if len(self.memory) >= CACHE_ENTRIES:
             self.memory.clear()
         if new := set().union(*cut).difference(self.memory):
             self._fill(list(new))
         get = self.memory.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [self._one(texts[k]) if k in uncut else b"".join(map(get, c)) for k, c in enumerate(cut)]
 
 
 _known: dict[str, Encoder] = {}
