@@ -430,10 +430,28 @@ def test_near_duplicates(spark, docs, none):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()} == brute_classes(rows)
     got = by_id(neardup.near_duplicates(docs), "class_id", "n_copies")
-    assert got[0][0] == got[1][0] == (0, 2) and got[2][0] != got[0][0] and len(got[3]) == 2 and got[None] == [(None, 1)] * 2 and got[7][0] == got[15][0] == (7, 2)
+    assert got[0][0] == got[1][0] == (0, 3) and got[2][0] != got[0][0] and len(got[3]) == 2 and got[None] == [(0, 3), (7, 3)] and got[7][0] == got[15][0] == (7, 3)
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_rows_that_share_a_doc_id_are_documents_of_their_own(spark):
+    rnd = random.Random(4)
+    a, b, c = (prose(90, rnd) for _ in range(3))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (None, c), (None, c + " z"), (None, a + " w"), (5, a)]
+    got = {}
+    for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.group, []).append((r.doc_id, r.class_id, r.n_copies))
+    key = lambda x: sorted(x, key=str)
+    assert sorted(map(key, got.values()), key=str) == sorted(map(key, [[(5, 5, 2), (5, 5, 2), (6, 5, 1), (None, 5, 1)], [(5, 5, 1), (7, 5, 1)], [(None, None, 1), (None, None, 1)]]), key=str)
+
+
+def test_filter_holds_what_it_was_given(spark):
+    f = _common.Filter(spark.range(0, 90_000, 3).union(spark.range(3)), 30_000)
+    held = f.may_hold(np.arange(90_000))
+    assert held[::3].all() and held.mean() < 0.36 and f.bits.nbytes < 100_000
+    assert not _common.Filter(spark.range(0), 0).may_hold(np.arange(5)).any()
+
+
 def test_a_chain_of_likes_is_one_class(spark):
     base = prose(400).split()
     rows = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
 import tempfile
@@ -47,12 +48,13 @@ _OWN: dict[str, str] = {}
 
 
 class Stored:
-    """A table written to the shared folder: it cuts lineage and outlives executors."""
+    """A table written to the shared folder: it cuts lineage and outlives executors. Its shuffles' files go once it is written."""
 
     def __init__(self, df: DataFrame, tag: str):
         spark = df.sparkSession
         self.path = f"{shared_folder(spark)}/wavefold/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with _brief_shuffles(spark):
+            df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -62,12 +64,63 @@ class Stored:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Asks the driver's JVM to notice shuffles that no plan refers to, so that executors delete their files."""
-    import gc
+@contextlib.contextmanager
+def _brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what is run within as each query ends, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
 
-    gc.collect()
-    spark._jvm.System.gc()
+
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Filter:
+    """A Bloom filter of longs, four bits a number in one of its segments of 8 KB: at most `most` segments (64 MB), so that
+    it can go to every worker; a larger set fills it more, and it lets more through, at no loss."""
+
+    BITS = 1 << 16
+
+    def __init__(self, numbers: DataFrame, count: int, most: int = 8192):
+        """numbers: one column of longs, of which about `count` differ."""
+        self.segments = max(1, min(most, -(-16 * count // self.BITS)))
+        segments = self.segments
+
+        def spots(batches):
+            for b in batches:
+                x = np.asarray(b.column(0).drop_null(), np.int64)
+                seg, bits = _spots(x, segments)
+                yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(signed(bits))], ["seg", "bits"])
+
+        def join(table: pa.Table) -> pa.Table:
+            own = np.zeros(self_bits // 8, np.uint8)
+            at = np.asarray(table["bits"].combine_chunks(), np.int64).view(_U)
+            for k in range(4):
+                one = (at >> _U(16 * k)) & _U(0xFFFF)
+                np.bitwise_or.at(own, (one >> _U(3)).astype(np.int64), (1 << (one & _U(7)).astype(np.uint8)).astype(np.uint8))
+            return pa.table({"seg": table["seg"][:1], "own": pa.array([own.tobytes()], pa.binary())})
+
+        self_bits = self.BITS
+        got = numbers.distinct().mapInArrow(spots, "seg int, bits long").groupBy("seg").applyInArrow(join, "seg int, own binary").collect()
+        self.bits = np.zeros((segments, self.BITS // 8), np.uint8)
+        for r in got:
+            self.bits[r[0]] = np.frombuffer(r[1], np.uint8)
+
+    def may_hold(self, x: np.ndarray) -> np.ndarray:
+        seg, bits = _spots(x, self.segments)
+        ok = np.ones(len(x), bool)
+        for k in range(4):
+            one = ((bits >> _U(16 * k)) & _U(0xFFFF)).astype(np.int64)
+            ok &= (self.bits[seg, one >> 3] >> (one & 7).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def _spots(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(x.astype(np.int64).view(_U) + _M)
+    return ((h >> _U(32)) * _U(segments) >> _U(32)).astype(np.int32), mix(h + _M)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

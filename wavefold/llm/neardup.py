@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import Stored, free_shuffles, mix, ngram_hashes, ship, signed, slices, table
+from ._common import Filter, Stored, mix, ngram_hashes, ship, signed, slices, table
 from .components import components
 from .decontaminate import each
 
@@ -82,24 +83,38 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
             content, bags = [], []
             texts = b.column("text").to_pylist()
             for text, h in zip(texts, each(texts), strict=True):
-                content.append(xxhash.xxh3_128_digest(h.tobytes() if len(h) else b"\0" + (text or "").encode("utf-8", "surrogatepass"), seed=int(len(h) > 0)))
+                content.append(_content(text, h))
                 bags.append(bag(h))
             keys = _bands(signatures(bags))
             col = pa.array([signed(k) if len(x[0]) else None for k, x in zip(keys, bags, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(content, pa.binary()), col], ["doc_id", "content", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(content, pa.binary()), col], ["doc_id", "text_hash", "content", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, content binary, bands array<long>")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, content binary, bands array<long>")
 
 
-def _bags(texts: DataFrame) -> DataFrame:
-    """doc_id, shingles (hash in 32 bits, repeated by count, sorted)."""
+def _bags(docs: DataFrame, wanted: DataFrame, first_ids: Filter) -> DataFrame:
+    """node, shingles (64-bit hashes, repeated by count, sorted) of the wanted nodes (content, node), whose text is that of
+    one of the doc_ids in the filter, or of a row without: other texts aren't looked at, and none is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(first_ids)  # 64 MB at most
 
     def run(batches):
-        for b in slices(batches):
-            rows = [np.sort((np.repeat(s, n) & _U(0x7FFFFFFF)).astype(np.int32)) for s, n in map(bag, each(b.column("text").to_pylist()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "shingles"])
+        for b in batches:
+            ids = b.column("doc_id")
+            some = b.filter(pa.array(shared.value.may_hold(np.asarray(pc.fill_null(ids, 0))) | (np.asarray(ids.is_null()))))
+            for s in slices(iter([some])):
+                texts = s.column("text").to_pylist()
+                hashes = each(texts)
+                content = [_content(t, h) for t, h in zip(texts, hashes, strict=True)]
+                rows = [signed(np.repeat(*bag(h))) for h in hashes]
+                yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["content", "shingles"])
+
+    got = docs.mapInArrow(run, "content binary, shingles array<long>")
+    return got.groupBy("content").agg(F.first("shingles").alias("shingles")).join(wanted, "content").select("node", "shingles")
+
 
-    return texts.mapInArrow(run, "doc_id long, shingles array<int>")
+def _content(text: str | None, h: np.ndarray) -> bytes:
+    """Digest of a text's words, or of the text where it has none."""
+    return xxhash.xxh3_128_digest(h.tobytes() if len(h) else b"\0" + (text or "").encode("utf-8", "surrogatepass"), seed=int(len(h) > 0))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -118,13 +133,13 @@ def _overlaps(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
             u, v, x, y = (b.column(c) for c in ("u", "v", "x", "y"))
             shared, nu, nv = (np.zeros(b.num_rows, np.int32) for _ in range(3))
             for k in range(b.num_rows):
-                p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
+                p, q = x[k].values.to_numpy().view(_U), y[k].values.to_numpy().view(_U)
                 shared[k], nu[k], nv[k] = overlap(p, q), len(p), len(q)
             similar = shared >= similarity * (nu + nv - shared) - 1e-9
             yield pa.RecordBatch.from_arrays([u, v, pa.array(shared), pa.array(nu), pa.array(nv), pa.array(similar)], ["u", "v", "shared", "nu", "nv", "similar"])
 
-    a = bags.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
-    b = bags.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
+    a = bags.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+    b = bags.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long, shared int, nu int, nv int, similar boolean")
 
 
@@ -137,18 +152,18 @@ def _inside(left: DataFrame, similarity: float) -> DataFrame:
     t, grid = similarity / (1 + similarity), 1.05
     bin_ = lambda x: F.floor(F.log(F.greatest(x.cast("double"), F.lit(1.0))) / F.log(F.lit(grid))).cast("int")
     low, high = F.col("n") * similarity, F.least(F.col("a") / t - F.col("n") + 1e-6, F.col("n") / similarity)
-    x = left.where(~F.col("similar") & (high >= low)).select("leader", F.col("doc_id").alias("p"), F.col("c").alias("cp"), F.col("a").alias("ap"), F.col("n").alias("np"), F.explode(F.sequence(bin_(low), bin_(high))).alias("bin"))
-    y = left.select("leader", F.col("doc_id").alias("q"), F.col("c").alias("cq"), F.col("a").alias("aq"), F.col("n").alias("nq"), bin_(F.col("n")).alias("bin"))
+    x = left.where(~F.col("similar") & (high >= low)).select("leader", F.col("node").alias("p"), F.col("c").alias("cp"), F.col("a").alias("ap"), F.col("n").alias("np"), F.explode(F.sequence(bin_(low), bin_(high))).alias("bin"))
+    y = left.select("leader", F.col("node").alias("q"), F.col("c").alias("cq"), F.col("a").alias("aq"), F.col("n").alias("nq"), bin_(F.col("n")).alias("bin"))
     able = F.least("ap", "aq") >= t * (F.col("np") + F.col("nq")) - 1e-6
     return x.join(y, (x["leader"] == y["leader"]) & (x["bin"] == y["bin"]) & (F.col("cp") != F.col("cq")) & able).select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v"))
 
 
-def _outside(left: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+def _outside(left: DataFrame, bags: DataFrame, similarity: float) -> tuple[DataFrame, Stored]:
     """Pairs of one leader and two components that share shingles the leader lacks, where a link is possible at all.
 
     The overlap is at most the smaller a and what the remainders share, so a document must share at least
     t (n + n') - a of its remainder, for the least n' of its leader's documents that it could be like. Of tokens in one
-    order, the rarest first, two that share so many share one of each document's first |remainder| - that + 1.
+    order, the rarest first, two that share so many share one of each document's first |remainder| - that + 1. Beside them a table they are read from.
     """
     t = similarity / (1 + similarity)
     bin_ = F.floor(F.log("n") / F.log(F.lit(1.05))).cast("int")
@@ -162,71 +177,83 @@ def _outside(left: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
                 q, m = np.unique(y.values.to_numpy(), return_counts=True)
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 over = c - np.minimum(c, np.where(q[at] == p, m[at], 0))
-                tokens = np.repeat(p, over).astype(np.int64)
+                tokens = np.repeat(p.view(_U), over)
                 again = np.arange(len(tokens)) - np.repeat(np.cumsum(over) - over, over)
-                flat.append(tokens * 64 + np.minimum(again, 63))
+                flat.append(signed(mix(tokens + again.astype(_U) * _G)))
                 lengths.append(len(tokens))
                 # The least size met in a twentieth below may stand for larger ones there.
                 other = max(similarity * n, min((k for k in near.values.to_pylist() if k * 1.06 + 1 >= similarity * n), default=n))
                 share.append(max(1, int(np.ceil(t * (n + other) - a - 1e-6))))
             rows = np.repeat(np.arange(b.num_rows), lengths)
-            cols = [b.column(k).take(pa.array(rows)) for k in ("leader", "doc_id", "c", "a", "n")]
+            cols = [b.column(k).take(pa.array(rows)) for k in ("leader", "node", "c", "a", "n")]
             tokens = np.concatenate(flat) if flat else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.array(share, np.int32)[rows]), pa.array(tokens)], ["leader", "doc_id", "c", "a", "n", "share", "s"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.array(share, np.int32)[rows]), pa.array(tokens)], ["leader", "node", "c", "a", "n", "share", "s"])
 
-    both = left.drop("similar").join(sizes, "leader").join(bags.select("doc_id", F.col("shingles").alias("x")), "doc_id").join(bags.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("y")), "leader")
-    rest = Stored(both.select("leader", "doc_id", "c", "a", "n", "sizes", "x", "y").mapInArrow(run, "leader long, doc_id long, c long, a int, n int, share int, s long"), "rest").df
+    both = left.drop("similar").join(sizes, "leader").join(bags.select("node", F.col("shingles").alias("x")), "node").join(bags.select(F.col("node").alias("leader"), F.col("shingles").alias("y")), "leader")
+    kept = Stored(both.select("leader", "node", "c", "a", "n", "sizes", "x", "y").mapInArrow(run, "leader long, node long, c long, a int, n int, share int, s long"), "rest")
+    rest = kept.df
     many = rest.groupBy("leader", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    own = Window.partitionBy("leader", "doc_id")  # no more rows than a document has shingles
+    own = Window.partitionBy("leader", "node")  # no more rows than a document has shingles
     met = rest.join(many, ["leader", "s"]).withColumn("m", F.count(F.lit(1)).over(own)).where("m >= share")
-    met = met.withColumn("r", F.row_number().over(own.orderBy("k", "s"))).where("r <= m - share + 1").select("leader", "s", "doc_id", "c", "a", "n")
+    met = met.withColumn("r", F.row_number().over(own.orderBy("k", "s"))).where("r <= m - share + 1").select("leader", "s", "node", "c", "a", "n")
     x, y = met.toDF("leader", "s", "u", "cu", "au", "nu"), met.toDF("leader", "s", "v", "cv", "av", "nv")
     most = F.least("au", "av") + F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av"))
     able = most >= similarity * (F.col("nu") + F.col("nv") - most) - 1e-9
-    return x.join(y, (x["leader"] == y["leader"]) & (x["s"] == y["s"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & able).select("u", "v")
+    return x.join(y, (x["leader"] == y["leader"]) & (x["s"] == y["s"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & able).select("u", "v"), kept
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its group of near-copies) and n_copies (rows with exactly its words).
+    """doc_id, class_id (the least doc_id of its group of near-copies), n_copies (rows with exactly its words),
+    group (a number of its group, never null) and text_hash (xxhash64 of the text: with doc_id, what names a row).
 
     Two documents are linked if they agree in a band and their bags of five-word shingles have a weighted Jaccard
     similarity of at least `similarity`; groups are the components of links. Documents without a word are alike only if
-    their texts are equal (null and empty are). Rows with a null doc_id take no part and come out with a null class;
-    repeated rows come out as often as they came. An empty table gives no rows; other columns aren't looked at.
+    their texts are equal (null and empty are). Rows that share a doc_id are documents of their own: those with other
+    words may be in other groups. Rows with a null doc_id are judged like all others; a group of such rows alone has a null
+    class. An empty table gives no rows; other columns aren't looked at.
     """
     spark = docs.sparkSession
     ship(spark)
     base = table(docs)
-    rows = Stored(_signed_rows(base.where("doc_id is not null")), "signed").df
-    # One node for equal words.
-    nodes = Stored(rows.groupBy("content").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies")), "nodes").df
-    signs = rows.where("bands is not null").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = signs.select("doc_id", F.explode("bands").alias("b"))
+    rows = Stored(_signed_rows(base), "signed").df
+    # One node for equal words, with a number of its own.
+    first = F.min("doc_id").alias("first_id")
+    nodes = Stored(rows.groupBy("content").agg(first, F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes").df
+    buckets = nodes.where("bands is not null").select("node", F.explode("bands").alias("b"))
     crowded = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = Stored(buckets.join(crowded, "b"), "buckets").df
+    met = Stored(buckets.join(crowded, "b"), "buckets")
     # The leader of a bucket is the member that meets most others in all its buckets: of a group of copies, the most
     # central one, to which the others are nearest.
-    fame = met.groupBy("doc_id").agg(F.sum("n").alias("fame"))
-    best = F.max(F.struct("fame", (-F.col("doc_id")).alias("m")))
-    led = met.join(fame, "doc_id").groupBy("b").agg(best.alias("l")).select("b", (-F.col("l.m")).alias("leader"))
-    members = Stored(met.join(led, "b").select("b", "doc_id", "leader", F.greatest("doc_id", "leader").alias("u"), F.least("doc_id", "leader").alias("v")), "members").df
-    pairs = members.where("u <> v").select("u", "v").distinct()
-    bags = Stored(_bags(base.join(members.select("doc_id").distinct(), "doc_id")), "bags").df
-    tried = Stored(_overlaps(pairs, bags, similarity), "overlaps").df
-    links = tried.where("similar").select("u", "v")
+    fame = met.df.groupBy("node").agg(F.sum("n").alias("fame"))
+    best = F.max(F.struct("fame", (-F.col("node")).alias("m")))
+    led = met.df.join(fame, "node").groupBy("b").agg(best.alias("l")).select("b", (-F.col("l.m")).alias("leader"))
+    members = Stored(met.df.join(led, "b").select("b", "node", "leader", F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")), "members")
+    met.drop()
+    wanted = Stored(nodes.select("node", "content", "first_id").join(members.df.select("node").distinct(), "node"), "wanted")
+    bags = Stored(_bags(base, wanted.df.select("content", "node"), Filter(wanted.df.select("first_id"), wanted.df.count())), "bags")
+    wanted.drop()
+    pairs = members.df.where("u <> v").select("u", "v").distinct()
+    tried = Stored(_overlaps(pairs, bags.df, similarity), "overlaps")
+    links = tried.df.where("similar").select("u", "v")
     found = components(links)
-    free_shuffles(spark)
     # Buckets with several components: pairs across them that a link is still possible for.
-    own = members.join(found.df.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("class", "doc_id"))
+    own = members.df.join(found.df, "node", "left").withColumn("c", F.coalesce("class", "node"))
     mixed = own.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("b")
-    size = F.when(F.col("doc_id") == F.col("u"), F.col("nu")).otherwise(F.col("nv"))
-    left = Stored(own.join(mixed, "b").where("u <> v").select("doc_id", "leader", "c", "u", "v").distinct().join(tried, ["u", "v"]).select("doc_id", "leader", "c", F.col("shared").alias("a"), size.alias("n"), "similar").distinct(), "mixed").df
-    more = _inside(left, similarity).union(_outside(left, bags, similarity)).distinct()
-    late = Stored(_overlaps(more.join(tried.select("u", "v"), ["u", "v"], "left_anti"), bags, similarity).where("similar").select("u", "v"), "links")
+    size = F.when(F.col("node") == F.col("u"), F.col("nu")).otherwise(F.col("nv"))
+    left = Stored(own.join(mixed, "b").where("u <> v").select("node", "leader", "c", "u", "v").distinct().join(tried.df, ["u", "v"]).select("node", "leader", "c", F.col("shared").alias("a"), size.alias("n"), "similar").distinct(), "mixed")
+    members.drop()
+    outside, rest = _outside(left.df, bags.df, similarity)
+    more = _inside(left.df, similarity).union(outside).distinct()
+    late = Stored(_overlaps(more.join(tried.df.select("u", "v"), ["u", "v"], "left_anti"), bags.df, similarity).where("similar").select("u", "v"), "links")
+    for x in (rest, left, bags):
+        x.drop()
     if late.df.limit(1).count():
+        found.drop()
         found = components(links.union(late.df))
-    classes = found.df.withColumnRenamed("node", "n2")
-    named = nodes.join(classes, nodes["node"] == classes["n2"], "left").select("content", "n_copies", F.coalesce("class", "node").alias("class_id"))
-    out = rows.select("doc_id", "content").join(named, "content").select("doc_id", "class_id", "n_copies")
-    none = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
-    return out.unionByName(none)
+    late.drop()
+    tried.drop()
+    least = found.df.join(nodes.select("node", "first_id"), "node").groupBy("class").agg(F.min("first_id").alias("class_id"))
+    classes = found.df.join(least, "class").select("node", "class", "class_id")
+    own_id = F.when(F.col("class").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id")
+    named = nodes.join(classes, "node", "left").select("content", "n_copies", own_id, F.coalesce("class", "node").alias("group"))
+    return rows.select("doc_id", "text_hash", "content").join(named, "content").select("doc_id", "class_id", "n_copies", "group", "text_hash")

@@ -68,7 +68,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import SPACED, Stored, free_shuffles, mix, ngram_hashes, ship, signed, slices, sliding_min_places, table, whole
+from ._common import SPACED, Stored, mix, ngram_hashes, ship, signed, slices, sliding_min_places, table, whole
 
 WINDOW = 20
 _U = np.uint64
@@ -91,15 +91,12 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if kept is not None:
             kept.drop()
         kept = now
-        free_shuffles(spark)
     last = Stored(docs.join(kept.df, "doc_id").mapInArrow(_emit(window, window // 2, window), ROWS).select("doc_id", "pos", "h"), "windows")
     kept.drop()
-    free_shuffles(spark)
     firsts = Stored(last.df.select("h", _place(small).alias("p")).groupBy("h").agg(F.min("p").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h", "_first"), "firsts")
     out = Stored(by_doc(last.df.join(firsts.df, "h").where(_place(small) > F.col("_first"))), "repeats")
     last.drop()
     firsts.drop()
-    free_shuffles(spark)
     return out.df
 
 

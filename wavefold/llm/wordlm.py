@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import SPACED, free_shuffles, mix, ship, signed, slices
+from ._common import SPACED, mix, ship, signed, slices
 from .lmscore import RESULT
 
 BLOCK_BYTES = 4_000_000
@@ -93,7 +93,6 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = vocabulary(texts).count()
-    free_shuffles(docs.sparkSession)
     blocks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
     block = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks))
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).where("doc_id is not null")
