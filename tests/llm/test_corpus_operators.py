@@ -210,9 +210,10 @@ def test_decontamination(spark, docs, none):
         want[r.doc_id].append(brute_hits(r.text, items))
     want = {k: sorted(v) for k, v in want.items()}
     assert by_id(decontaminate.decontaminate(docs, bench), *cols) == want
-    assert by_id(decontaminate.decontaminate(docs, bench, most_windows=0), *cols) == want
-    long = bench.where("item_id in (10, 12)")
-    assert by_id(decontaminate.decontaminate(docs, long), *cols) == by_id(decontaminate.decontaminate(docs, long, most_windows=0), *cols)
+    named = [(f"item-{i:03d}é" if i is not None else None, t) for i, t in items]
+    assert by_id(decontaminate.decontaminate(docs, spark.createDataFrame(named, "item_id string, text string")), *cols) == {k: sorted(brute_hits(r.text, named) for r in docs.collect() if r.doc_id == k) for k in want}
+    long = [x for x in items if x[0] in (10, 12)]
+    assert by_id(decontaminate.decontaminate(docs, spark.createDataFrame(long, "item_id long, text string")), *cols) == {k: sorted(brute_hits(r.text, long) for r in docs.collect() if r.doc_id == k) for k in want}
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert not decontaminate.decontaminate(docs, bench.where("false")).where("contaminated").count()
 
@@ -356,6 +357,30 @@ def test_substrings(spark, docs, none, shift):
         assert substrings.deduplicate(none).count() == 0
 
 
+def test_rows_that_share_a_doc_id_keep_their_own_words(spark):
+    rnd = random.Random(8)
+    own, other, again = prose(60, rnd), prose(60, rnd), prose(30, rnd)
+    own = " ".join(f"{w}{k}" for k, w in enumerate(own.split()))
+    rows = [(1, again), (2, "x " + again + " y"), (2, own), (2, own), (3, own + " " + other)]
+    got = by_id(substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "n_words", "n_removed")
+    assert got == {1: [(30, 0)], 2: [(32, 30), (60, 0), (60, 0)], 3: [(120, 60)]}
+
+
+def test_trimmed_keeps_columns(spark, docs, none):
+    d = docs.withColumn("n_chars", F.length("text")).where("doc_id is null or doc_id <> 3").withColumnRenamed("content", "kept").withColumnRenamed("n", "text_hash")
+    out = substrings.trimmed(d)
+    assert out.schema.names == d.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in d.schema]
+    want = substrings.deduplicate(d).where("doc_id is not null").collect()
+    got = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
+    before = {r.doc_id: r.text for r in d.collect()}
+    for r in want:
+        if r.n_removed == r.n_words > 0:
+            assert r.doc_id not in got
+        else:
+            assert got[r.doc_id].text == (r.kept if r.n_removed else before[r.doc_id]) and got[r.doc_id].n_chars == (None if before[r.doc_id] is None else len(got[r.doc_id].text))
+    assert substrings.trimmed(none).count() == 0
+
+
 def test_substrings_of_generated_texts(spark):
     rnd = random.Random(5)
     parts = [prose(rnd.randint(15, 45), rnd) for _ in range(6)]

@@ -2,25 +2,20 @@
 
 Both sides are cut into words and hashed k-grams; of every w consecutive k-grams the one with the smallest hash is
 kept (k + w - 1 = the window of 10 words), so each shared run of a window's length keeps one fingerprint on both sides.
-Fingerprints of documents and benchmark are joined and each match is extended to the whole windows around it. Items
-shorter than a window are one window of their own length and are matched by the hash at that length.
-
-Up to `most_windows` benchmark windows (16 bytes each and their item) the benchmark's tables go to every worker and no
-document moves. Beyond, fingerprints and then windows of the documents that matched are joined by shuffles.
+Items shorter than a window are one window of their own length, whose hash is their fingerprint. The benchmark's
+fingerprints go to every worker as a Bloom filter of bounded size; each match is extended to the whole windows around it,
+and only these windows' hashes are joined with the benchmark's. No text moves, and one plan serves every size.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import LETTERS, Stored, ngram_hashes, ship, signed, slices, sliding_min_choice, sliding_min_places, table, whole
+from ._common import LETTERS, Filter, Stored, ngram_hashes, ship, signed, slices, sliding_min_choice, sliding_min_places, table, whole
 
 WINDOW, K = 10, 5
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def each(texts: list[str | None]) -> list[np.ndarray]:
@@ -29,167 +24,87 @@ def each(texts: list[str | None]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
-def _windows(h: np.ndarray) -> tuple[int, np.ndarray]:
-    n = min(len(h), WINDOW)
-    return n, ngram_hashes(h, n)
-
-
-def _fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the kept k-grams."""
-    grams = ngram_hashes(h, K)
-    at = sliding_min_choice(grams, WINDOW - K + 1)
-    return at, grams[at]
-
-
 def benchmark_windows(bench: DataFrame) -> DataFrame:
-    """len, hash, item_id of every window, without repeats; items without words have none."""
+    """len, hash, item_id (as text) of every window, without repeats; items without words have none."""
 
     def run(batches):
         for b in slices(batches):
             for item, h in zip(b.column("item_id").to_pylist(), each(b.column("text").to_pylist()), strict=True):
-                n, w = _windows(h)
-                w = np.unique(w)
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(w), pa.int32()), pa.array(signed(w)), pa.array([item] * len(w), pa.int64())], ["len", "hash", "item_id"])
+                n = min(len(h), WINDOW)
+                w = np.unique(ngram_hashes(h, n))
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(w), pa.int32()), pa.array(signed(w)), pa.array([item] * len(w), pa.string())], ["len", "hash", "item_id"])
 
-    return bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull()).mapInArrow(run, "len int, hash long, item_id long").distinct()
+    return bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").mapInArrow(run, "len int, hash long, item_id string").distinct()
 
 
 def benchmark_fingerprints(bench: DataFrame) -> DataFrame:
+    """The hashes that winnowing keeps of items as long as a window, and those of shorter items."""
+
     def run(batches):
         for b in slices(batches):
             for h in each(b.column("text").to_pylist()):
+                grams = ngram_hashes(h, min(len(h), K if len(h) >= WINDOW else WINDOW))
                 if len(h) >= WINDOW:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(_fingerprints(h)[1]))], ["fp"])
+                    grams = grams[sliding_min_choice(grams, WINDOW - K + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(grams))], ["fp"])
 
     return bench.where(F.col("item_id").isNotNull()).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fp long").distinct()
 
 
-class _Index:
-    """Sorted window hashes by length, their items, and the fingerprints."""
-
-    def __init__(self, windows: list[tuple[int, int, int]], fps: np.ndarray):
-        self.fps, self.by = np.sort(fps), {}
-        for n in sorted({x[0] for x in windows}):
-            own = [(h, i) for m, h, i in windows if m == n]
-            hashes, items = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64)
-            order = np.lexsort((items, hashes))
-            keys, first = np.unique(hashes[order], return_index=True)
-            self.by[n] = keys, np.append(first, len(order)), items[order]
-
-
-def _within(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(sorted_keys, x)
-    at[at == len(sorted_keys)] = 0
-    return sorted_keys[at] == x, at
-
-
-def _judge(h: np.ndarray, index: _Index) -> tuple[int, set[int]]:
-    covered, items = np.zeros(len(h) + 1, np.int64), set()
-    for n, (keys, first, ids) in index.by.items():
-        if len(h) < n:
-            continue
+def _maybe(h: np.ndarray, first: np.ndarray, fps: Filter, lengths: list[int]) -> tuple[np.ndarray, ...]:
+    """Of texts whose words follow each other in h: where windows begin that a fingerprint speaks for, their lengths and hashes."""
+    found = []
+    for n in lengths:
+        ok = whole(first, n, len(h))
         if n == WINDOW:
-            at, fp = _fingerprints(h)
-            hit, _ = _within(index.fps, signed(fp)) if len(index.fps) else (np.zeros(len(fp), bool), None)
-            if not hit.any():
-                continue
-            # a match is extended to each window that holds it
-            starts = np.unique((at[hit][:, None] - np.arange(WINDOW - K + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(h) - n)]
-            grams = ngram_hashes(h, n)[starts]
+            grams = ngram_hashes(h, K)
+            kept = np.unique(sliding_min_places(grams, WINDOW - K + 1)[ok])
+            kept = kept[fps.may_hold(signed(grams[kept]))]
+            at = np.unique((kept[:, None] - np.arange(WINDOW - K + 1)).ravel())
+            at = at[(at >= 0) & (at < len(ok))]
+            at = at[ok[at]]  # a match is extended to each window that holds it
+            own = ngram_hashes(h, n)[at] if len(at) else np.empty(0, np.uint64)
         else:
-            grams = ngram_hashes(h, n)
-            starts = np.arange(len(grams))
-        hit, where = _within(keys, signed(grams))
-        np.add.at(covered, starts[hit], 1)
-        np.add.at(covered, starts[hit] + n, -1)
-        for k in np.unique(where[hit]).tolist():
-            items.update(ids[first[k] : first[k + 1]].tolist())
-    return int(np.count_nonzero(np.cumsum(covered))), items
-
-
-def _row(doc, n: int, hit: int, items) -> tuple:
-    return doc, n, hit, len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), hit > 0
+            at, own = np.flatnonzero(ok), ngram_hashes(h, n)[ok]
+            held = fps.may_hold(signed(own))
+            at, own = at[held], own[held]
+        found.append((at, np.full(len(at), n, np.int32), own))
+    at, n, own = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint64))
+    order = np.argsort(at, kind="stable")
+    return at[order], n[order], own[order]
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, most_windows: int = 2_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
+def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and text_hash (xxhash64 of the text) for every row of docs.
 
-    A null or empty text has no words; a null item_id is no item; repeated items count once by their id; repeated or
-    null doc_ids are judged row by row; empty tables give no rows, or rows without hits; other columns aren't looked at.
+    A null or empty text has no words; a null item_id is no item; item_ids may be of any type and are sorted as strings;
+    repeated items count once by their id; repeated or null doc_ids are judged row by row; empty tables give no rows, or
+    rows without hits; other columns aren't looked at.
     """
     spark = docs.sparkSession
     ship(spark)
-    windows, fps = Stored(benchmark_windows(bench), "bench-windows").df, Stored(benchmark_fingerprints(bench), "bench-fps").df
-    if windows.count() > most_windows:
-        return _joined(docs, windows, fps)
-    shared = spark.sparkContext.broadcast(_Index([tuple(r) for r in windows.collect()], np.array([r[0] for r in fps.collect()], np.int64)))  # at most most_windows of each
+    windows = Stored(benchmark_windows(bench), "bench-windows").df
+    fps = Stored(benchmark_fingerprints(bench), "bench-fps")
+    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most ten numbers
+    shared = spark.sparkContext.broadcast(Filter(fps.df, fps.df.count()))  # 64 MB at most
+    fps.drop()
 
     def run(batches):
-        index = shared.value
         for b in slices(batches):
             h, first = LETTERS.hashes(b.column("text").to_pylist())
-            begin, end = first[:-1].tolist(), first[1:].tolist()
-            maybe = _candidates(h, first, index)
-            yield _batch([_row(doc, e - a, *(_judge(h[a:e], index) if m else (0, ()))) for doc, a, e, m in zip(b.column("doc_id").to_pylist(), begin, end, maybe, strict=True)])
-
-    return table(docs).mapInArrow(run, RESULT)
-
-
-def _candidates(h: np.ndarray, first: np.ndarray, index: _Index) -> list[bool]:
-    """Which of the texts whose words follow each other in h hold a fingerprint, or the hash of a short item."""
-    hit = []
-    for n, (keys, _, _) in index.by.items():
-        if n == WINDOW:
-            at = np.unique(sliding_min_places(ngram_hashes(h, K), WINDOW - K + 1)[whole(first, WINDOW, len(h))])
-            own, keys = ngram_hashes(h, K)[at], index.fps
-        else:
-            at = np.flatnonzero(whole(first, n, len(h)))
-            own = ngram_hashes(h, n)[at]
-        if len(keys) and len(own):
-            hit.append(at[_within(keys, signed(own))[0]])
-    places = np.sort(np.concatenate(hit)) if hit else np.empty(0, np.int64)
-    return (np.diff(np.searchsorted(places, first)) > 0).tolist()
-
-
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [x.split()[0] for x in RESULT.split(", ")])
-
-
-def _joined(docs: DataFrame, windows: DataFrame, fps: DataFrame) -> DataFrame:
-    """The same by shuffles, for a benchmark of any size. Rows are told apart by doc_id and text."""
-    short = sorted(r[0] for r in windows.where(F.col("len") < WINDOW).select("len").distinct().collect())
-
-    def exploded(full: bool):
-        def run(batches):
-            for b in slices(batches):
-                for doc, key, h in zip(b.column("doc_id").to_pylist(), b.column("_key").to_pylist(), each(b.column("text").to_pylist()), strict=True):
-                    for n in [*short, WINDOW] if full else [WINDOW]:
-                        g = ngram_hashes(h, n) if full else _fingerprints(h)[1] if len(h) >= n else h[:0]
-                        yield pa.RecordBatch.from_arrays([pa.array([doc] * len(g), pa.int64()), pa.array([key] * len(g), pa.int64()), pa.array([n] * len(g), pa.int32()), pa.array(np.arange(len(g)), pa.int32()), pa.array(signed(g))], ["doc_id", "_key", "len", "pos", "hash"])
-
-        return run
-
-    base = table(docs).withColumn("_key", F.xxhash64("text"))
-    schema = "doc_id long, _key long, len int, pos int, hash long"
-    found = base.mapInArrow(exploded(False), schema).join(fps.withColumnRenamed("fp", "hash"), "hash", "left_semi").select("doc_id", "_key").distinct()
-    if short:
-        found = base.select("doc_id", "_key")
-    some = base.dropDuplicates(["doc_id", "_key"]).alias("b").join(found.distinct().alias("f"), F.expr("b.doc_id <=> f.doc_id and b._key = f._key"), "left_semi")
-    hits = some.mapInArrow(exploded(True), schema).join(windows, ["len", "hash"]).groupBy("doc_id", "_key").agg(F.collect_set(F.struct("pos", "len")).alias("_spans"), F.collect_set("item_id").alias("_items"))
-    whole = base.alias("b").join(hits.alias("h"), F.expr("b.doc_id <=> h.doc_id and b._key = h._key"), "left").select("b.doc_id", "b.text", "_spans", "_items")
-
-    def run(batches):
-        for b in slices(batches):
-            out = []
-            for doc, h, spans, items in zip(b.column("doc_id").to_pylist(), each(b.column("text").to_pylist()), b.column("_spans").to_pylist(), b.column("_items").to_pylist(), strict=True):
-                n = len(h)
-                covered = np.zeros(n + 1, np.int64)
-                for s in spans or []:
-                    covered[s["pos"]] += 1
-                    covered[s["pos"] + s["len"]] -= 1
-                out.append(_row(doc, n, int(np.count_nonzero(np.cumsum(covered))), items or []))
-            yield _batch(out)
-
-    return whole.mapInArrow(run, RESULT)
+            at, n, own = _maybe(h, first, shared.value, lengths)
+            ends = np.searchsorted(at, first).astype(np.int32)
+            doc = np.searchsorted(first, at, side="right") - 1
+            pieces = pa.StructArray.from_arrays([pa.array((at - first[doc]).astype(np.int32)), pa.array(n), pa.array(signed(own))], ["pos", "len", "hash"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(ends), pieces)], ["doc_id", "text_hash", "n_words", "maybe"])
+
+    read = table(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_words long, maybe array<struct<pos:int,len:int,hash:long>>")
+    rows = Stored(read.withColumn("row", F.monotonically_increasing_id()), "read").df
+    met = rows.where(F.size("maybe") > 0).select("row", F.inline("maybe")).join(windows, ["len", "hash"])
+    hits = met.groupBy("row").agg(F.collect_set(F.struct("pos", "len")).alias("spans"), F.collect_set("item_id").alias("items"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.pos, s.pos + s.len - 1)))))
+    found = hits.select("row", covered.cast("long").alias("hit"), F.size("items").cast("long").alias("n"), F.array_join(F.array_sort("items"), ",").alias("ids"))
+    n_hit = F.coalesce("hit", F.lit(0).cast("long"))
+    return rows.drop("maybe").join(found, "row", "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "text_hash"
+    )
