@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -241,28 +242,48 @@ def test_sharding(spark, docs, none):
 # 5 token files
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 65535), max_size=300), st.integers(1, 40))
-def test_range_coder_round_trip(ids, times):
-    x = np.array(ids * times, "<u4")
-    assert (rangecoder.decode(rangecoder.encode(x)) == x).all()
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 3), max_size=300), st.integers(1, 40), st.sampled_from([16, 4096]))
+def test_range_coder_round_trip(ids, times, block):
+    x, before = np.array(ids * times, "<u4"), rangecoder.BLOCK
+    rangecoder.BLOCK = block
+    try:
+        t, blocks = rangecoder.encode(x)
+        assert (rangecoder.decode(rangecoder.Table.load(t.dump()), blocks) == x).all() and len(blocks) == -(-len(x) // block)
+    finally:
+        rangecoder.BLOCK = before
+
+
+def test_range_coder_beats_deflate_and_order_0():
+    texts = [r.as_py() for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")["text"][:150]]
+    x = np.concatenate([np.append(np.frombuffer(b, "<u4"), 2) for b in encoder(WORD).encode(texts)]).astype("<u4")
+    t, blocks = rangecoder.encode(x)
+    bits = 8 * (len(t.dump()) + sum(12 + len(b[2]) for b in blocks)) / len(x)
+    share = np.unique(x, return_counts=True)[1] / len(x)
+    assert bits < 8 * len(zlib.compress(x.astype("<u2").tobytes(), 9)) / len(x) - 1 and bits < -(share * np.log2(share)).sum()
+    assert (rangecoder.decode(t, blocks) == x).all()
+
+
+def test_range_coder_of_certain_and_of_even_ids():
+    same = rangecoder.encode(np.full(40_000, 7))[1]
+    assert sum(len(b[2]) for b in same) < 40_000 / 8
+    even = np.random.default_rng(0).integers(0, 1 << 12, 80_000)
+    assert sum(len(b[2]) for b in rangecoder.encode(even)[1]) < 80_000 * 12.6 / 8
 
 
 def test_range_coder_notices_damage():
-    blocks = rangecoder.encode(np.arange(5000) % 300)
+    t, blocks = rangecoder.encode(np.arange(9000) % 300)
     n, crc, raw = blocks[1]
     with pytest.raises(ValueError):
-        rangecoder.decode([blocks[0], (n, crc, raw[:20] + bytes([raw[20] ^ 1]) + raw[21:]), *blocks[2:]])
+        rangecoder.decode(t, [blocks[0], (n, crc, raw[:20] + bytes([raw[20] ^ 1]) + raw[21:]), *blocks[2:]])
     f = codec.pack_file([1, None], [np.array([5, 6], "<u4").tobytes(), b""])
     assert [x.tolist() if hasattr(x, "tolist") else x for x in codec.unpack_file(f)] == [[1, None], [2, 0], [5, 6]]
-    for bad in (f[:-1], b"x" + f[1:], f[:40] + bytes([f[40] ^ 1]) + f[41:]):
+    for bad in (f[:-1], b"x" + f[1:], f[:44] + bytes([f[44] ^ 1]) + f[45:], f[:70] + bytes([f[70] ^ 1]) + f[71:]):
         with pytest.raises((ValueError, zlib.error)):
             codec.unpack_file(bad)
-    with pytest.raises(ValueError):
-        rangecoder.encode(np.array([70000]))
 
 
-def test_token_files(docs, none, tmp_path):
+def test_token_files(docs, none):
     got = codec.round_trip(docs, WORD).collect()
     e, at, want = encoder(WORD), 0, Counter()
     for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
@@ -272,12 +293,25 @@ def test_token_files(docs, none, tmp_path):
         at += len(ids)
     assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got if r.doc_id is not None) == want
     files = codec.write(docs, WORD, file_tokens=50)
-    assert codec.export(files, str(tmp_path)) == len(list(tmp_path.glob("*.wfid"))) > 3
+    assert files.count() > 3
     ids = codec.read(files, ids=True).where("doc_id = 7").first().ids
     assert ids == [*np.frombuffer(e.encode([PASSAGE])[0], "<u4").tolist(), 2]
     assert codec.round_trip(none, WORD).count() == 0
 
 
+def test_token_files_of_many_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(codec, "PART_BYTES", 3000)
+    many = docs.union(docs.where("doc_id is null")).union(spark.createDataFrame([(None, "x y z " * 50, *([None] * 6))] * 90, SCHEMA))
+    files = codec.write(many, WORD)
+    assert files.select("part").distinct().count() > 5
+    rows = sorted(codec.round_trip(many, WORD).collect(), key=lambda r: r.start)
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda d: (d is not None, d or 0)) and len(rows) == many.count()
+
+
 # 6 nearest neighbours
 
 

@@ -258,10 +258,6 @@ def table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def no_threads() -> None:
     """Workers share cores: the tokenizer's own threads stay off."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

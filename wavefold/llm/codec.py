@@ -2,8 +2,9 @@
 
 A file is one value of a binary column, so Spark's own writers carry it to any store and tasks read files apart:
 
-    magic "WFIDRC01" | documents, blocks, directory bytes: u32 each | ids: u64 | crc32 of the directory: u32
+    magic "WFIDRC02" | documents, blocks, directory bytes, table bytes: u32 each | ids: u64 | crc32 of directory and table: u32
     directory, deflated: doc_id i64 each | 1 where doc_id is null, u8 each | ids u32 each
+    table of the file's ids, deflated: gaps between distinct ids, by their bytes | classes of their counts, u8 each
     blocks: ids, crc32 of the ids, payload bytes: u32 each | payloads
 
 All numbers are little-endian. `file_no` counts a partition's files; partitions are ranges of doc_id.
@@ -11,7 +12,6 @@ All numbers are little-endian. `file_no` counts a partition's files; partitions
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 
@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import rangecoder
-from ._common import Stored, ship, shuffle_partitions, slices, table
+from ._common import Stored, ship, slices, table
 from .tokens import encoder
 
-MAGIC = b"WFIDRC01"
-_HEAD = struct.Struct("<8sIIIQI")
+MAGIC = b"WFIDRC02"
+_HEAD = struct.Struct("<8sIIIIQI")
+#: A partition holds about so many bytes of text; beyond `MOST_PARTS` partitions each holds more, in more files.
+PART_BYTES, MOST_PARTS = 24_000_000, 20_000
 FILES = "part int, file_no int, n_docs long, n_tokens long, content binary"
 DOCS = "part int, file_no int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -34,30 +36,30 @@ def pack_file(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     lengths = np.array([len(x) // 4 for x in ids], "<u4")
     names = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + lengths.tobytes()
     directory = zlib.compress(names, 6)
-    blocks = rangecoder.encode(np.frombuffer(b"".join(ids), "<u4"))
-    heads = np.array([(n, crc, len(p)) for n, crc, p in blocks], "<u4").reshape(-1, 3).tobytes()
-    return b"".join([_HEAD.pack(MAGIC, len(ids), len(blocks), len(directory), int(lengths.sum()), zlib.crc32(directory)), directory, heads, *(b[2] for b in blocks)])
+    table, blocks = rangecoder.encode(np.frombuffer(b"".join(ids), "<u4"))
+    head, heads = directory + table.dump(), np.array([(n, crc, len(p)) for n, crc, p in blocks], "<u4").reshape(-1, 3).tobytes()
+    return b"".join([_HEAD.pack(MAGIC, len(ids), len(blocks), len(directory), len(head) - len(directory), int(lengths.sum()), zlib.crc32(head)), head, heads, *(b[2] for b in blocks)])
 
 
 def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, each document's number of ids, all ids; raises ValueError where magic, size or a checksum doesn't hold."""
     if len(raw) < _HEAD.size or raw[:8] != MAGIC:
         raise ValueError("not a token-id file")
-    _, docs, count, size, total, crc = _HEAD.unpack_from(raw)
+    _, docs, count, size, table_size, total, crc = _HEAD.unpack_from(raw)
     at = _HEAD.size
-    directory = raw[at : at + size]
-    if zlib.crc32(directory) != crc:
+    head = raw[at : at + size + table_size]
+    if zlib.crc32(head) != crc:
         raise ValueError("the directory's checksum doesn't hold")
-    names = zlib.decompress(directory)
+    names, table = zlib.decompress(head[:size]), rangecoder.Table.load(head[size:])
     ids, null, lengths = np.frombuffer(names[: 8 * docs], "<i8"), names[8 * docs : 9 * docs], np.frombuffer(names[9 * docs :], "<u4")
-    at += size
+    at += size + table_size
     heads = np.frombuffer(raw[at : at + 12 * count], "<u4").reshape(-1, 3)
     at += 12 * count
     blocks = []
     for n, c, long in heads.tolist():
         blocks.append((n, c, raw[at : at + long]))
         at += long
-    tokens = rangecoder.decode(blocks)
+    tokens = rangecoder.decode(table, blocks)
     if at != len(raw) or len(tokens) != total or int(lengths.sum()) != total:
         raise ValueError("the file's size doesn't hold")
     return [None if z else d for d, z in zip(ids.tolist(), null, strict=True)], lengths, tokens
@@ -89,7 +91,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = 8
         if ids:
             yield full()
 
-    ranged = table(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    texts = table(docs)
+    parts = min(MOST_PARTS, 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+    # Rows without a doc_id, or that share one, are dealt out by their texts, and those that are alike one by one.
+    keyed = texts.withColumn("h", F.xxhash64("text")).withColumn("k", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(parts, "doc_id", "h", "k").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return ranged.mapInArrow(run, FILES)
 
 
@@ -120,7 +126,7 @@ def index(files: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = files.select("part", "file_no", "n_tokens")
     at = 0
     parts = []
-    for part, n in sorted((r[0], r[1]) for r in sizes.groupBy("part").agg(F.sum("n_tokens")).collect()):  # a number for each partition
+    for part, n in sorted((r[0], r[1]) for r in sizes.groupBy("part").agg(F.sum("n_tokens")).collect()):  # a number for each partition, MOST_PARTS at most
         parts.append((part, at))
         at += n
     begin = spark.createDataFrame(parts, "part int, _part long")
@@ -133,14 +139,3 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Writes the files to the shared folder, reads them back, and indexes what was read."""
     files = Stored(write(docs, tokenizer, end_id), "token-files").df
     return index(files, read(files))
-
-
-def export(files: DataFrame, folder: str) -> int:
-    """Copies files to a folder of this machine, one at a time; for corpora that fit there. Returns their number."""
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for r in files.select("part", "file_no", "content").toLocalIterator():
-        with open(os.path.join(folder, f"{r[0]:05d}-{r[1]:05d}.wfid"), "wb") as f:
-            f.write(r[2])
-        n += 1
-    return n

@@ -1,10 +1,11 @@
 """An adaptive context-mixing range coder for token ids, run over many blocks in step.
 
-Blocks are independent: each begins with empty models and has a checksum of its ids. That lets NumPy code token t of all
-blocks at once. Three models predict a token: order 2 names the id last seen after the same two ids, order 1 the one
-last seen after the same id, order 0 the ids lately seen at all, one in each of 512 slots. How often the first two were
-right lately selects adaptive counts, in which the chances of the four outcomes mix: order 2 is right, order 1 is, the id
-is in its slot, or none. The outcome is coded by these counts, then the slot's number or the id itself evenly.
+A table numbers a file's distinct ids and says how often they come, in classes of half a bit. Blocks are independent: each
+starts with empty models and has a checksum of its ids, so NumPy codes id t of all blocks at once. Three models predict an
+id. Order 2 names the id last seen after the same two ids, order 1 the one last seen after the same id, each with a
+confidence, how often in a row its slot was right; order 0 is the distribution of the table. The three are mixed: an id's
+probability is w2 if order 2 names it, and w1 if order 1 does, and w0 times that of order 0. The weights are learned in
+each block, apart for each pair of confidences. One step of a range coder with carries codes an id.
 """
 
 from __future__ import annotations
@@ -13,179 +14,196 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-SLOTS, CACHE_BITS = 1024, 9
-_U = np.uint64
-_32 = _U(32)
-_LOW = _U(0xFFFFFFFF)
-_16 = _U(0xFFFF)
-_SHIFT = np.array([0, 16, 32, 48], _U)
-_STEP = _U(24) << _SHIFT
-_HALF, _ONES = _U(0x7FFF7FFF7FFF7FFF), _U(0x0001000100010001)
-
-
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (ids * 40503 >> 6) & ((1 << CACHE_BITS) - 1)
+BLOCK = 4096
+SLOT_BITS = 10
+_U, _W = np.uint64, np.uint32
+_32, _FULL = _U(32), _U(0xFFFFFFFFFFFFFFFF)
+_2, _3, _5, _16 = _W(2), _W(3), _W(5), _W(16)
+#: What the classes of counts stand for, two classes for each doubling.
+_COUNT = np.array([max(1, int(2 ** (k / 2) + 0.5)) for k in range(64)], np.int64)
+#: Weights are pairs of 16-bit numbers, order 2's above order 1's. An id moves each by a 32nd towards 64,000 or 512.
+_KEEP = _W(0x07FF07FF)
+_RIGHT2, _RIGHT1, _WRONG = (_W((a << 16) + b) for a, b in ((2000, 16), (16, 2000), (16, 16)))
+_FIRST = np.array([(a << 16) + b for a in (3000, 16000, 28000, 50000) for b in (2000, 6000, 9000, 12000)], _W)
+
+
+class Table:
+    """The distinct ids, sorted, the classes of their counts, and order 0: which parts of 2^bits an id has."""
+
+    def __init__(self, symbols: np.ndarray, classes: np.ndarray):
+        self.symbols, self.classes = symbols, classes
+        n = len(symbols)
+        self.bits = max(17, (4 * n - 1).bit_length() if n else 0)
+        self.weight_bits = max(6, 28 - self.bits)
+        count = _COUNT[classes]
+        part = 1 + count * ((1 << self.bits) - n) // max(int(count.sum()), 1)
+        if n:
+            part[int(np.argmax(count))] += (1 << self.bits) - int(part.sum())
+        self.part, self.begin = part.astype(_W), (np.cumsum(part) - part).astype(_W)
+
+    @staticmethod
+    def of(ids: np.ndarray) -> tuple[Table, np.ndarray]:
+        """The table of ids, and their numbers in it."""
+        top = int(ids.max(initial=0)) + 1
+        if top <= 8 * len(ids) + (1 << 17):
+            every = np.bincount(ids, minlength=top)
+            symbols = np.flatnonzero(every)
+            count, at = every[symbols], np.zeros(top, _W)
+            at[symbols] = np.arange(len(symbols), dtype=_W)
+            number = at.take(ids)
+        else:
+            symbols, number, count = np.unique(ids, return_inverse=True, return_counts=True)
+        return Table(symbols.astype(np.int64), (np.searchsorted(_COUNT[2:], count, side="right") + 1).astype(np.uint8)), number.astype(_W)
+
+    def dump(self) -> bytes:
+        gaps = np.diff(self.symbols, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+        return zlib.compress(gaps.tobytes() + self.classes.tobytes(), 9)
+
+    @staticmethod
+    def load(raw: bytes) -> Table:
+        flat = np.frombuffer(zlib.decompress(raw), np.uint8)
+        n = len(flat) // 5
+        if len(flat) % 5 or (flat[4 * n :] >= len(_COUNT)).any():
+            raise ValueError("not a table of ids")
+        return Table(np.cumsum(np.ascontiguousarray(flat[: 4 * n].reshape(4, n).T).view("<u4").ravel(), dtype=np.int64), flat[4 * n :])
 
 
 class _Models:
-    """Of each lane: slots of the three orders (an id, and for orders 1 and 2 above it how often it was right), and counts."""
-
-    def __init__(self, lanes: int):
-        self.o1, self.o2 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
-        self.o0 = np.zeros(lanes << CACHE_BITS, np.uint16)
-        self.counts = np.full(lanes * 32, _U(8) * _ONES, _U)
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the id before, the one before that
-        self.lane = np.arange(lanes)
-        self.at1, self.at0, self.at_counts = self.lane * SLOTS, self.lane << CACHE_BITS, self.lane * 32
-
-    def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """Places of orders 1 and 2, their entries and ids, the place of the counts and the running sums of the counts."""
-        a, b = self.a[:n] * 40503, self.b[:n] * 30011
-        s1, s2 = self.at1[:n] + ((a >> 4) & (SLOTS - 1)), self.at1[:n] + ((a ^ b ^ (b >> 7)) & (SLOTS - 1))
-        e1, e2 = self.o1[s1], self.o2[s2]
-        p1, p2 = (e1 & 0xFFFF).astype(np.int64), (e2 & 0xFFFF).astype(np.int64)
-        ctx = self.at_counts[:n] + ((e2 >> 16) * 4 + (e1 >> 16)) + ((p1 == p2) << 4)
-        row = self.counts[ctx]
-        # The four counts' running sums, each in 16 bits.
-        sums = row * _ONES
-        return s1, s2, e1, e2, p1, p2, ctx, row, sums
-
-    def learn(self, ids: np.ndarray, made: tuple[np.ndarray, ...], symbol: np.ndarray) -> None:
-        s1, s2, e1, e2, p1, p2, ctx, row, sums = made
-        n, own = len(ids), ids.astype(np.uint32)
-        for table, s, e, p in ((self.o1, s1, e1, p1), (self.o2, s2, e2, p2)):
-            conf = e >> 16
-            table[s] = own | (np.where(p == ids, np.minimum(conf + 1, 3), conf >> 1).astype(np.uint32) << 16)
-        self.o0[self.at0[:n] + _slot(ids)] = own
-        row = row + _STEP[symbol]
-        big = np.flatnonzero((sums >> _U(48)) > 4000)
-        if len(big):
-            row[big] = ((row[big] >> _U(1)) & _HALF) | _ONES
-        self.counts[ctx] = row
-        self.b[:n] = self.a[:n]
-        self.a[:n] = ids
-
-
-class _Coder:
-    """Carryless 64-bit range coders in step, with output and input in 32-bit words."""
-
-    def __init__(self, lanes: int, words: np.ndarray | None = None):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.decoding = words is not None
-        self.words = np.zeros((lanes, BLOCK // 2 + 16), np.uint32) if words is None else words
-        self.at = np.zeros(lanes, np.int64)
-        if self.decoding:
-            self.code = (self.words[:, 0].astype(_U) << _32) | self.words[:, 1]
-            self.at += 2
-
-    def narrow(self, sel, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        """Of lanes `sel` (the first ones or some), each worth r a count: takes `freq` counts after `cum`."""
-        low, width = self.low[sel] + r * cum, r * freq
-        out = np.flatnonzero(width < _U(1 << 40))
-        if len(out):
-            lo, wide = low[out], width[out]
-            same = (lo >> _32) == ((lo + (wide - _U(1))) >> _32)
-            go = same | (wide < _U(1 << 24))
-            out, lo, wide = out[go], lo[go], np.where(same, wide, (~lo + _U(1)) & _LOW)[go]
-            lanes = sel[out] if isinstance(sel, np.ndarray) else out
-            at = self.at[lanes]
-            if self.decoding:
-                self.code[lanes] = (self.code[lanes] << _32) | self.words[lanes, np.minimum(at, self.words.shape[1] - 1)]
-            elif len(at):
-                if at.max() + 4 > self.words.shape[1]:
-                    self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1])))
-                self.words[lanes, at] = lo >> _32
-            self.at[lanes] = at + 1
-            low[out], width[out] = lo << _32, wide << _32
-        self.low[sel], self.range[sel] = low, width
-
-    def finish(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        if self.at.max(initial=0) + 4 > self.words.shape[1]:
-            self.words = np.pad(self.words, ((0, 0), (0, 4)))
-        self.words[lanes, self.at] = self.low >> _32
-        self.words[lanes, self.at + 1] = self.low & _LOW
-        return [self.words[k, : n + 2].tobytes() for k, n in enumerate(self.at.tolist())]
+    """Of each lane: the slots of orders 1 and 2 (an id's number, and in the two lowest bits a confidence), and the weights."""
+
+    def __init__(self, lanes: int, table: Table):
+        self.part, self.full, self.all = table.part, _W(table.bits), _W(1 << table.weight_bits)
+        self.down1, self.down2 = _W(16 - table.weight_bits), _W(32 - table.weight_bits)
+        self.slots1, self.slots2 = np.zeros(lanes << SLOT_BITS, _W), np.zeros(lanes << SLOT_BITS, _W)
+        self.weights = np.tile(np.concatenate([_FIRST, _FIRST]), lanes)
+        self.before, self.hash1 = np.zeros(lanes, _W), np.zeros(lanes, _W)
+        self.base, self.rows = np.arange(lanes, dtype=np.int64) << SLOT_BITS, np.arange(lanes, dtype=np.int64) << 5
+
+    def predict(self, n: int):
+        """What learn() needs, the weight of order 0, and where the ids that orders 2 and 1 name end, out of the total."""
+        h, base = self.hash1[:n], self.base[:n]
+        s1 = (h >> _W(32 - SLOT_BITS)) + base
+        s2 = ((h + self.before[:n]) * _W(0x85EBCA77) >> _W(32 - SLOT_BITS)) + base
+        e1, e2 = self.slots1.take(s1), self.slots2.take(s2)
+        c1, c2 = e1 >> _2, e2 >> _2
+        row = ((e2 & _3) << _2) + (e1 & _3) + ((c1 == c2).astype(_W) << _W(4)) + self.rows[:n]
+        w = self.weights.take(row)
+        w2, w1 = w >> self.down2, (w & _W(0xFFFF)) >> self.down1
+        w0 = self.all - w2 - w1
+        end2 = (w2 << self.full) + w0 * self.part.take(c2)
+        end1 = end2 + (w1 << self.full) + w0 * self.part.take(c1)
+        return (s1, s2, e1, e2, row, w), c1, c2, w0, end2, end1, end1 + (w0 << self.full)
+
+    def learn(self, x: np.ndarray, is1: np.ndarray, is2: np.ndarray, made) -> None:
+        """x: the ids' numbers; is1, is2: which of them orders 1 and 2 named."""
+        (s1, s2, e1, e2, row, w), n = made, len(x)
+        new = x << _2
+        self.slots1[s1] = np.where(is1, np.minimum(e1 + _W(1), e1 | _3), new)
+        self.slots2[s2] = np.where(is2, np.minimum(e2 + _W(1), e2 | _3), new)
+        self.weights[row] = w - ((w >> _5) & _KEEP) + np.where(is2, _RIGHT2, np.where(is1, _RIGHT1, _WRONG))
+        self.before[:n] = self.hash1[:n]
+        self.hash1[:n] = x * _W(0x9E3779B1)
 
 
 def _lengths(n: int) -> list[int]:
-    """All blocks but the last are full, so lanes of a step are the first ones."""
+    """All blocks but the last are full, so the lanes of a step are the first ones."""
     return [BLOCK] * (n // BLOCK) + ([n % BLOCK] if n % BLOCK else [])
 
 
-def encode(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(ids, crc32 of them as little-endian uint32, payload) of each block. Ids are below 65536."""
+def _carry(words: np.ndarray, lane: int, at: int) -> None:
+    """Adds one to the words before `at`."""
+    at -= 1
+    words[lane, at] += _W(1)
+    while not words[lane, at]:
+        at -= 1
+        words[lane, at] += _W(1)
+
+
+def encode(ids: np.ndarray) -> tuple[Table, list[tuple[int, int, bytes]]]:
+    """The table, and of each block its ids, their crc32 as little-endian uint32, and the payload. Ids are below 2^32."""
     ids = np.ascontiguousarray(ids, "<u4")
-    if len(ids) and int(ids.max()) > 0xFFFF:
-        raise ValueError("ids must be below 65536")
+    table, number = Table.of(ids)
     lengths = _lengths(len(ids))
     lanes = len(lengths)
-    if not lanes:
-        return []
-    grid = np.zeros(lanes * BLOCK, np.int64)
-    grid[: len(ids)] = ids
+    grid = np.zeros(lanes * BLOCK, _W)
+    grid[: len(ids)] = number
     columns = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    models, coder = _Models(lanes), _Coder(lanes)
-    for t in range(max(lengths)):
+    del grid, number
+    models = _Models(lanes, table)
+    low, wide, at = np.zeros(lanes, _U), np.full(lanes, _FULL, _U), np.zeros(lanes, np.int64)
+    words = np.zeros((lanes, BLOCK // 3 + 16), _W)
+    for t in range(max(lengths, default=0)):
         n = lanes if t < lengths[-1] else lanes - 1
         x = columns[t, :n]
-        made = models.predict(n)
-        p1, p2, row, sums = made[4], made[5], made[7], made[8]
-        slot = _slot(x)
-        symbol = np.where(x == p2, 0, np.where(x == p1, 1, np.where(models.o0[models.at0[:n] + slot] == x, 2, 3)))
-        shift = _SHIFT[symbol]
-        freq = (row >> shift) & _16
-        coder.narrow(slice(0, n), coder.range[:n] // (sums >> _U(48)), ((sums >> shift) & _16) - freq, freq)
-        rest = np.flatnonzero(symbol >= 2)
-        if len(rest):
-            cached = symbol[rest] == 2
-            coder.narrow(rest, coder.range[rest] >> np.where(cached, _U(CACHE_BITS), _U(16)), np.where(cached, slot[rest], x[rest]).astype(_U), _U(1))
-        models.learn(x, made, symbol)
+        made, c1, c2, w0, end2, end1, total = models.predict(n)
+        is1, is2 = c1 == x, c2 == x
+        begin = np.where(is2, _W(0), np.where(is1, end2, end1 + w0 * table.begin.take(x)))
+        size = np.where(is2, end2, np.where(is1, end1 - end2, w0 * table.part.take(x)))
+        old, r = low[:n], wide[:n] // total
+        new, wd = old + r * begin, r * size
+        for k in np.flatnonzero(new < old).tolist():
+            _carry(words, k, at[k])
+        out = np.flatnonzero(wd <= _U(0xFFFFFFFF))
+        if len(out):
+            own, to = new[out], at[out]
+            if int(to.max()) + 2 > words.shape[1]:
+                words = np.pad(words, ((0, 0), (0, words.shape[1])))
+            words[out, to] = own >> _32
+            at[out] = to + 1
+            new[out] = own << _32
+            wd[out] <<= _32
+        low[:n], wide[:n] = new, wd
+        models.learn(x, is1, is2, made)
+    words = np.pad(words, ((0, 0), (0, 1)))
+    up = (low >> _32) + ((low & _U(0xFFFFFFFF)) != 0)  # the first multiple of a word in the last range; zeros follow it
+    for k in np.flatnonzero(up >> _32).tolist():
+        _carry(words, k, at[k])
+    words[np.arange(lanes), at] = up.astype(_W)
     raw = ids.tobytes()
     begins = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-    return [(n, zlib.crc32(raw[4 * b : 4 * (b + n)]), payload) for n, b, payload in zip(lengths, begins, coder.finish(), strict=False)]
+    return table, [(n, zlib.crc32(raw[4 * b : 4 * (b + n)]), words[k, :end].tobytes()) for k, (n, b, end) in enumerate(zip(lengths, begins, (at + 1).tolist(), strict=False))]
 
 
-def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+def decode(table: Table, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of blocks in the order encode() gave them; raises ValueError where a checksum doesn't hold."""
     lanes = len(blocks)
     if not lanes:
         return np.empty(0, "<u4")
     lengths = [b[0] for b in blocks]
-    words = np.zeros((lanes, max(len(b[2]) for b in blocks) // 4 + 2), np.uint32)
+    words = np.zeros((lanes, max(len(b[2]) for b in blocks) // 4 + 2), _W)
     for k, b in enumerate(blocks):
         words[k, : len(b[2]) // 4] = np.frombuffer(b[2], "<u4")
-    columns = np.zeros((BLOCK, lanes), np.int64)
-    models, coder = _Models(lanes), _Coder(lanes, words)
+    named = np.repeat(np.arange(len(table.symbols), dtype=_W), table.part.astype(np.int64))
+    columns = np.zeros((max(lengths), lanes), _W)
+    models = _Models(lanes, table)
+    code, wide, at = (words[:, 0].astype(_U) << _32) | words[:, 1], np.full(lanes, _FULL, _U), np.full(lanes, 2)
+    last = words.shape[1] - 1
     for t in range(max(lengths)):
         n = lanes if t < lengths[-1] else lanes - 1
-        made = models.predict(n)
-        p1, p2, row, sums = made[4], made[5], made[7], made[8]
-        total = sums >> _U(48)
-        r = coder.range[:n] // total
-        v = np.minimum((coder.code[:n] - coder.low[:n]) // r, total - _U(1))
-        symbol = (v >= (sums & _16)).astype(np.int64) + (v >= ((sums >> _U(16)) & _16)) + (v >= ((sums >> _32) & _16))
-        shift = _SHIFT[symbol]
-        freq = (row >> shift) & _16
-        coder.narrow(slice(0, n), r, ((sums >> shift) & _16) - freq, freq)
-        x = np.where(symbol == 0, p2, p1)
-        rest = np.flatnonzero(symbol >= 2)
-        if len(rest):
-            cached = symbol[rest] == 2
-            bits = np.where(cached, _U(CACHE_BITS), _U(16))
-            r = coder.range[rest] >> bits
-            v = np.minimum((coder.code[rest] - coder.low[rest]) // r, (_U(1) << bits) - _U(1))
-            coder.narrow(rest, r, v, _U(1))
-            v = v.astype(np.int64)
-            x[rest] = np.where(cached, models.o0[models.at0[rest] + np.where(cached, v, 0)], v)
-        models.learn(x, made, symbol)
+        made, c1, c2, w0, end2, end1, total = models.predict(n)
+        r, own = wide[:n] // total, code[:n]
+        v = np.minimum(own // r, total - _W(1)).astype(_W)
+        is2 = v < end2
+        rest = np.flatnonzero(v >= end1)
+        x, begin = np.where(is2, c2, c1), np.where(is2, _W(0), end2)
+        size = np.where(is2, end2, end1 - end2)
+        w, edge = w0.take(rest), end1.take(rest)
+        y = named.take((v.take(rest) - edge) // w)
+        x[rest], begin[rest], size[rest] = y, edge + w * table.begin.take(y), w * table.part.take(y)
+        code[:n], wide[:n] = own - r * begin, r * size
+        out = np.flatnonzero(wide[:n] <= _U(0xFFFFFFFF))
+        if len(out):
+            to = at[out]
+            code[out] = (code[out] << _32) | words[out, np.minimum(to, last)]
+            wide[out] <<= _32
+            at[out] = to + 1
+        models.learn(x, c1 == x, c2 == x, made)
         columns[t, :n] = x
-    ids = np.ascontiguousarray(columns.T).ravel()
-    out = np.concatenate([ids[k * BLOCK : k * BLOCK + n] for k, n in enumerate(lengths)]).astype("<u4")
-    raw, at = out.tobytes(), 0
+    flat = np.ascontiguousarray(columns.T)
+    out = table.symbols.take(np.concatenate([flat[k, :n] for k, n in enumerate(lengths)])).astype("<u4")
+    raw, at_ = out.tobytes(), 0
     for n, crc, _ in blocks:
-        if zlib.crc32(raw[4 * at : 4 * (at + n)]) != crc:
+        if zlib.crc32(raw[4 * at_ : 4 * (at_ + n)]) != crc:
             raise ValueError("a block's checksum doesn't hold")
-        at += n
+        at_ += n
     return out

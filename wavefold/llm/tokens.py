@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with a worker-wide memory of what words encode to.
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct piece is encoded once by the
-`tokenizers` library, and the pieces' ids are put together. Pieces of Latin script go straight to the library's BPE
-model; all others through its whole chain. Texts that hold an added token's content go through the whole chain uncut, as
+`tokenizers` library, and the pieces' ids are put together. Pieces of Latin script go, many at a time, straight to the
+library's BPE model; all others through its whole chain. Texts that hold an added token's content go through the whole chain uncut, as
 it splits there first. Files with another chain than the two known here are encoded text by text.
 """
 
@@ -38,7 +38,7 @@ class Encoder:
     def __init__(self, path: str):
         no_threads()
         self.tok = Tokenizer.from_file(path)
-        self.model, self.letters = self.tok.model, _byte_letters()
+        self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
@@ -46,38 +46,60 @@ class Encoder:
         self.added = [x["content"] for x in added]
         self.memory: dict[str, bytes] = {}
         self.cut = self.parts = None
-        self.lower = False
+        self.lower = self.plain = False
         if any(x.get("normalized") for x in added):  # sought in normalised text
             return
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.cut = re.compile(rf" ?{_NS}+|{_WS}+(?!{_NS})|{_WS}+")
             self.parts = re.compile(rf"{_SHORT}| ?{_L}+| ?{_N}+| ?{_OTHER}+")
         elif [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("invert"):
-            self.cut, self.lower = re.compile(rf"{_NS}+"), True
+            self.cut, self.lower, self.plain = re.compile(rf"{_NS}+"), True, True
             self.parts = re.compile(rf"{_SHORT}|{_L}+|{_N}|{_OTHER}+")
+        if self.cut:
+            self._bare(spec)
+
+    def _bare(self, spec: dict) -> None:
+        """The library with the file's BPE model alone, for words already written in byte letters, one a line; and how many
+        of a word's bytes each id stands for, by which a run of ids is cut into words again."""
+        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}))
+        end, vocabulary = spec["model"].get("end_of_word_suffix") or "", spec["model"]["vocab"]
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for word, k in vocabulary.items():
+            self.bytes_of[k] = len(word.removesuffix(end))
+        self.letters[10] = "\n"
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _fill(self, pieces: list[str]) -> None:
-        memory, latin, letters, bpe = self.memory, _LATIN.match, self.letters, self.model.tokenize
-        rest = []
+        memory, latin = self.memory, _LATIN.match
+        plain, rest = [], []
         for p in pieces:
-            if not latin(p):
-                rest.append(p)
-                continue
-            ids: list[int] = []
-            for part in self.parts.findall(p.lower() if self.lower else p):
-                ids += [t.id for t in bpe(part.encode().decode("latin-1").translate(letters))]
-            memory[p] = np.array(ids, "<u4").tobytes()
+            (plain if latin(p) else rest).append(p)
+        if plain:
+            lines = "\n".join(plain)
+            if self.lower:
+                lines = lines.lower()
+            sizes = np.array([len(x) for x in lines.encode().split(b"\n")])
+            words = "\n".join(self.parts.findall(lines)).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.bare.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1)).tolist()
+            raw = ids.tobytes()
+            memory.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
             memory[p] = np.array(e.ids, "<u4").tobytes()
 
+    def _pieces(self, text: str) -> list[str]:
+        """The text cut where the pre-tokenizer always cuts. Python's own split knows four separators more."""
+        if self.plain and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
+            return text.split()
+        return self.cut.findall(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.cut is None:
             return [self._one(t) if t else b"" for t in texts]
         uncut = {k for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        cut = [self.cut.findall(t) if t and k not in uncut else [] for k, t in enumerate(texts)]
+        cut = [self._pieces(t) if t and k not in uncut else [] for k, t in enumerate(texts)]
         if len(self.memory) >= CACHE_ENTRIES:
             self.memory.clear()
         if new := set().union(*cut).difference(self.memory):
