@@ -340,9 +340,86 @@ def test_nearest(spark):
     assert ann.nearest(d.where("vec_id > 1499")).count() == 0
 
 
+def exact(rows, every, k):
+    out = {}
+    for q, v in rows.items():
+        if q % every == 0:
+            s = [(-float(np.dot(v, w)), i) for i, w in rows.items() if i != q and len(w) == len(v)]
+            out[q] = [i for _, i in sorted(s)[:k]]
+    return out
+
+
+def test_nearest_of_mixed_lengths_and_norms(spark):
+    """Several partitions; each query of the rarer length has all its neighbours, each once; recall is that of the inner product."""
+    r = np.random.default_rng(1)
+    rows = {k: r.normal(size=8 if k % 5 == 0 and k < 400 else 16) * r.lognormal(0, 0.7) for k in range(2400)}
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in rows.items()], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for x in ann.nearest(d, every=20, k=10, cell=200, parts=8, block=30).collect():
+        got[x.query_id].append((x.rank, x.vec_id))
+    want = exact(rows, 20, 10)
+    assert set(got) == set(want)
+    near = {q: [v for _, v in sorted(x)] for q, x in got.items()}
+    assert all(len(set(x)) == len(x) == 10 for x in near.values())
+    assert all(near[q] == want[q] for q in want if len(rows[q]) == 8)
+    assert sum(len(set(near[q]) & set(want[q])) for q in want) / (10 * len(want)) >= 0.9
+
+
+def test_queries_in_poor_partitions_are_widened(spark):
+    rows = {k: np.r_[np.eye(4)[k % 4] * (1 + k / 1e4), np.zeros(4)] for k in range(400)}
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in rows.items()], "vec_id long, embedding array<double>")
+    found = ann.nearest(d, every=50, k=120, parts=4, recall=0.1).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == dict.fromkeys(range(0, 400, 50), 120)
+
+
+def test_partitions_grow_with_the_table():
+    assert [ann.partitions(n) for n in (0, 2000, 1 << 16, 1 << 20, 1 << 24, 10**12)] == [16, 16, 16, 64, 256, 512]
+
+
 # 7 quality
 
 
+def brute_chunk_logit(net, chunk):
+    p, best = net.p, np.full(len(net.p["bias"]), -np.inf)
+    for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.HOP):
+        for f in range(len(best)):
+            best[f] = max(best[f], sum(float(p["emb"][chunk[at + j], d]) * float(p["conv"][j * p["emb"].shape[1] + d, f]) for j in range(quality.WIDTH) for d in range(p["emb"].shape[1])))
+    return sum(max(float(best[f]) + float(p["bias"][f]), 0) * float(p["dense"][f]) for f in range(len(best))) + float(p["base"][0])
+
+
+def test_quality_scores_are_the_brute_force_ones():
+    net = quality.Network(dims=2, filters=3, seed=4)
+    net.p["bias"][:] = [0.1, -0.2, 0.3]
+    net.top, net.mid, net.scale = np.array([0.3, 1.0, -0.5, 0.2, 0.1]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([1.0, 2.0, 0.5, 1.5])
+    for text in ("", "abc é", "words " * 90):
+        z = [brute_chunk_logit(net, c) for c in quality.chunks(text)]
+        f = (np.array([np.mean(z), max(z), min(z), np.log(len(z))]) - net.mid) / net.scale
+        assert net.score([text])[0] == pytest.approx(1 / (1 + np.exp(-(net.top[0] + net.top[1:] @ f))), abs=1e-5)
+
+
+def test_quality_gradients_are_the_finite_differences():
+    net = quality.Network(dims=2, filters=3, seed=1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = np.concatenate([quality.chunks("some bytes " * 40), quality.chunks("other, é")])
+    t = np.array([1.0, 0.0, 1.0, 0.0, 1.0])[: len(x)]
+
+    def loss():
+        _, r = net._responses(x)
+        z = np.maximum(r.max(axis=1) + net.p["bias"], 0) @ net.p["dense"] + net.p["base"]
+        return np.mean(np.log1p(np.exp(z)) - t * z)
+
+    for name, g in net._gradients(x, t).items():
+        for at in list(np.ndindex(g.shape))[:: max(1, g.size // 40)]:
+            kept = net.p[name][at]
+            net.p[name][at] = kept + 1e-6
+            up = loss()
+            net.p[name][at] = kept - 1e-6
+            down = loss()
+            net.p[name][at] = kept
+            assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-5), (name, at)
+
+
+
 def test_quality_learns_and_takes_odd_rows(spark, docs, none):
     bad = lambda k: " ".join(w + R.choice(["###", "$$$"]) for w in prose(60 + k % 7).split())
     d = spark.createDataFrame([(k, bad(k) if k % 3 == 0 else prose(60 + k % 50), 1 - (k % 3 == 0)) for k in range(400)], "doc_id long, text string, quality int")
@@ -440,6 +517,42 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(docs, langid.train(none)).collect()} == {"und"}
 
 
+def brute_kneser_ney(texts, text, order=4, discount=0.75):
+    """Mean cross-entropy in each language by definition, from dictionaries."""
+    sym = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    alphabet = len({c for ts in texts.values() for t in ts if any(map(str.isalpha, t)) for c in sym(t)})
+    out = {}
+    for lang, ts in texts.items():
+        syms = [sym(t) for t in ts if any(map(str.isalpha, t))]
+        raw = {n: Counter(s[i : i + n] for s in syms for i in range(len(s) - n + 1)) for n in range(1, order + 1)}
+        count = {n: Counter(g[1:] for g in raw[n + 1]) if n < order else raw[n] for n in range(1, order + 1)}
+
+        def p(before, c, n):
+            if n == 0:
+                return 1 / (alphabet + 1)
+            own = {g: k for g, k in count[n].items() if g[:-1] == before and g in raw[n]}
+            total, lower = sum(own.values()), p(before[1:], c, n - 1)
+            return max(own.get(before + c, 0) - discount, 0) / total + discount * len(own) / total * lower if total else lower
+
+        s = sym(text)
+        out[lang] = -np.mean([np.log(p(s[max(0, i - order + 1) : i], c, min(order, i + 1))) for i, c in enumerate(s)])
+    return out
+
+
+@pytest.mark.parametrize("texts", [{"a": ["abra cadabra abra", "bar"], "b": ["rab rab", "cab abc"]}, {"en": ["a"], "fr": ["b"]}, {"a": ["xyz" * 9], "b": ["q", "zz"]}])
+def test_kneser_ney_is_the_brute_force_one(texts):
+    m = langid.Model(texts)
+    for text in ("abra", "a", "bar zq cab!", "rab 7 cadabras", "zzzz"):
+        want = brute_kneser_ney(texts, text)
+        assert m.losses(langid.symbols(text)).tolist() == pytest.approx([want[k] for k in m.langs], abs=1e-5)
+
+
+def test_languages_without_a_letter_are_not_learned():
+    assert langid.Model({"a": ["123"], "b": []}).judge("text") == ("und", 0.0, None, False)
+    m = langid.Model({"a": ["123"], "b": ["bb"]})
+    assert m.langs == ["b"] and m.judge("b")[0] == "b"
+
+
 def test_kneser_ney_sums_to_one():
     m = langid.Model({"a": ["abra cadabra abra", "bar"], "b": ["rab rab"]})
     letters = sorted({c for t in ("abra cadabra", " ") for c in t})

@@ -2,9 +2,10 @@
 
 A bounded sample's neighbour graph is cut into balanced partitions, a small network learns to tell a vector's
 partition, and the index gives every vector the partition it finds most probable. A query is sent to the several most
-probable partitions, as many as held-out sample vectors need for the recall asked for, and the vectors there are ranked
-by the exact inner product. Partitions are dealt out in salted cells of bounded size, so that one filled by copies of a
-vector is split; each cell keeps a query's best k, and these are merged.
+probable partitions, and the vectors there are ranked by the exact inner product. How many partitions that takes is
+measured: some held-out vectors are searched exactly in the whole table, and the fewest are taken that hold the recall
+asked for. Partitions are dealt out in salted cells of bounded size, so that one filled by copies of a vector is split;
+each cell keeps a query's best k, and these are merged.
 """
 
 from __future__ import annotations
@@ -106,80 +107,124 @@ class Router:
         return [self.w1, self.b1, self.w2, self.b2]
 
 
-def build(vectors: DataFrame, sample: int = 8000, parts: int = 16, neighbours: int = 10, k: int = 20, recall: float = 0.97, seed: int = 0) -> Router | None:
-    """Learns the partitions on about `sample` vectors drawn by a hash; None where there are none.
+def partitions(rows: int) -> int:
+    """16 up to 65,536 rows, then with the square root of the rows, up to 512."""
+    return int(min(512, max(16, rows**0.5 / 16)))
 
-    `probes` is set to the fewest most probable partitions that hold `recall` of the exact k nearest of a tenth of the
-    sample, which takes no part in the fit.
-    """
-    total = vectors.count()
+
+def build(vectors: DataFrame, total: int, sample: int = 8000, parts: int | None = None, neighbours: int = 10, held: int = 200, seed: int = 0) -> tuple[Router, np.ndarray] | None:
+    """Learns the partitions on about `sample` of `total` vectors (or 50 a partition, if more), drawn by a hash; None where
+    there are none. Also up to `held` vectors of the sample that took no part in the fit."""
+    parts = parts or partitions(total)
     luck = F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    rows = sorted((r[0], r[1]) for r in vectors.where(luck < sample / max(total, 1)).collect())
-    rows = [r for r in rows if len(r[1]) == len(rows[0][1])]
-    if not rows:
+    rows = sorted((r[0], r[1]) for r in vectors.where(luck < max(sample, 50 * parts) / max(total, 1)).collect())
+    if not rows and not (rows := [tuple(r) for r in vectors.limit(1).collect()]):
         return None
-    x = _unit(np.array([r[1] for r in rows]))
+    lengths = [len(r[1]) for r in rows]
+    dim = max(sorted(set(lengths)), key=lengths.count)
+    x = np.array([r[1] for r in rows if len(r[1]) == dim])
     if len(x) < 4 * parts:
         parts = 1
-    held = np.arange(len(x)) % 10 == 9
-    fit = x[~held] if held.any() else x
+    out = np.arange(len(x)) % 10 == 9
     net = Router(x.shape[1], parts, seed=seed)
-    if parts == 1:
-        return net
-    near = _graph(fit, min(neighbours, len(fit) - 1))
-    net.fit(fit, balanced_partition(fit, near, parts, seed=seed), near, seed=seed)
-    q, own = x[held], net.logits(fit).argmax(axis=1)
-    truth = np.argpartition(-(q @ fit.T), min(k, len(fit) - 1), axis=1)[:, :k]
-    order = np.argsort(-net.logits(q), axis=1)
-    place = np.argsort(order, axis=1)[np.arange(len(q))[:, None], own[truth]]
-    net.probes = next(p for p in range(1, parts + 1) if (place < p).mean() >= recall)
-    return net
-
-
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, cell: int = 4000, block: int = 8000, **fit) -> DataFrame:
+    if parts > 1:
+        fit = _unit(x[~out])
+        near = _graph(fit, min(neighbours, len(fit) - 1))
+        net.fit(fit, balanced_partition(fit, near, parts, seed=seed), near, seed=seed)
+    return net, x[out][:held]
+
+
+def _probes(placed: DataFrame, net: Router, queries: np.ndarray, k: int, recall: float) -> tuple[int, list[float]]:
+    """The fewest partitions that hold `recall` of the queries' true k nearest in the whole table, and the recall of each
+    number of partitions. The queries are in the table, so each one's best, itself, doesn't count."""
+    parts = len(net.b2)
+    if parts == 1 or not len(queries):
+        return parts, [1.0] * parts
+
+    def run(batches):
+        for b in batches:
+            col = b.column("embedding")
+            fits = np.flatnonzero(np.diff(np.asarray(col.offsets)) == queries.shape[1])
+            if len(fits):
+                s = queries @ np.asarray(col.take(pa.array(fits)).flatten()).reshape(-1, queries.shape[1]).T
+                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
+                q = np.repeat(np.arange(len(s)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.asarray(b.column("part"))[fits][top.ravel()]), pa.array(s[q, top.ravel()])], ["q", "part", "score"])
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "part")
+    got = placed.mapInArrow(run, "q long, part int, score double").withColumn("r", F.row_number().over(best)).where(F.col("r").between(2, k + 1)).select("q", "part").collect()  # k numbers a query
+    order = np.argsort(-net.logits(_unit(queries)), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    at = np.array([place[r[0], r[1]] for r in got])
+    curve = [float((at < p).mean()) for p in range(1, parts + 1)]
+    return next(p for p, c in enumerate(curve, 1) if c >= min(recall, curve[-1])), curve
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, cell: int = 4000, block: int = 8000, recall: float = 0.95, **fit) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by inner product of each vector whose vec_id is divisible by `every`.
 
     Nearest first, ties to the smaller vec_id, all where there are fewer; never the query's own row. Vectors that are
     null, zero, or hold null or non-finite parts take no part; of vectors with different lengths only those as long as
-    the query's are compared. Rows that repeat a vec_id count once. An empty table gives no rows.
+    the query's are compared, all of them where that isn't the commonest length. A query whose partitions hold fewer than k
+    is sent to all. Rows that repeat a vec_id count once. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = Stored(valid(vectors).dropDuplicates(["vec_id"]), "vectors").df
-    net = build(rows, k=k, **fit)
-    if net is None:
+    rows = Stored(valid(vectors).dropDuplicates(["vec_id"]), "vectors")
+    made = build(rows.df, rows.df.count(), **fit)
+    if made is None:
         return spark.createDataFrame([], RESULT)
+    net, held = made
     shared = spark.sparkContext.broadcast(net)  # a fixed size
     dim, parts = net.w1.shape[0], len(net.b2)
 
     def route(probes):
+        """The probable partitions of each vector; those of another length than most are in one of their own, `parts`."""
+
         def run(batches):
             n = shared.value
             for b in batches:
                 col = b.column("embedding")
-                ids, sizes = np.asarray(b.column("vec_id")), np.diff(np.asarray(col.offsets))
-                flat = np.asarray(col.flatten())
-                ends = np.cumsum(sizes)
-                fits = sizes == dim
-                top = np.zeros((len(ids), probes), np.int32)
+                fits = np.diff(np.asarray(col.offsets)) == dim
+                at = [np.flatnonzero(~fits)]
+                top = [np.full(len(at[0]), parts)]
                 if fits.any():
-                    v = np.stack([flat[e - dim : e] for e in ends[fits]])
-                    top[fits] = np.argsort(-n.logits(_unit(v)), axis=1, kind="stable")[:, :probes]
-                rows_ = np.repeat(np.arange(len(ids)), probes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows_]), col.take(pa.array(rows_)), pa.array(top.ravel())], ["vec_id", "embedding", "part"])
+                    own = np.flatnonzero(fits)
+                    v = np.asarray(col.take(pa.array(own)).flatten()).reshape(-1, dim)
+                    at.append(np.repeat(own, probes))
+                    top.append(np.argsort(-n.logits(_unit(v)), axis=1, kind="stable")[:, :probes].ravel())
+                at_ = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at_), col.take(at_), pa.array(np.concatenate(top).astype(np.int32))], ["vec_id", "embedding", "part"])
 
         return run
 
     schema = "vec_id long, embedding array<double>, part int"
-    placed = Stored(rows.mapInArrow(route(1), schema), "placed").df
+    placed = Stored(rows.df.mapInArrow(route(1), schema), "placed").df
+    rows.drop()
+    net.probes, net.curve = _probes(placed, net, held, k, recall)
     sizes = {r[0]: r[1] for r in placed.groupBy("part").agg(F.count(F.lit(1))).collect()}  # one number for each partition
     cells = {p: max(1, -(-n // cell)) for p, n in sizes.items()}
-    asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // block))  # a task has one cell of vectors and one block of queries
-    queries = asked.mapInArrow(route(net.probes), schema)
-    number = F.element_at(F.create_map(*[F.lit(x) for p in range(parts) for x in (p, cells.get(p, 1))]), F.col("part"))
-    a = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), number - 1))).select("part", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("is_query"), "vec_id", "embedding")
-    b = placed.select("part", F.pmod(F.xxhash64("vec_id"), number).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("is_query"), "vec_id", "embedding")
+    number = F.element_at(F.create_map(*[F.lit(x) for p in range(parts + 1) for x in (p, cells.get(p, 1))]), F.col("part"))
+
+    def search(asked: DataFrame, probes: int) -> DataFrame:
+        blocks = max(1, -(-asked.count() // block))  # a task has one cell of vectors and one block of queries
+        a = asked.mapInArrow(route(probes), schema).withColumn("cell", F.explode(F.sequence(F.lit(0), number - 1))).select("part", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("is_query"), "vec_id", "embedding")
+        b = placed.select("part", F.pmod(F.xxhash64("vec_id"), number).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("is_query"), "vec_id", "embedding")
+        found = a.unionByName(b).groupBy("part", "cell", "block").applyInArrow(_ranker(k), "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+    found = Stored(search(asked, net.probes), "found").df
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
+    if net.probes == parts or not short.where(F.size("embedding") == dim).limit(1).count():
+        return found
+    return found.join(full, "query_id", "left_semi").unionByName(search(short, parts)).select(*(x.split()[0] for x in RESULT.split(", ")))
+
+
+def _ranker(k: int):
+    """Of a cell's vectors the k nearest of each query that came there."""
 
     def rank(table: pa.Table) -> pa.Table:
         q, c = table.filter(table.column("is_query")), table.filter(pc.invert(table.column("is_query")))
@@ -193,13 +238,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, cell: int = 4000,
                 order = np.argsort(np.asarray(cs.column("vec_id")))
                 y, ids = y[order], np.asarray(cs.column("vec_id"))[order]
                 qid = np.asarray(qs.column("vec_id"))
+                hair = 1e-12 * np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max()  # of rounding
                 for i in range(0, len(x), 512):
                     s = x[i : i + 512] @ y.T
                     s[qid[i : i + 512, None] == ids[None, :]] = -np.inf
                     edge = -np.partition(-s, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
                     for r in range(len(s)):
-                        # all above the k-th product, then those equal to it by vec_id; a hair below for rounding
-                        best = np.flatnonzero((s[r] >= edge[r] - 1e-9) & (s[r] > -np.inf))
+                        # all above the k-th product, then those equal to it by vec_id
+                        best = np.flatnonzero((s[r] >= edge[r] - hair[i + r]) & (s[r] > -np.inf))
                         exact = np.array([float(np.dot(x[i + r], y[j])) for j in best]) if len(best) <= 4 * k else (y[best] * x[i + r]).sum(axis=1)
                         top = np.lexsort((ids[best], -exact))[:k]
                         out[0] += [qid[i + r]] * len(top)
@@ -207,6 +253,4 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, cell: int = 4000,
                         out[2] += exact[top].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = a.unionByName(b).groupBy("part", "cell", "block").applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return rank

@@ -58,11 +58,12 @@ class Model:
     """counts[lang][n]: hash of each n-gram's context, of itself, of its suffix, and its count."""
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER, discount: float = 0.75):
-        self.langs, self.order = sorted(texts), order
+        letters = {lang: [s for s in map(symbols, texts[lang]) if len(s)] for lang in sorted(texts)}
+        self.langs, self.order = [lang for lang, s in letters.items() if s], order
         size = len(self.langs)
         seen: list[list[tuple[np.ndarray, ...]]] = []
         for lang in self.langs:
-            syms = [s for s in map(symbols, texts[lang]) if len(s)]
+            syms = letters[lang]
             per = []
             for n in range(1, order + 1):
                 parts = [(grams(s, n), grams(s[:-1], n - 1) if n > 1 else np.zeros(len(s), _U), grams(s[1:], n - 1) if n > 1 else np.zeros(len(s), _U)) for s in syms if len(s) >= n]
@@ -107,6 +108,8 @@ class Model:
 
     def _lookup(self, n: int, h: np.ndarray) -> np.ndarray:
         keys = self.keys[n - 1]
+        if not len(keys):
+            return np.full((len(h), len(self.langs)), self.floor)
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         out = self.logp[n - 1][at].astype(np.float64)
         out[keys[at] != h] = self.floor
@@ -119,14 +122,16 @@ class Model:
         open_, extra = np.arange(m), np.zeros((m, size), np.float32)
         for n in range(self.order, 0, -1):
             keys = self.keys[n - 1]
+            if not len(keys):  # no text that was learned from is that long
+                continue
             ready = open_[open_ >= n - 1]
             h = grams(s, n)[ready - n + 1]
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[at] == h
             out[ready[hit]] = self.logp[n - 1][at[hit]] + extra[ready[hit]]
             miss = ready[~hit]
-            if n > 1 and len(miss):
-                c = grams(s[:-1], n - 1)[miss - n + 1]
+            if len(miss):
+                c = grams(s[:-1], n - 1)[miss - n + 1] if n > 1 else np.zeros(len(miss), _U)
                 ctx = self.contexts[n - 1]
                 at = np.minimum(np.searchsorted(ctx, c), len(ctx) - 1)
                 ok = ctx[at] == c
@@ -159,15 +164,16 @@ def _pick(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def train(docs: DataFrame, per_language: int = 300, share: float = 0.99, margin: float = 0.5, order: int = ORDER) -> Model:
-    """Fits on a bounded sample of labelled rows: about `per_language` of each language, drawn by a hash of doc_id; a
-    fifth of them calibrate. Rows whose text or language is null don't count. No rows: everything is unknown."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and text is not null")
+def train(docs: DataFrame, per_language: int = 300, share: float = 0.99, margin: float = 0.5, order: int = ORDER, longest: int = 1_000_000) -> Model:
+    """Fits on a bounded sample of labelled rows: about `per_language` of each language, of at most `longest` bytes each,
+    drawn by a hash of doc_id (of the text where it is null); a fifth of them calibrate. Rows whose text or language is null don't count, nor
+    does a language without a letter. No rows: everything is unknown."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(F.octet_length("text") <= longest)
     counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).collect()}  # one number for each language
     chance = F.lit(0.0)
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(chance)
-    luck = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    luck = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(11))).otherwise(F.xxhash64("doc_id", F.lit(11))), F.lit(1 << 20)) / float(1 << 20)
     drawn = rows.where(luck < chance).select("lang", "text", "doc_id").collect() if counts else []
     fit: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}

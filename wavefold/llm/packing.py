@@ -4,7 +4,8 @@ The plan needs only how many pieces there are of each length, at most `capacity`
 Pieces above a third of the capacity pair at most twice per sequence, the longest first with the longest that still
 fits; shorter ones, longest first, go to the fullest sequence with room (best fit). Equal pieces move together, so the
 plan is a short list of runs: the pieces of a length with rank r0 .. r1 lie at one place of consecutive sequences.
-Ranks come from salted windows, so that no length, however common, meets in one task.
+Ranks come from windows over salted lengths, with more salts the more pieces a length has, so that no length, however
+common, meets in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
-SALTS = 64
+#: A window ranks about so many pieces, or a `WINDOWS`-th of all if that is more: so many numbers go to the driver at most.
+RANKED, WINDOWS = 20_000, 100_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -115,13 +117,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
     """Places every document's pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed as often as they come;
-    an empty table gives no rows; other columns aren't looked at. Ties among pieces of a length go by doc_id, piece and
-    digest, so a task run again after a lost executor gives the same places.
+    an empty table gives no rows; other columns aren't looked at. Ties among pieces of a length go by doc_id, piece,
+    digest and a number written with the pieces, so a task run again after a lost executor gives the same places.
     """
     spark = docs.sparkSession
-    pieces = Stored(tokenize(docs, tokenizer, capacity, end_id), "pieces").df
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    # At most capacity * SALTS rows, whatever the corpus.
+    pieces = Stored(tokenize(docs, tokenizer, capacity, end_id).withColumn("_n", F.monotonically_increasing_id()), "pieces").df
+    sizes = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}  # at most `capacity` numbers
+    each = max(RANKED, sum(sizes.values()) // WINDOWS)
+    salts = spark.createDataFrame([(n, -(-c // each)) for n, c in sizes.items()], "length long, _salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_n"), F.col("_salts")).cast("int"))
+    # At most capacity + WINDOWS rows, whatever the corpus.
     counted = [(r[0], r[1], r[2]) for r in salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "_salt").collect()]
     counts: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}
@@ -132,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
     plan = spark.sparkContext.broadcast(
         (np.array([(n << 44) + r for n, r, *_ in runs], np.int64), np.array([r[3] - r[1] for r in runs], np.int64), np.array([r[4] for r in runs], np.int64), before)
     )  # as many runs as lengths and changes of room, a few thousands for 1024
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "_n")
 
     def place(batches):
         keys, shift, offsets, start = plan.value

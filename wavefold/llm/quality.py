@@ -103,8 +103,9 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(f)), (f - self.mid) / self.scale]) @ self.top, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 700, seed: int = 0) -> Network:
-    """Fits on a bounded sample: about `per_class` rows of each value of labels.quality, drawn by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 700, seed: int = 0, longest: int = 1_000_000) -> Network:
+    """Fits on a bounded sample: about `per_class` rows of each value of labels.quality, drawn by a hash of doc_id, and of
+    texts of at most `longest` bytes.
 
     The rarer class is weighted back to its share of all labels by the combining layer's intercept. Null labels and
     texts don't count; no rows: every score is 0.5.
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 700, seed: int =
     luck = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) / float(1 << 20)
     drawn = marked.where(luck < F.when(F.col("_y") == 1, per_class / counts.get(1, 1)).otherwise(per_class / counts.get(0, 1))).collect()
     sample = spark.createDataFrame([(r[0], r[1]) for r in drawn], "doc_id long, _y int")  # about 2 * per_class rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").where(F.octet_length("text") <= longest).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y").collect()
     rows = sorted(((r[0], r[1], r[2]) for r in rows))
     if not rows:
         return net

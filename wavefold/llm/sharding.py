@@ -1,7 +1,7 @@
 """Sharding by sampled splitters: shards of near-equal bytes over the order of a hashed text key.
 
-Rows are ordered by a key whose upper bits hash the text and whose lower bits hash doc_id, so equal texts lie together
-and a group of copies, however large, can still be cut. Keys are sampled with a chance in proportion to a row's size;
+Rows are ordered by a key whose upper bits hash the text and whose lower bits hash a number of the row, so equal texts lie
+together and a group of copies, however large and whatever its doc_ids, can still be cut. Keys are sampled with a chance in proportion to a row's size;
 quantiles of the sample bound many small ranges, exact sizes are then counted for every range, and a range that
 straddles the edge of a shard (an overfull one always does) is subdivided at rows by its running sum of bytes. A group
 of equal texts is cut only if it holds more than `whole_group` of a shard's bytes.
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import ship, table
+from ._common import Stored, ship, table
 
 LOW_BITS = 20
 
@@ -23,11 +23,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     h, low = F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()), (1 << LOW_BITS) - 1
     return table(docs).select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.shiftright(h, LOW_BITS).alias("_group"), F.shiftleft(F.shiftright(h, LOW_BITS), LOW_BITS).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(low))).alias("_key"),
+        F.shiftright(h, LOW_BITS).alias("_group"), F.shiftleft(F.shiftright(h, LOW_BITS), LOW_BITS).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(low))).alias("_key"),
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64, samples_per_range: int = 32, whole_group: float = 0.005) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64, samples_per_range: int = 32, whole_group: float = 0.01) -> DataFrame:
     """doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null).
 
     size is the text's UTF-8 bytes and 1; a null text counts 1. Rows with null or repeated doc_id are placed like all
@@ -36,13 +36,16 @@ def shard(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64, samples
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = _keyed(docs)
+    rows = Stored(_keyed(docs), "keyed").df  # a row's key stays as it was written, and texts are read once
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = max(shards * ranges_per_shard, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chance = F.col("size") * F.lit(float(ranges * samples_per_range) / max(total, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("_key", "doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < chance).select("_key")
+    drawn = rows.where(F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < chance).select("_key")
     sample = np.sort(np.array([r[0] for r in drawn.collect()], np.int64))
     edges = np.unique(sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]]) if len(sample) else sample
+    # A range ends between groups of equal texts, but for a group that would end several.
+    groups, many = edges >> LOW_BITS, np.unique(edges >> LOW_BITS, return_counts=True)
+    edges = np.unique(np.where(np.isin(groups, many[0][many[1] > 1]), edges, groups << LOW_BITS))
 
     @F.pandas_udf("int")
     def range_of(key: pd.Series) -> pd.Series:
@@ -66,8 +69,6 @@ def shard(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64, samples
         .withColumn("shard", F.least(F.floor(F.col("_at") / F.lit(target)), F.lit(shards - 1)).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", "_range", "_key", F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_key", "doc_id", "text_crc32", "size")).alias("_rank"))
     )
-    from ._common import Stored
-
     kept = Stored(placed, "shards").df
     counts = kept.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))  # at most ranges + shards rows
     before = counts.select("shard", "_range", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("_n")).alias("_before"))
