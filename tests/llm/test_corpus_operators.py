@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from wavefold.llm import _common, ann, codec, components, decontaminate, langid, lmscore, neardup, packing, quality, rangecoder, sharding, substrings
+from wavefold.llm import _common, ann, codec, components, decontaminate, langid, neardup, packing, quality, rangecoder, sharding, substrings, wordlm
 from wavefold.llm.tokens import encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -156,33 +156,11 @@ def test_packed_sequences_hold_the_ids(spark):
 
 def test_scores_rank_target_texts_first(spark, docs, none):
     d = spark.createDataFrame([(k, ("zq " * 50) if k < 5 else prose(50)) for k in range(20)], "doc_id long, text string")
-    m = lmscore.train(d, d.where("doc_id < 5"))
-    s = {r.doc_id: r for r in lmscore.score(d, m).collect()}
+    s = {r.doc_id: r for r in wordlm.score(d, d.where("doc_id < 5")).collect()}
     assert max(s[k].score for k in range(5)) < min(s[k].score for k in range(5, 20)) and all(r.score == pytest.approx(r.target_loss - r.background_loss) for r in s.values())
-    x = {r.doc_id: r.n_tokens for r in lmscore.score(docs, m).where("doc_id is not null").collect()}
-    assert x[0] == x[1] == 1 and x[3] == 2
-    assert lmscore.score(none, lmscore.train(none, none)).count() == 0
-
-
-def test_counts_are_the_brute_force_ones(docs):
-    want = Counter()
-    for r in docs.collect():
-        if r.text is not None:
-            b = b"\0\0" + r.text.encode() + b"\0"
-            want.update((b[i] << 16) | (b[i + 1] << 8) | b[i + 2] for i in range(len(b) - 2))
-    got = lmscore.counts(docs, docs.where("doc_id = 6")).collect()
-    assert {r.code: r.n_background for r in got} == dict(want)
-    assert sum(r.n_target for r in got) == len(TEXTS[6].encode()) + 1
-
-
-def test_probabilities_sum_to_one():
-    codes = np.concatenate([lmscore.trigrams(t) for t in ("abab", "abc", "")])
-    u, n = np.unique(codes, return_counts=True)
-    m = lmscore.Model(u, n // 2, n)
-    for ctx in (0, (97 << 8) | 98, (1 << 8) | 2):
-        every = np.array([(ctx << 8) | k for k in range(256)], np.int32)
-        at = np.minimum(np.searchsorted(m.codes, every), len(m.codes) - 1)
-        assert np.exp(-m.background.losses(every, at, m.codes[at] == every)).sum() == pytest.approx(1)
+    x = {r.doc_id: r.n_tokens for r in wordlm.score(docs, docs).where("doc_id is not null").collect()}
+    assert x[0] == x[1] == 1 and x[3] == 2 and x[13] == 3001
+    assert wordlm.score(none, none).count() == 0
 
 
 # 3 decontamination

@@ -1,8 +1,10 @@
 """Language-model scoring by cross-entropy difference of word models, whose statistics grow with the corpus.
 
 Target and background are bigram models over one vocabulary, the distinct words of all texts and the end. Both are smoothed
-alike: p(b | a) = (c(ab) + PRIOR * p(b)) / (c(a) + PRIOR), p(b) = (c(b) + 1) / (N + V + 1), with the background's counts
-scaled to the target's size where they are more. No numbers of types enter, so scaling counts matches the two whole.
+alike: p(b | a) = (c(ab) + PRIOR * p(b)) / (c(a) + PRIOR), p(b) = (c(b) + 1) / (N + V + 1). The models are matched: where the
+background is larger, each of its counts is brought down to the target's size by a binomial draw that the key's hash
+decides, so that it is as sparse as a sample of that size though every text has been counted. A text's own words are taken
+out of both models before it is scored.
 
 Rows are dealt by doc_id to blocks of about BLOCK_BYTES of text. A block adds up its own words and word pairs and deals the
 sorted keys out by range, totals are made in each range over all blocks, and each block gets the totals of its keys back in
@@ -16,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import SPACED, mix, ship, signed, slices
-from .lmscore import RESULT
 
+RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 BLOCK_BYTES = 4_000_000
 #: A range of keys holds about those of so many blocks.
 RANGE_BLOCKS = 4
@@ -67,6 +69,7 @@ class _Block:
         self.word, self.pair, self.prev = at[:n], at[n : 2 * n], np.concatenate([at[-2:-1], at[:n]])[:n]
         full = np.repeat(np.array([t is not None for t in texts], bool), self.size)
         own = np.repeat(np.array([t is not None and i in wanted for i, t in zip(self.ids, texts, strict=True)], bool), self.size)
+        self.counted = own, full
         self.counts = [np.bincount(self.word, w, len(self.keys)) + np.bincount(self.pair, w, len(self.keys)) for w in (own, full)]
         for c, w in zip(self.counts, (own, full), strict=True):
             c[self.total] = w.sum()
@@ -77,16 +80,49 @@ class _Block:
         ends = [0, *ends.tolist(), len(self.keys)]
         return [slice(x, y) for x, y in zip(ends, ends[1:])]
 
-    def losses(self, count: np.ndarray, total: float, words: int) -> np.ndarray:
-        p = (count[self.word] + 1) / (total + words + 1)
-        return -np.log((count[self.pair] + PRIOR * p) / (count[self.prev] + PRIOR))
+    def losses(self, side: int, words: int, scale: float = 1.0) -> np.ndarray:
+        """Of every token, by the counts of a side without the text's own, brought down to `scale`."""
+        count, counted = self.counts[side], self.counted[side]
+        less = lambda at, own: count[at] - own * counted
+        word, pair, before = less(self.word, self.own_word), less(self.pair, self.own_pair), less(self.prev, self.own_prev) * scale
+        total = (count[self.total] - np.repeat(self.size, self.size) * counted) * scale
+        if scale < 1:
+            word, pair = thin(word, scale, self.keys[self.word]), thin(pair, scale, self.keys[self.pair])
+        return -np.log((pair + PRIOR * (word + 1) / (total + words + 1)) / (before + PRIOR))
+
+    def _own(self) -> None:
+        """How often a token's word, its pair and the word before it are in its own text."""
+        doc = np.repeat(np.arange(len(self.first)), self.size) * len(self.keys)
+        self.own_word, self.own_pair = (np.unique(doc + x, return_inverse=True, return_counts=True) for x in (self.word, self.pair))
+        self.own_word, self.own_pair = (n[at] for _, at, n in (self.own_word, self.own_pair))
+        self.own_prev = np.concatenate([[1], self.own_word])[: len(self.own_word)]
+        self.own_prev[self.first] = 1  # the end, once a text
+
+
+def thin(count: np.ndarray, scale: float, keys: np.ndarray) -> np.ndarray:
+    """How many of `count` would be left if each stayed with the chance `scale`: the binomial numbers' quantiles at the keys'
+    hashes; where more than 30 are expected, these, rounded up or down by the hash."""
+    u = (mix(keys ^ _U(0xD1B54A32D192ED03)) >> _U(11)).astype(np.float64) * 2.0**-53
+    out = np.floor(count * scale + u)
+    at = np.flatnonzero(count * scale <= 30)
+    n, u, k = count[at].astype(np.float64), u[at], 0
+    chance = (1 - scale) ** n
+    below = chance.copy()
+    while len(at):
+        done = (u < below) | (n <= k)
+        out[at[done]] = k
+        at, n, u, chance, below = (x[~done] for x in (at, n, u, chance, below))
+        chance = chance * (n - k) / (k + 1) * (scale / (1 - scale))
+        k += 1
+        below = below + chance
+    return out
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens (words and the end), target_loss, background_loss, score for every row of `docs`, from its whole text.
 
-    The models are those of `docs`: texts whose doc_id is in `target` count for the target, all for the background, a
-    scored text's own words among them. Words are runs of anything but ASCII white space. Null isn't counted and is
+    The models are those of `docs`: texts whose doc_id is in `target` count for the target, all for the background, but for
+    the scored text itself (other rows with the same text count). Words are runs of anything but ASCII white space. Null isn't counted and is
     scored as empty: one token, the end. Null and repeated doc_ids are scored row by row; rows that share one are in one
     block. Other columns aren't looked at.
     """
@@ -125,8 +161,8 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
             for k, x in zip(ranges, totals[c].to_pylist(), strict=True):
                 count[places[k]] = _unpack(x)
         n_target, n_background = (c[b.total] for c in b.counts)
-        scale = min(1.0, n_target / max(n_background, 1)) if n_target else 1.0
-        out = [b.losses(b.counts[0], n_target, words), b.losses(b.counts[1] * scale, n_background * scale, words)]
+        b._own()
+        out = [b.losses(0, words), b.losses(1, words, min(1.0, n_target / max(n_background, 1)) if n_target else 1.0)]
         t, g = (np.add.reduceat(x, b.first) / b.size if len(b.first) else np.empty(0) for x in out)
         return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_tokens": b.size.astype(np.int64), "target_loss": t, "background_loss": g, "score": t - g})
 
