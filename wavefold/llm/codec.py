@@ -27,7 +27,7 @@ from .tokens import encoder
 MAGIC = b"WFIDRC02"
 _HEAD = struct.Struct("<8sIIIIQI")
 #: A partition holds about so many bytes of text; beyond `MOST_PARTS` partitions each holds more, in more files.
-PART_BYTES, MOST_PARTS = 24_000_000, 20_000
+PART_BYTES, MOST_PARTS = 20_000_000, 20_000
 FILES = "part int, file_no int, n_docs long, n_tokens long, content binary"
 DOCS = "part int, file_no int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -65,11 +65,11 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(ids.tolist(), null, strict=True)], lengths, tokens
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = 8_000_000) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = 10_000_000) -> DataFrame:
     """The files of all documents: part, file_no, n_docs, n_tokens, content.
 
     Null counts as empty: the end id alone. Rows with a null doc_id come first; rows that repeat one are written as
-    often as they come. An empty table gives no files; other columns aren't looked at.
+    often as they come, in the order of the table. An empty table gives no files; other columns aren't looked at.
     """
     ship(docs.sparkSession)
 
@@ -93,9 +93,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = 8
 
     texts = table(docs)
     parts = min(MOST_PARTS, 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
-    # Rows without a doc_id, or that share one, are dealt out by their texts, and those that are alike one by one.
-    keyed = texts.withColumn("h", F.xxhash64("text")).withColumn("k", F.monotonically_increasing_id())
-    ranged = keyed.repartitionByRange(parts, "doc_id", "h", "k").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    # Rows without a doc_id, or that share one, are dealt out in the order they are read in.
+    ranged = texts.withColumn("k", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "k").sortWithinPartitions("doc_id", "k").select("doc_id", "text")
     return ranged.mapInArrow(run, FILES)
 
 

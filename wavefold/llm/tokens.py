@@ -73,19 +73,21 @@ class Encoder:
 
     def _fill(self, pieces: list[str]) -> None:
         memory, latin = self.memory, _LATIN.match
-        plain, rest = [], []
+        letters, plain, rest = [], [], []
         for p in pieces:
-            (plain if latin(p) else rest).append(p)
-        if plain:
-            lines = "\n".join(plain)
+            (letters if p.isascii() and p[1:].isalpha() and (p[0].isalpha() or p[0] == " ") else plain if latin(p) else rest).append(p)
+        if letters or plain:
+            # Pieces of ASCII letters are one word each; others are cut into words.
+            lines = "\n".join([*letters, *plain])
             if self.lower:
                 lines = lines.lower()
             sizes = np.array([len(x) for x in lines.encode().split(b"\n")])
-            words = "\n".join(self.parts.findall(lines)).encode().decode("latin-1").translate(self.letters)
+            at = sum(map(len, letters)) + len(letters)
+            words = (lines[:at] + "\n".join(self.parts.findall(lines[at:]))).encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.bare.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1)).tolist()
             raw = ids.tobytes()
-            memory.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            memory.update(zip([*letters, *plain], [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
             memory[p] = np.array(e.ids, "<u4").tobytes()
 
