@@ -63,30 +63,10 @@ class Booster:
                 return at
             inside = np.zeros(len(g), bool)
             inside[rows] = True
-            gs, hs = g[rows].sum(), h[rows].sum()
-            base, best = gs * gs / (hs + p.ridge), (1e-12, None)
-            for f in range(x.shape[1]):
-                o = order[inside[order[:, f]], f]
-                v = x[o, f]
-                have = ~np.isnan(v)
-                o, v = o[have], v[have]
-                if len(o) < 2 or v[0] == v[-1]:
-                    continue
-                gl, hl = np.cumsum(g[o])[:-1], np.cumsum(h[o])[:-1]
-                gm, hm = gs - g[o].sum(), hs - h[o].sum()
-                cut = v[1:] > v[:-1]
-                for left in (True, False) if len(o) < len(rows) else (False,):
-                    a, c = (gl + gm, hl + hm) if left else (gl, hl)
-                    ok = cut & (c >= p.least_weight) & (hs - c >= p.least_weight)
-                    if not ok.any():
-                        continue
-                    score = np.where(ok, a * a / (c + p.ridge) + (gs - a) ** 2 / (hs - c + p.ridge) - base, -np.inf)
-                    k = int(score.argmax())
-                    if score[k] / 2 - p.gamma > best[0]:
-                        best = score[k] / 2 - p.gamma, (f, (v[k] + v[k + 1]) / 2, left)
-            if best[1] is None:
+            split = self._split(x, order.T[inside[order].T].reshape(x.shape[1], len(rows)), g, h)
+            if split is None:
                 return at
-            f, t, left = best[1]
+            f, t, left = split
             goes = np.where(np.isnan(x[rows, f]), left, x[rows, f] <= t)
             nodes[at][0], nodes[at][1], nodes[at][4] = f, t, left
             nodes[at][2] = build(rows[goes], depth + 1)
@@ -97,6 +77,34 @@ class Booster:
         cols = list(zip(*nodes, strict=True))
         return tuple(np.array(c, t) for c, t in zip(cols, (int, float, int, int, bool, float, float), strict=True))
 
+    def _split(self, x: np.ndarray, o: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float, bool] | None:
+        """The best cut of a node, whose rows `o` holds in the order of each feature (missing values last): feature,
+        threshold, whether missing values go left. All features, sides and places are scored at once; of equals the first."""
+        p = self.params
+        v = x[o, np.arange(len(o))[:, None]]
+        have = ~np.isnan(v)
+        go, ho = np.where(have, g[o], 0.0), np.where(have, h[o], 0.0)
+        gs, hs = g[o[0]].sum(), h[o[0]].sum()
+        gl, hl = np.cumsum(go, axis=1), np.cumsum(ho, axis=1)
+        gm, hm = gs - gl[:, -1:], hs - hl[:, -1:]
+        gone = ~have.all(axis=1)[:, None]
+        gl, hl, cut = gl[:, :-1], hl[:, :-1], (v[:, 1:] > v[:, :-1]) & have[:, 1:]
+        # Axis 1: missing values to the left, to the right.
+        a, c = np.stack([gl + gm, gl], axis=1), np.stack([hl + hm, hl], axis=1)
+        ok = np.stack([cut & gone, cut], axis=1) & (c >= p.least_weight) & (hs - c >= p.least_weight)
+        if not ok.any():
+            return None
+        with np.errstate(all="ignore"):
+            score = np.where(ok, a * a / (c + p.ridge) + (gs - a) ** 2 / (hs - c + p.ridge), -np.inf)
+        f, side, k = np.unravel_index(int(score.argmax()), score.shape)
+        if (score[f, side, k] - gs * gs / (hs + p.ridge)) / 2 - p.gamma <= 1e-12:
+            return None
+        return int(f), float((v[f, k] + v[f, k + 1]) / 2), side == 0
+
+    def features(self) -> set[int]:
+        """Those that some tree asks for."""
+        return {int(f) for t in self.trees for f in t[0] if f >= 0}
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         return sum((_walk(t, x) for t in self.trees), np.zeros(len(x)))
 

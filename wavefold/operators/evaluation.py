@@ -88,22 +88,48 @@ def class_weight(pred: DataFrame, by: list[str]) -> DataFrame:
     return pred.groupBy(*by).agg(F.coalesce(F.try_divide(F.count_if(F.col("y_true") == 0).cast("double"), pos.cast("double")), F.lit(1.0)).alias("weight"))
 
 
-def vertical_average(curves: DataFrame, curve: str) -> DataFrame:
-    """Mean TPR of several curves at every FPR that any has (and 0 and 1), by linear interpolation.
+def vertical_average(curves: DataFrame, curve: str, strips: int = 64) -> DataFrame:
+    """Mean TPR of several curves at every FPR that any has, by linear interpolation."""
+    return vertical_averages(curves, [], curve, strips)
 
-    Each curve is met with the grid in one sorted union; the last point before and the first after come from window
-    functions, so no pair of points is ever enumerated beyond grid size times curves.
+
+def vertical_averages(curves: DataFrame, by: list[str], curve: str, strips: int = 64) -> DataFrame:
+    """Of each group its curves' mean TPR at every FPR that any of them has; points without a rate are left out.
+
+    A curve is a sum of steps and bends: where it has a point, its value jumps and its slope changes. These changes add up
+    over curves, so the mean at a place is a running sum of all changes up to it. Changes are added up by place, summed in
+    `strips` of the unit interval apart, and each strip starts from what the ones before it add up to: no curve is met with
+    another's points, and no task holds them all.
     """
-    grid = curves.select("fpr").union(curves.sparkSession.range(2).select(F.col("id").cast("double"))).distinct()
-    ids = curves.select(curve).distinct()
-    points = curves.groupBy(curve, "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo"))
-    asked = grid.crossJoin(F.broadcast(ids))  # grid points for each curve: the result before averaging
-    u = asked.join(points, [curve, "fpr"], "left").withColumn("_p", F.when(F.col("hi").isNotNull(), F.struct("fpr", "hi", "lo")))
-    back = Window.partitionBy(curve).orderBy("fpr").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(curve).orderBy("fpr").rowsBetween(0, Window.unboundedFollowing)
-    x = u.withColumn("a", F.last("_p", ignorenulls=True).over(back)).withColumn("b", F.first("_p", ignorenulls=True).over(ahead))
-    at = F.when(F.col("hi").isNotNull(), F.col("hi")).otherwise(F.col("a.hi") + (F.col("b.lo") - F.col("a.hi")) * (F.col("fpr") - F.col("a.fpr")) / (F.col("b.fpr") - F.col("a.fpr")))
-    return x.withColumn("tpr", at).groupBy("fpr").agg(F.avg("tpr").alias("tpr"))
+    points = curves.where("fpr is not null and tpr is not null").groupBy(*by, curve, "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo"))
+    along = Window.partitionBy(*by, curve).orderBy("fpr")
+    ahead = F.coalesce(F.try_divide(F.lead("lo").over(along) - F.col("hi"), F.lead("fpr").over(along) - F.col("fpr")), F.lit(0.0))
+    steps = points.withColumn("slope", ahead).withColumn("first", F.lag("fpr").over(along).isNull())
+    steps = steps.withColumn("bend", F.col("slope") - F.coalesce(F.lag("slope").over(along), F.lit(0.0))).withColumn("jump", F.when(F.col("first"), F.col("hi")).otherwise(F.col("hi") - F.col("lo")))
+    places = steps.groupBy(*by, "fpr").agg(F.sum("jump").alias("jump"), F.sum("bend").alias("bend"), F.count_if("first").alias("curves"))
+    places = places.withColumn("level", F.col("jump") - F.col("bend") * F.col("fpr")).withColumn("strip", F.least(F.floor(F.col("fpr") * strips), F.lit(strips - 1)))
+    sums = ("level", "bend", "curves")
+    upto = Window.partitionBy(*by).orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
+    totals = places.groupBy(*by, "strip").agg(*(F.sum(c).alias(c) for c in sums))  # at most `strips` rows a group
+    before = totals.select(*by, "strip", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_0") for c in sums))
+    own = Window.partitionBy(*by, "strip").orderBy("fpr")
+    run = lambda c: F.sum(c).over(own) + F.col(f"{c}_0")
+    made = places.join(before, [*by, "strip"]).select(*by, "fpr", run("level").alias("level"), run("bend").alias("bend"), run("curves").alias("curves"))
+    return made.select(*by, "fpr", ((F.col("level") + F.col("bend") * F.col("fpr")) / F.col("curves")).alias("tpr"))
+
+
+def curve_area(curve: DataFrame, by: list[str]) -> DataFrame:
+    """Area under fpr, tpr by trapezoids."""
+    w = Window.partitionBy(*by).orderBy("fpr", "tpr")
+    strip = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
+    return curve.withColumn("_a", strip).groupBy(*by).agg(F.sum("_a").alias("area"))
+
+
+def summary(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Of each run: accuracy, precision, recall, f1_score and bac of y_pred; auc, bac80, auprc and ap of y_prob."""
+    flat = confusion(pred.withColumn("y_prob", F.col("y_pred").cast("double")), by).select(*by, "accuracy", "precision", "recall", "f1_score", "bac")
+    first = bac_at_sensitivity(pred, by).select(*by, F.col("bac").alias("bac80"))
+    return flat.join(roc_auc(pred, by), by).join(pr_areas(pred, by), by).join(first, by, "left")
 
 
 def mean_std(log: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:

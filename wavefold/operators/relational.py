@@ -57,6 +57,38 @@ def sanitise(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def drop_nulls(rows: DataFrame) -> DataFrame:
+    """Rows without a null in any column."""
+    return rows.dropna("any")
+
+
+def cube_root(x: Column) -> Column:
+    """Of any sign."""
+    return F.cbrt(x)
+
+
+#: Angles of the channels on the head in degrees, from the top and around it.
+POSITIONS = {
+    "FP1": (-92, -72), "F3": (-60, -51), "C3": (-46, 0), "P3": (-60, 51), "F7": (-92, -36), "T3": (-92, 0), "T5": (-92, 36), "O1": (-92, 72), "FZ": (46, 90), "CZ": (0, 0),
+    "PZ": (46, -90), "FP2": (92, 72), "F4": (60, 51), "C4": (46, 0), "P4": (60, -51), "F8": (92, 36), "T4": (92, 0), "T6": (92, -36), "O2": (92, -72),
+}
+
+
+def positions(spark: SparkSession) -> DataFrame:
+    """channel, x, y, z on the unit sphere: x to the right ear, y to the nose, z upwards."""
+    a = spark.createDataFrame([(c, float(t), float(p)) for c, (t, p) in POSITIONS.items()], "channel string, theta double, phi double")
+    t, p = F.radians("theta"), F.radians("phi")
+    return a.select("channel", (F.sin(t) * F.cos(p)).alias("x"), (F.sin(t) * F.sin(p)).alias("y"), F.cos(t).alias("z"))
+
+
+def pick_channels(rows: DataFrame, wanted: list[str], name: str = "channel") -> DataFrame:
+    """Keeps the wanted channels and numbers them in the order of the list; recordings (rec) without all of them go."""
+    dim = rows.sparkSession.createDataFrame([(c, k) for k, c in enumerate(wanted)], f"{name} string, ch long")
+    own = rows.drop("ch").join(F.broadcast(dim), name)
+    whole = own.groupBy("rec").agg(F.countDistinct("ch").alias("_c")).where(F.col("_c") == len(wanted)).select("rec")
+    return own.join(whole, "rec", "left_semi")
+
+
 def magnitude(re: Column, im: Column) -> Column:
     return sanitise(F.hypot(re, im))
 
@@ -139,6 +171,30 @@ def combinations(spark: SparkSession, families: list[str], least: int, below: in
     return masks.withColumn("size", F.bit_count("combo").cast("long")).where((F.col("size") >= least) & (F.col("size") < (below or n))).withColumn("feature_set", F.concat_ws("+", member))
 
 
+def ordered_combinations(spark: SparkSession, families: list[str], least: int, below: int | None = None) -> DataFrame:
+    """config, families: the sets of least .. below - 1 families, the smaller first and then in the order of the list."""
+    n = len(families)
+    names = F.array(*map(F.lit, families))
+    member = F.filter(F.transform(names, lambda x, k: F.when(F.call_function("bit_get", F.col("mask"), k) == 1, x)), lambda x: x.isNotNull())
+    # Sets of a size in the list's order: those with an earlier family first, so the mask's bits are compared from the list's start.
+    rank = F.concat(*(F.lit(1) - F.call_function("bit_get", F.col("mask"), F.lit(k)) for k in range(n)))
+    sets = spark.range(1, 1 << n).toDF("mask").withColumn("size", F.bit_count("mask")).where((F.col("size") >= least) & (F.col("size") < (below or n)))
+    return sets.select((F.row_number().over(Window.orderBy("size", rank)) - 1).cast("long").alias("config"), member.alias("families"))
+
+
+def restore_order(results: DataFrame, combos: DataFrame, family: str, value: str) -> DataFrame:
+    """results (config, family, value) of parallel work: for each combination (config, families) its values in the order
+    of its families."""
+    asked = combos.select("config", F.posexplode("families").alias("_pos", family))
+    return asked.join(results, ["config", family], "left").groupBy("config").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col(value).alias("v")))), lambda x: x.v).alias(value))
+
+
+def row_splits(rows: DataFrame, key: str) -> DataFrame:
+    """Leave one row out: fold, named by the key of the row held out, and how many train, which are all others."""
+    n = rows.agg((F.count(F.lit(1)) - 1).alias("n_train"))  # one row
+    return rows.select(F.col(key).alias("fold")).crossJoin(F.broadcast(n))
+
+
 def loso_splits(rows: DataFrame, subject: str, key: str) -> DataFrame:
     """fold (the subject held out), key, role."""
     subjects = rows.select(F.col(subject).alias("fold")).distinct()
@@ -159,7 +215,7 @@ def train_validation(subjects: DataFrame, subject: str, label: str, share: float
 
 def run_seed(name: Column) -> Column:
     """A seed below 5000 out of a run's name."""
-    return F.pmod(F.crc32(name.cast("binary")), F.lit(5000))
+    return F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(5000)).cast("int")
 
 
 def run_name(*parts: Column) -> Column:

@@ -6,13 +6,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.learn import normal_tail, t_quantile
+from ..functions.learn import t_quantile
 
 
-@F.pandas_udf(DoubleType())
-def two_sided(z: pd.Series) -> pd.Series:
-    """p-value of a standard normal."""
-    return z.map(lambda v: None if pd.isna(v) else normal_tail(v))
+def two_sided(z: Column | str) -> Column:
+    """p-value of a standard normal: erfc(|z| / sqrt 2), by its series near 0 and its continued fraction beyond."""
+    x = F.abs(F.col(z) if isinstance(z, str) else z) / F.lit(2.0**0.5)
+    terms = F.sequence(F.lit(1), F.lit(90))
+    # erf x = 2 / sqrt pi * x exp(-x^2) * sum of (2 x^2)^n / (1 3 5 ... (2n + 1)); all terms are positive
+    near = F.aggregate(terms, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, n: F.struct((a.t * 2 * x * x / (2 * n + 1)).alias("t"), (a.s + a.t * 2 * x * x / (2 * n + 1)).alias("s")), lambda a: a.s)
+    far = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda a, n: x + n / 2.0 / a)
+    root = F.lit(3.141592653589793**0.5)
+    return F.when(x < 3, 1 - 2 / root * x * F.exp(-x * x) * near).otherwise(F.exp(-x * x) / root / far)
 
 
 def mann_whitney(values: DataFrame, by: list[str], value: str = "v", label: str = "y", least: int = 10, least_each: int = 3) -> DataFrame:
@@ -53,7 +58,7 @@ def to_bins(values: DataFrame, edges: DataFrame, by: list[str], value: str = "v"
     """Adds bin: half-open between edges, the last one closed. The edges of a group travel as one short array."""
     e = edges.groupBy(*by).agg(F.array_sort(F.collect_list("edge")).alias("_e"))
     at = F.size(F.filter("_e", lambda x: x <= F.col(value))) - 1
-    return values.join(F.broadcast(e), by).withColumn("bin", F.least(at, F.size("_e") - 2).cast("long")).drop("_e")
+    return values.join(e, by).withColumn("bin", F.least(at, F.size("_e") - 2).cast("long")).drop("_e")
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -68,22 +73,38 @@ def accumulate(effects: DataFrame, by: list[str]) -> DataFrame:
     return run.withColumn("ale", F.col("_a") - mean).drop("_a")
 
 
-def interpolate(curves: DataFrame, curve: str, grid: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Every curve at every grid point, linearly; null outside a curve's range. A sorted union and two window lookups."""
-    asked = grid.select(F.col(x)).distinct().crossJoin(F.broadcast(curves.select(curve).distinct()))
-    u = asked.join(curves.select(curve, x, y), [curve, x], "full").withColumn("_p", F.when(F.col(y).isNotNull(), F.struct(x, y)))
-    back = Window.partitionBy(curve).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(curve).orderBy(x).rowsBetween(0, Window.unboundedFollowing)
-    z = u.withColumn("a", F.last("_p", ignorenulls=True).over(back)).withColumn("b", F.first("_p", ignorenulls=True).over(ahead))
-    at = F.coalesce(F.col(y), F.col(f"a.{y}") + (F.col(f"b.{y}") - F.col(f"a.{y}")) * F.try_divide(F.col(x) - F.col(f"a.{x}"), F.col(f"b.{x}") - F.col(f"a.{x}")))
-    return z.select(curve, x, at.alias(y)).join(grid.select(x).distinct(), x, "left_semi")
-
-
-def interval(values: DataFrame, by: list[str], value: str, most_folds: int = 400, level: float = 0.975) -> DataFrame:
-    """Mean and t-based confidence limits over folds; the quantiles come from a small table, above its end the last."""
-    t = [(n, t_quantile(level, n - 1)) for n in range(2, most_folds + 1)]
-    table = values.sparkSession.createDataFrame(t, "_n long, _t double")
-    s = values.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    j = s.join(F.broadcast(table), F.least(F.col("n"), F.lit(most_folds)) == F.col("_n"), "left")
-    half = F.col("_t") * F.col("std") / F.sqrt(F.col("n"))
-    return j.select(*by, "n", "mean", "std", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+def interpolate(curves: DataFrame, curve: list[str], grid: Column, x: str = "x", y: str = "y") -> DataFrame:
+    """Every curve (keys, x, y) at every point of its grid, an array expression over the keys, linearly; null outside the
+    curve's range. A curve's points, as many as it has bins, travel as one array, so nothing is joined."""
+    points = curves.where(F.col(y).isNotNull()).groupBy(*curve).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("_p"))
+    asked = points.select(*curve, "_p", F.explode(grid).alias(x))
+    a = F.element_at(F.filter("_p", lambda p: p.x <= F.col(x)), -1)
+    z = asked.withColumn("_a", F.when(F.exists("_p", lambda p: p.x <= F.col(x)), a)).withColumn("_b", F.try_element_at(F.filter("_p", lambda p: p.x >= F.col(x)), F.lit(1)))
+    at = F.when(F.col("_a.x") == F.col(x), F.col("_a.y")).otherwise(F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * F.try_divide(F.col(x) - F.col("_a.x"), F.col("_b.x") - F.col("_a.x")))
+    return z.select(*curve, x, at.alias(y))
+
+
+@F.pandas_udf(DoubleType())
+def _t(n: pd.Series, level: pd.Series) -> pd.Series:
+    """Student's t for n values; a number of folds repeats often, so each is worked out once a batch."""
+    known = {(k, p): t_quantile(p, k - 1) for k, p in set(zip(n, level, strict=True)) if k > 1}
+    return pd.Series([known.get((k, p)) for k, p in zip(n, level, strict=True)], dtype="float64")
+
+
+def interval(values: DataFrame, by: list[str], value: str, level: float = 0.975, weight: str | None = None) -> DataFrame:
+    """Count, mean (weighted, if asked for), deviation and t-based confidence limits over folds; none for a single fold."""
+    mean = F.avg(value) if weight is None else weighted_mean(F.col(value), F.when(F.col(value).isNotNull(), F.col(weight)))
+    s = values.groupBy(*by).agg(F.count(value).alias("n"), mean.alias("mean"), F.stddev_samp(value).alias("std"))
+    half = _t("n", F.lit(level)) * F.col("std") / F.sqrt(F.col("n"))
+    return s.select(*by, "n", "mean", "std", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
+def aggregate_effects(effects: DataFrame, by: list[str], points: int = 100, folds: int = 3) -> DataFrame:
+    """effects (by, fold, x, y, n): of each feature that at least `folds` folds know, the folds' curves on a common grid from
+    the least to the largest x, their mean weighted with each fold's rows, deviation and limits."""
+    known = effects.where("y is not null")
+    ends = known.groupBy(*by).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.countDistinct("fold").alias("_f")).where(F.col("_f") >= folds).drop("_f")
+    weights = known.groupBy(*by, "fold").agg(F.sum("n").alias("weight"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * k / (points - 1))
+    curves = interpolate(known.join(ends, by), [*by, "fold", "_lo", "_hi"], grid)
+    return interval(curves.where("y is not null").join(weights, [*by, "fold"]), [*by, "x"], "y", weight="weight")
