@@ -49,6 +49,17 @@ def test_zero_phase_filter_keeps_a_slow_wave_in_place():
     assert np.abs(numeric.filtfilt(*numeric.butterworth(2, None, 10, 100), x) - x)[100:-100].max() < 1e-2
 
 
+def test_band_pass_stops_a_constant_and_keeps_its_band():
+    for fs in (160.0, 250.0):
+        h = numeric.fir_taps(fs, 0.1, fs / 2 - 0.1)
+        gain = lambda f: abs((h * np.exp(-2j * np.pi * f / fs * np.arange(len(h)))).sum())
+        assert gain(0) < 0.01 and gain(fs / 2) < 0.01 and all(gain(f) == pytest.approx(1, abs=0.01) for f in (0.3, 1, 10, fs / 2 - 0.4))
+        t = np.arange(int(60 * fs)) / fs
+        x = np.sin(2 * np.pi * 7 * t)
+        assert np.abs(numeric.fir_bandpass(x + 50, fs, 0.1, fs / 2 - 0.1) - x)[2000:-2000].max() < 0.02
+    assert numeric.fir_bandpass(np.ones((3, 64)), 250, 0.1, 124.9).shape == (3, 64)
+
+
 def test_resampling_and_notch():
     t = np.arange(500) / 500
     x = np.sin(2 * np.pi * 5 * t)

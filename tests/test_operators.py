@@ -86,9 +86,11 @@ def test_graph_of_one_link_and_identical_channels(spark):
     e = frame(spark, [(0, 1, 0, 0.5), (0, 2, 1, float("nan"))], "rec long, i long, j long, w double")
     n = graph.normalise(e, ["rec"])
     assert [(r.i, r.w) for r in n.collect()] == [(1, 1.0)]
-    s = frame(spark, [(0, c, t, float(t)) for c in (0, 1) for t in range(4)], "rec long, ch long, t long, v double")
-    pair = signal.pairs(s, ["rec"])
-    assert signal.zero_lag_correlation(pair, ["rec"]).first().w == pytest.approx(1) and signal.amplitude_locking(pair, ["rec"]).first().w == pytest.approx(1)
+    s = frame(spark, [(0, c, [0.0, 1.0, 2.0, 3.0, 9.0][: 5 - c]) for c in (0, 1)] + [(1, 0, [1.0])], "rec long, ch long, samples array<double>")
+    for measure in signal.PAIR_MEASURES:
+        assert [(r.rec, r.i, r.j, pytest.approx(r.w)) for r in signal.pair_measure(s, measure).collect()] == [(0, 1, 0, 1.0)]
+        assert [r.seg for r in signal.pair_measure(s, measure, 2).collect()] == [0, 1]
+    assert signal.pair_measure(s.where("false"), "locking").count() == 0
 
 
 def test_families_have_their_widths(spark):

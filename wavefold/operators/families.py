@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import graph, numeric
@@ -124,23 +125,25 @@ def extract(recordings: DataFrame, grid: list[tuple[str, str, float]], fs: float
         montage_matrix(m)
     own = {f: FAMILIES[f] for f, _, _ in grid}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, f in own.items():
             FAMILIES.setdefault(name, f)
         mats = {m: montage_matrix(m) for _, m, _ in grid}
         for b in batches:
-            out = []
-            for rec, chans in zip(b["rec"], b["channels"], strict=True):
-                x = np.array([c["samples"] for c in chans], float)
+            for rec, chans in zip(b.column("rec").to_pylist(), b.column("channels"), strict=True):
+                x = np.asarray(chans.values.field("samples").flatten(), float).reshape(EEG, -1)
                 made = {m: mats[m] @ x for m in mats}
-                for f, m, s in grid:
-                    for name, row in zip(COMBINERS, segment_features(made[m], f, fs, s), strict=True):
-                        out.append((rec, f, m, float(s), name, [float(v) if np.isfinite(v) else None for v in row]))
-            yield pd.DataFrame(out, columns=["rec", "family", "montage", "seconds", "combiner", "features"])
+                rows = [segment_features(made[m], f, fs, s) for f, m, s in grid]
+                n = len(COMBINERS)
+                flat = np.concatenate([row.ravel() for row in rows]) if rows else np.empty(0)
+                ends = np.concatenate([[0], np.cumsum(np.repeat([row.shape[1] for row in rows], n))]).astype(np.int32)
+                features = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=~np.isfinite(flat)))
+                names = [pa.array([g[k] for g in grid for _ in COMBINERS]) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([rec] * (n * len(grid)), pa.int64()), *names, pa.array([float(g[2]) for g in grid for _ in COMBINERS]), pa.array(list(COMBINERS) * len(grid)), features], [c.split()[0] for c in SCHEMA.split(", ")])
 
     eeg = recordings.where(F.col("ch") < EEG).select("rec", "ch", "samples")
     whole = eeg.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("ch", "samples"))).alias("channels"), F.countDistinct(F.size("samples")).alias("_n"))
-    return whole.where((F.size("channels") == EEG) & (F.col("_n") == 1)).select("rec", "channels").mapInPandas(run, SCHEMA)
+    return whole.where((F.size("channels") == EEG) & (F.col("_n") == 1)).select("rec", "channels").mapInArrow(run, SCHEMA)
 
 
 def connectivity_profiles(edges: DataFrame, keys: list[str], nodes: int) -> DataFrame:

@@ -10,9 +10,9 @@ from .signal import CHANNELS
 LABEL_TOKENS = {"00_epilepsy": 0, "01_no_epilepsy": 1}
 
 
-def path_description(paths: DataFrame, path: str = "path") -> DataFrame:
+def path_description(paths: DataFrame, path: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
     """version, subject, session, segment, year and label out of .../version/label/subject/sNNN_YYYY/montage/name_tNNN.edf;
-    parts that aren't there are null."""
+    parts that aren't there are null. Columns in `keep` stay."""
     tok = F.split(path, "/")
     last = F.try_element_at(tok, F.lit(-1))
     session = F.try_element_at(tok, F.lit(-3))
@@ -20,7 +20,7 @@ def path_description(paths: DataFrame, path: str = "path") -> DataFrame:
     label = F.when(F.array_contains(tok, "00_epilepsy"), 0).when(F.array_contains(tok, "01_no_epilepsy"), 1)
     return paths.select(
         path, F.try_element_at(tok, F.lit(-6)).alias("version"), F.try_element_at(tok, F.lit(-4)).alias("subject"), number(session, r"^s(\d{1,7})").alias("session"),
-        number(last, r"_t(\d{1,7})").alias("segment"), number(session, r"_(\d{4})").alias("year"), label.alias("epilepsy"),
+        number(last, r"_t(\d{1,7})").alias("segment"), number(session, r"_(\d{4})").alias("year"), label.alias("epilepsy"), *keep,
     )
 
 

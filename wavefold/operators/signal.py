@@ -1,4 +1,4 @@
-"""Signal operators on the long form (rec, ch, t, v), all in built-in expressions.
+"""Signal operators on the long form (rec, ch, t, v) in built-in expressions, and on arrays where whole channels meet.
 
 Everything that belongs to one (rec, ch) or (rec, t) is shuffled once on that key; windows and aggregates after it reuse
 the partitioning.
@@ -6,8 +6,12 @@ the partitioning.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import numeric
+
 #: Canonical channels in order of their row.
 CHANNELS = ("FP1", "F3", "C3", "P3", "F7", "T3", "T5", "O1", "FZ", "CZ", "PZ", "FP2", "F4", "C4", "P4", "F8", "T4", "T6", "O2", "PHOTIC PH")
 EEG, STIM, CZ = 19, 19, 9
@@ -158,18 +162,27 @@ def histogram_entropy(signal: DataFrame, keys: list[str], bins: int = 1024) -> D
     return b.groupBy(*keys, "_b", "_n").agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg((-F.sum(p * F.log2(p)) + 0.0).alias("entropy"))
 
 
-def zero_phase_free_iir(arrays: DataFrame, b: list[float], a: list[float], out: str = "filtered") -> DataFrame:
-    """Adds `out`: samples through the IIR filter b / a (direct form II transposed, from rest), by a fold over the array."""
-    n = len(b)
-    zero = F.array(*[F.lit(0.0)] * (n - 1))
-    init = F.struct(zero.alias("z"), F.array().cast("array<double>").alias("y"))
+def iir_energies(arrays: DataFrame, filters: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+    """arrays (keys, samples) -> keys, band, energy of the samples through each filter (b, a), from rest. Rows of one length
+    are filtered together, in time linear in their samples."""
+    keys = [c for c in arrays.columns if c != "samples"]
+    made = {n: tuple(np.asarray(c, float) for c in ba) for n, ba in filters.items()}
 
-    def step(acc: Column, x: Column) -> Column:
-        y = x * b[0] + acc.z[0]
-        z = F.array(*[(x * b[k] - y * a[k] + (acc.z[k] if k < n - 1 else F.lit(0.0))) for k in range(1, n)])
-        return F.struct(z.alias("z"), F.concat(acc.y, F.array(y)).alias("y"))
+    def run(batches):
+        for b in batches:
+            col = b.column("samples")
+            sizes, flat, offsets = np.diff(np.asarray(col.offsets)), np.asarray(col.values, float), np.asarray(col.offsets)
+            energy = np.zeros((len(made), b.num_rows))
+            for n in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == n)
+                x = flat[offsets[own][:, None] + np.arange(n)]
+                for k, (p, q) in enumerate(made.values()):
+                    energy[k, own] = np.square(numeric.lfilter(p, q, x)).sum(axis=-1)
+            for k, name in enumerate(made):
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array([name] * b.num_rows), pa.array(energy[k])], [*keys, "band", "energy"])
 
-    return arrays.withColumn(out, F.aggregate("samples", init, step, lambda acc: acc.y))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.schema if f.name != "samples")
+    return arrays.select(*keys, "samples").mapInArrow(run, f"{kinds}, band string, energy double")
 
 
 # Stimulus periods
@@ -227,43 +240,74 @@ def add_missing_channel(signal: DataFrame, channel: int) -> DataFrame:
     return signal.unionByName(times.select("rec", F.lit(channel).cast("long").alias("ch"), "t", F.lit(0.0).alias("v")))
 
 
-# Pairs of channels
+def prepare_photostim(signal: DataFrame, discarded: DataFrame, keys: list[str], fs: float, seconds: float = 30.0, amplitude: float = 100.0, tolerance: float = 20.0, scale: float = 1e-6, stim: int = STIM) -> DataFrame:
+    """signal (keys, rec, ch, t, v) of recordings with flashes: without those in `discarded` (keys), with all channels up to
+    the stimulus alone, without what comes before the calibration's end, the stimulus scaled, and only recordings that then
+    have some stimulus and at least `seconds`. Filters and another sampling rate are families.preprocess's, on arrays."""
+    kept = signal.join(discarded, keys, "left_anti")
+    whole = kept.where(F.col("ch") <= stim)
+    picked = whole.join(has_channels(whole, list(range(stim + 1))), "rec", "left_semi")
+    trimmed = trim_calibration(picked, amplitude, tolerance, stim).withColumn("v", F.when(F.col("ch") == stim, F.col("v") * scale).otherwise(F.col("v")))
+    on = trimmed.where(F.col("ch") == stim).groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("v") != 0).alias("on")).where(F.col("on") & (F.col("n") / fs >= seconds))
+    return trimmed.join(on.select("rec"), "rec", "left_semi")
 
 
-def pairs(seg: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, i, j, t, x, y for channels i > j: an equi-join on keys and time with a residual, never a product."""
-    a = seg.select(*keys, "t", F.col("ch").alias("i"), F.col("v").alias("x"))
-    b = seg.select(*keys, "t", F.col("ch").alias("j"), F.col("v").alias("y"))
-    return a.join(b, [*keys, "t"]).where("i > j")
+def extract_periods(signal: DataFrame, fs: float, buffer_seconds: float = 1.0, split: list[int] | None = None, level: float = 0.0, stim: int = STIM) -> DataFrame:
+    """signal (rec, ch, t, v) -> rec, half, ch, kind, t, v: the stimulus period with a buffer on both sides ("stim") and the
+    rest of the recording ("rest"), each counted anew. Periods of the recordings in `split` hold two and are cut in the
+    middle into halves 0 and 1, which share a buffer each side."""
+    buffer = int(fs * buffer_seconds)
+    cut = stim_periods(signal, stim_bounds(signal, level, stim), buffer)
+    rest = cut.where("kind = 'rest'").withColumn("half", F.lit(0))
+    halves = split_midpoint(cut.where("kind = 'stim'"), split or [], buffer)
+    again = F.col("t") - F.min("t").over(Window.partitionBy("rec", "half"))
+    return halves.withColumn("t", again).select("rec", "half", "ch", "kind", "t", "v").unionByName(rest.select("rec", "half", "ch", "kind", "t", "v"))
 
 
-def amplitude_locking(pair: DataFrame, keys: list[str]) -> DataFrame:
-    """|mean exp i(x - y)| with the values themselves taken for phases."""
-    d = F.col("x") - F.col("y")
-    return pair.groupBy(*keys, "i", "j").agg(F.hypot(F.avg(F.cos(d)), F.avg(F.sin(d))).alias("w"))
+# Pairs of channels
+
 
+def _locking(x: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return numeric.locking_matrix(x)[j, k]
 
-def zero_lag_correlation(pair: DataFrame, keys: list[str]) -> DataFrame:
-    return pair.groupBy(*keys, "i", "j").agg(F.coalesce(F.try_divide(F.abs(F.sum(F.col("x") * F.col("y"))), F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))), F.lit(0.0)).alias("w"))
 
+def _zero_lag(x: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+    product, e = np.abs(x @ x.T), np.sqrt(np.square(x).sum(axis=-1))
+    scale = e[j] * e[k]
+    return np.divide(product[j, k], scale, out=np.zeros(len(j)), where=scale > 0)
 
-def max_lag_correlation(arrays: DataFrame, lags: int) -> DataFrame:
-    """arrays (rec, ch, samples): the largest absolute correlation of channels i > j over lags of at most `lags` samples."""
-    a, b = arrays.select("rec", F.col("ch").alias("i"), F.col("samples").alias("x")), arrays.select("rec", F.col("ch").alias("j"), F.col("samples").alias("y"))
-    n = F.size("x")
-    add = lambda s, v: s + v
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), add)
 
-    def at(lag: Column) -> Column:
-        size = n - F.abs(lag)
-        return F.abs(dot(F.slice("x", F.greatest(lag, F.lit(0)) + 1, size), F.slice("y", F.greatest(-lag, F.lit(0)) + 1, size)))
+#: Of channels (rows) j and k: |mean exp i(x - y)| with the values taken for phases, the correlation without lag, and the
+#: largest correlation over all lags.
+PAIR_MEASURES = {"locking": _locking, "zero_lag": _zero_lag, "any_lag": numeric.cross_correlations}
 
-    top = F.array_max(F.transform(F.sequence(F.lit(-lags), F.lit(lags)), at))
-    energy = F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))
-    return a.join(b, "rec").where("i > j").select("rec", "i", "j", F.coalesce(F.try_divide(top, energy), F.lit(0.0)).alias("w"))
 
+def pair_measure(arrays: DataFrame, measure: str, length: int | None = None, channels: int = EEG) -> DataFrame:
+    """arrays (rec, ch, samples) -> rec, seg, i, j, w: a measure of each pair of channels i > j in each segment of `length`
+    samples (the whole recording without one, or where it is shorter).
 
-def energy_bands(filtered: DataFrame, column: str = "filtered") -> DataFrame:
-    return filtered.select("rec", "ch", F.aggregate(column, F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
+    One shuffle, of arrays and by recording; pairs are products of a recording's channels inside its row. Channels are
+    compared as far as the shortest goes.
+    """
+    f = PAIR_MEASURES[measure]
 
+    def run(batches):
+        for b in batches:
+            out = [[] for _ in range(5)]
+            for rec, chans in zip(b.column("rec").to_pylist(), b.column("c"), strict=True):
+                ch = np.asarray(chans.values.field("ch"))
+                samples = chans.values.field("samples")
+                n = int(np.diff(np.asarray(samples.offsets)).min()) if len(ch) else 0
+                x = np.stack([samples[k].values.to_numpy(zero_copy_only=False)[:n] for k in range(len(ch))]) if len(ch) else np.empty((0, 0))
+                j, k = np.tril_indices(len(ch), -1)
+                size = length if length and n >= length else n
+                for seg in range(n // size if size else 0):
+                    out[0].append(np.full(len(j), rec))
+                    out[1].append(np.full(len(j), seg))
+                    out[2].append(ch[j])
+                    out[3].append(ch[k])
+                    out[4].append(f(x[:, seg * size : (seg + 1) * size], j, k))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0), t) for c, t in zip(out, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["rec", "seg", "i", "j", "w"])
 
+    rows = arrays.where(F.col("ch") < channels).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct(F.col("ch").cast("long").alias("ch"), "samples"))).alias("c"))
+    return rows.select(F.col("rec").cast("long").alias("rec"), "c").mapInArrow(run, "rec long, seg long, i long, j long, w double")

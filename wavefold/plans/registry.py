@@ -25,6 +25,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def _with(head: str, sql: str) -> str:
+    """The SQL after common table expressions of its own and of `head`."""
+    for start in ("with recursive ", "with "):
+        if sql.lower().startswith(start):
+            return f"{start}{head}, {sql[len(start):]}"
+    return f"with {head} {sql}"
+
+
 def query(sql: str | None = None, *ctes: str):
     """Registers a function under its name; `ctes` names views that the SQL reads."""
 
@@ -37,7 +45,7 @@ def query(sql: str | None = None, *ctes: str):
         QUERIES[f.__name__] = run
         if sql is not None:
             head = ", ".join(views.SQL[c] for c in ctes)
-            ORACLE_SQL[f.__name__] = (f"with {head} {', ' + sql.strip()[5:] if sql.strip().lower().startswith('with ') else sql}") if head else sql
+            ORACLE_SQL[f.__name__] = _with(head, sql.strip()) if head else sql
         return f
 
     return add

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import numeric
 from ..operators import graph, signal as S
+from ..sources import shared
 from ..sources.views import emb_arrays, emb_signal, evt_signal
 from .registry import query, r, rounded
 
@@ -147,54 +148,55 @@ def shannon_entropy_hist(spark, sf_dir):
     return rounded(S.histogram_entropy(emb_signal(spark, sf_dir), ["rec", "ch"], 16), "entropy")
 
 
-_B, _A = numeric.butterworth(2, None, 40.0, 250.0)
+_FILTERS = {n: tuple([float(x) for x in c] for c in numeric.band_filter(n, 250.0)) for n in numeric.BANDS}
 
 
-def _iir_sql() -> str:
-    b0, b1, b2 = map(float, _B)
-    _, a1, a2 = map(float, _A)
-    return f"""with recursive x as (select vec_id, embedding::double[] as s from embeddings),
-f as (select vec_id, s, 0 as k, 0.0::double as z0, 0.0::double as z1, 0.0::double as e from x
-union all select vec_id, s, k + 1, {b1!r} * s[k + 1] - {a1!r} * ({b0!r} * s[k + 1] + z0) + z1, {b2!r} * s[k + 1] - {a2!r} * ({b0!r} * s[k + 1] + z0), e + power({b0!r} * s[k + 1] + z0, 2) from f where k < 64)
-select vec_id // 20 as rec, vec_id % 20 as ch, {r('e')} as energy from f where k = 64"""
+def iir_sql(source: str, keys: str, samples: str, size: int) -> str:
+    """Common table expressions ending in iir_(keys, band, energy): the samples of `source` through the filter of each band,
+    one sample a step, in transposed direct form with one state for each order."""
+    order = max(len(a) for _, a in _FILTERS.values()) - 1
+    pad = lambda c: [*c, *[0.0] * (order + 1 - len(c))]
+    rows = ", ".join(f"('{n}', [{', '.join(map(repr, pad(b)))}]::double[], [{', '.join(map(repr, pad(a)))}]::double[])" for n, (b, a) in _FILTERS.items())
+    y = "(b[1] * s[k + 1] + z[1])"
+    z = ", ".join(f"b[{i + 2}] * s[k + 1] - a[{i + 2}] * {y} + {f'z[{i + 2}]' if i + 1 < order else '0'}" for i in range(order))
+    return f"""coef_(band, b, a) as (values {rows}), fold_ as (select {keys}, {samples} as s, band, b, a, 0 as k, [{', '.join(['0.0'] * order)}]::double[] as z, 0.0::double as e from {source}, coef_
+union all select {keys}, s, band, b, a, k + 1, [{z}], e + power({y}, 2) from fold_ where k < {size}),
+iir_ as (select {keys}, band, e as energy from fold_ where k = {size})"""
 
 
-@query(_iir_sql())
+@query(f"with recursive x as (select vec_id // 20 as rec, vec_id % 20 as ch, embedding::double[] as v from embeddings), {iir_sql('x', 'rec, ch', 'v', 64)} select rec, ch, band, {r('energy')} as energy from iir_")
 def iir_band_energy(spark, sf_dir):
-    return rounded(S.energy_bands(S.zero_phase_free_iir(emb_arrays(spark, sf_dir), [float(x) for x in _B], [float(x) for x in _A])), "energy")
+    return rounded(S.iir_energies(emb_arrays(spark, sf_dir), _FILTERS), "energy")
 
 
 _PAIR = "p as (select a.rec, a.t // 16 as seg, a.ch as i, b.ch as j, a.v as x, b.v as y from sig a join sig b on a.rec = b.rec and a.t = b.t and a.ch > b.ch where a.ch < 19 and b.ch < 19)"
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    return S.pairs(S.segments(emb_signal(spark, sf_dir).where("ch < 19"), 16), ["rec", "seg"])
-
-
 @query(f"with {_PAIR} select rec, seg, i, j, {r('sqrt(power(avg(cos(x - y)), 2) + power(avg(sin(x - y)), 2))')} as w from p group by all", "sig")
 def plv_amplitude(spark, sf_dir):
-    return rounded(S.amplitude_locking(_pairs(spark, sf_dir), ["rec", "seg"]), "w")
+    return rounded(S.pair_measure(emb_arrays(spark, sf_dir), "locking", 16), "w")
 
 
 @query(f"with {_PAIR} select rec, seg, i, j, {r('coalesce(abs(sum(x * y)) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0), 0)')} as w from p group by all", "sig")
 def xcorr_zero_lag(spark, sf_dir):
-    return rounded(S.zero_lag_correlation(_pairs(spark, sf_dir), ["rec", "seg"]), "w")
+    return rounded(S.pair_measure(emb_arrays(spark, sf_dir), "zero_lag", 16), "w")
 
 
-@query(f"""with s as (select rec, ch, t, v from sig where ch < 6),
+@query(f"""with s as (select rec, ch, t, v from sig where ch < 19),
 e as (select rec, ch, sum(v * v) as e from s group by all),
-l as (select a.rec, a.ch as i, b.ch as j, a.t - b.t as lag, abs(sum(a.v * b.v)) as c from s a join s b on a.rec = b.rec and a.ch > b.ch and a.t - b.t between -8 and 8 group by all)
+l as (select a.rec, a.ch as i, b.ch as j, a.t - b.t as lag, abs(sum(a.v * b.v)) as c from s a join s b on a.rec = b.rec and a.ch > b.ch group by all)
 select l.rec, i, j, {r('coalesce(max(c) / nullif(sqrt(x.e * y.e), 0), 0)')} as w from l join e x on x.rec = l.rec and x.ch = i join e y on y.rec = l.rec and y.ch = j group by l.rec, i, j, x.e, y.e""", "sig")
 def xcorr_max_lag(spark, sf_dir):
-    return rounded(S.max_lag_correlation(emb_arrays(spark, sf_dir).where("ch < 6"), 8), "w")
+    return rounded(S.pair_measure(emb_arrays(spark, sf_dir), "any_lag").drop("seg"), "w")
 
 
 # Graphs: zero-lag correlations of a recording above 0.1
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    w = S.zero_lag_correlation(S.pairs(emb_signal(spark, sf_dir).where("ch < 19"), ["rec"]), ["rec"])
-    return graph.normalise(w.where("w > 0.1"), ["rec"])
+    """Stored, since a query's plan reads it several times."""
+    w = S.pair_measure(emb_arrays(spark, sf_dir), "zero_lag").drop("seg")
+    return shared.store(graph.normalise(w.where("w > 0.1"), ["rec"]), "edges")
 
 
 _EDGES = """e0 as (select a.rec, a.ch as i, b.ch as j, abs(sum(a.v * b.v)) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) as w from sig a join sig b on a.rec = b.rec and a.t = b.t and a.ch > b.ch where a.ch < 19 and b.ch < 19 group by all),
@@ -309,3 +311,29 @@ select rec, t, {r('v')} as v from h where ch = 19 union all select distinct rec,
 def add_missing_channel(spark, sf_dir):
     h = emb_signal(spark, sf_dir).where("not (ch = 19 and rec % 2 = 0)")
     return rounded(S.add_missing_channel(h, 19).where("ch = 19").select("rec", "t", "v"), "v")
+
+
+_PREPARED = """had as (select rec, ch, t, v from sig where rec % 6 <> 5 and not (rec % 6 = 4 and ch = 7)), whole as (select rec from had where ch < 20 group by rec having count(distinct ch) = 20),
+c as (select rec, min(t) as s from had where ch = 19 and abs(v) < 0.1 group by rec), tr as (select rec, ch, t - coalesce(s, 0) as t, case when ch = 19 then v * 10 else v end as v from had semi join whole using (rec) left join c using (rec) where t >= coalesce(s, 0)),
+ok as (select rec from tr where ch = 19 group by rec having bool_or(v <> 0) and count(*) / 2.0 >= 30)"""
+
+
+def _prepared(spark, sf_dir) -> DataFrame:
+    s = emb_signal(spark, sf_dir).where("not (rec % 6 = 4 and ch = 7)").withColumn("session", F.col("rec") % 6)
+    gone = spark.createDataFrame([(5,)], "session long")
+    return S.prepare_photostim(s, gone, ["session"], 2.0, 30.0, 0.3, 0.2, 10.0)
+
+
+@query(f"with {_PREPARED} select rec, ch, t, {r('v')} as v from tr semi join ok using (rec)", "sig")
+def prepare_photostim(spark, sf_dir):
+    """Recordings with a session to leave out, with a channel missing, with a calibration to trim, or then too short."""
+    return rounded(_prepared(spark, sf_dir).select("rec", "ch", "t", "v"), "v")
+
+
+@query(f"""with {_PREPARED}, p as (select * from tr semi join ok using (rec)), b as (select rec, min(t) as f, max(t) as l from p where ch = 19 and v > 2 group by rec),
+k as (select p.*, case when t between greatest(f - 3, 0) and l + 3 then 'stim' else 'rest' end as kind from p join b using (rec)), n as (select rec, ch, kind, row_number() over (partition by rec, ch, kind order by t) - 1 as t, v from k),
+m as (select *, (max(t) over (partition by rec) + 1) // 2 as mid from n where kind = 'stim'),
+h as (select rec, ch, t, v, half from m, (values (0), (1)) as x(half) where case when rec in (0, 3) then (half = 0 and t < mid + 3) or (half = 1 and t >= mid - 3) else half = 0 end)
+select rec, half, ch, 'stim' as kind, t - min(t) over (partition by rec, half) as t, {r('v')} as v from h union all select rec, 0, ch, kind, t, {r('v')} from n where kind = 'rest'""", "sig")
+def extract_periods(spark, sf_dir):
+    return rounded(S.extract_periods(_prepared(spark, sf_dir), 1.5, 2.0, [0, 3], 2.0), "v")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import relational
@@ -18,9 +21,20 @@ def discover(spark: SparkSession, root: str, glob: str = "*.edf") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """path, header (its first 88 bytes), age and gender."""
-    return relational.age_gender(files.select("path", F.decode(F.substring("content", 1, 88), "US-ASCII").alias("header")))
+def headers(files: DataFrame, size: int = 88) -> DataFrame:
+    """path, header (its first 88 bytes), age and gender; no more of a file is read. Paths are of file systems that Arrow
+    opens (local, hdfs, s3, gs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = []
+            for path in b.column("path").to_pylist():
+                fs, name = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with fs.open_input_file(name) as f:
+                    heads.append(f.read(size).decode("ascii", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(heads, pa.string())], ["path", "header"])
+
+    return relational.age_gender(files.select("path").mapInArrow(run, "path string, header string"))
 
 
 def parse(raw: bytes) -> list[tuple[str, float, np.ndarray]]:
@@ -58,17 +72,24 @@ def signals(files: DataFrame) -> DataFrame:
 
 
 def reports(spark: SparkSession, root: str) -> DataFrame:
-    """folder, report: the text files beside recordings; utf-8, else latin-1. Fails on an empty one."""
-    files = discover(spark, root, "*.txt").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "content")
+    """folder, name, report: the text files beside recordings; utf-8, else latin-1. Fails on an empty one."""
+    files = discover(spark, root, "*.txt").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), "content")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.select("folder", F.when(F.length(text) == 0, F.raise_error(F.concat(F.lit("empty report in "), F.col("folder"))).cast("string")).otherwise(text).alias("report"))
+    return files.select("folder", "name", F.when(F.length(text) == 0, F.raise_error(F.concat(F.lit("empty report in "), F.col("folder"))).cast("string")).otherwise(text).alias("report"))
+
+
+def dates(spark: SparkSession, root: str) -> DataFrame:
+    """folder, date: the JSON files beside recordings that name the day they were taken."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root, schema="date date")
+    return rows.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"), "date").where("date is not null").groupBy("folder").agg(F.min("date").alias("date"))
 
 
 def recordings(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each file: description from path and header, report of its folder if there is one."""
-    files = discover(spark, root)
-    described = relational.path_description(files.select("path")).join(headers(files).drop("header"), "path")
-    return described.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).join(reports(spark, root), "folder", "left").drop("folder")
+    """One row for each file: description from path and header, report of its folder if there is one (several are put
+    together in the order of their names)."""
+    described = relational.path_description(headers(discover(spark, root)), keep=("age", "gender"))
+    texts = reports(spark, root).groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "report"))), lambda r: r.report), "\n").alias("report"))
+    return described.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).join(texts, "folder", "left").drop("folder")
 
 
 def fake_recording(spark: SparkSession, channels: int = 21, fs: int = 10, seconds: int = 360, seed: int = 0) -> DataFrame:
