@@ -5,17 +5,16 @@ from __future__ import annotations
 import contextlib
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..sources import shared
+from ..sources.shared import ship  # noqa: F401
+
 #: Entries a worker keeps of what a word encodes to; a full table starts again empty, which changes no result.
 CACHE_ENTRIES = 600_000
 #: UTF-8 bytes of text a worker takes at a time out of an Arrow batch.
@@ -24,35 +23,12 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package even if the driver was started elsewhere."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where none is named (tests), a temporary one is set."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if "wavefold_llm" not in _OWN:
-            _OWN["wavefold_llm"] = tempfile.mkdtemp(prefix="wavefold-")
-        named = "file://" + _OWN["wavefold_llm"]
-    return named.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-
-
 class Stored:
     """A table written to the shared folder: it cuts lineage and outlives executors. Its shuffles' files go once it is written."""
 
     def __init__(self, df: DataFrame, tag: str):
         spark = df.sparkSession
-        self.path = f"{shared_folder(spark)}/wavefold/{tag}-{uuid.uuid4().hex}"
+        self.path = shared.folder(spark, tag)
         with _brief_shuffles(spark):
             df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
