@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from functools import wraps
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources import views
+from ..sources import shared, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver was started."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-
-
 def _with(head: str, sql: str) -> str:
     """The SQL after common table expressions of its own and of `head`."""
     for start in ("with recursive ", "with "):
@@ -39,7 +27,7 @@ def query(sql: str | None = None, *ctes: str):
     def add(f):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            shared.ship(spark)
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run
