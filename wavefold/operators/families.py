@@ -99,10 +99,10 @@ def montage_matrix(name: str) -> np.ndarray:
     return out
 
 
-def segment_features(x: np.ndarray, family: str, fs: float, seconds: float) -> np.ndarray:
+def segment_features(x: np.ndarray, family: str, fs: float, seconds: float, how: tuple[Callable, bool] | None = None) -> np.ndarray:
     """5 combiners by features of one recording after montage; a recording shorter than a segment is one segment, whose
     features stand for every combiner."""
-    f, bias = FAMILIES[family]
+    f, bias = how or FAMILIES[family]
     size, n = int(fs * seconds), x.shape[1]
     count = n // size if size else 0
     if count == 0:
@@ -126,14 +126,12 @@ def extract(recordings: DataFrame, grid: list[tuple[str, str, float]], fs: float
     own = {f: FAMILIES[f] for f, _, _ in grid}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, f in own.items():
-            FAMILIES.setdefault(name, f)
         mats = {m: montage_matrix(m) for _, m, _ in grid}
         for b in batches:
             for rec, chans in zip(b.column("rec").to_pylist(), b.column("channels"), strict=True):
                 x = np.asarray(chans.values.field("samples").flatten(), float).reshape(EEG, -1)
                 made = {m: mats[m] @ x for m in mats}
-                rows = [segment_features(made[m], f, fs, s) for f, m, s in grid]
+                rows = [segment_features(made[m], f, fs, s, own[f]) for f, m, s in grid]
                 n = len(COMBINERS)
                 flat = np.concatenate([row.ravel() for row in rows]) if rows else np.empty(0)
                 ends = np.concatenate([[0], np.cumsum(np.repeat([row.shape[1] for row in rows], n))]).astype(np.int32)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.experiments import Experiment
+from ..sources import shared
 from . import evaluation, modelling, relational
 
 RUN = ["project_name", "mode", "run", "seed", "run_name", "feature_set"]
@@ -63,6 +64,18 @@ def prepare(features: DataFrame, params: DataFrame, sources: list[str]) -> DataF
     return both.select("subject", y.alias("y"), "family", F.concat(*(p.features for p in parts)).alias("features"))
 
 
+def preload(rows: DataFrame) -> DataFrame:
+    """Prepared rows, kept in the shared folder by family, so that every sweep after reads them instead of preparing again."""
+    path = shared.folder(rows.sparkSession, "prepared")
+    rows.write.partitionBy("family").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def fetch(preloaded: DataFrame, family: str) -> DataFrame:
+    """One family's rows; the others' files aren't read."""
+    return preloaded.where(F.col("family") == family)
+
+
 def _subjects(rows: DataFrame, e: Experiment, responders: DataFrame | None) -> DataFrame:
     """Keeps the subjects of an experiment; responders (subject, hv_success) are asked for where it names them."""
     include = None

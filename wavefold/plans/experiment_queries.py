@@ -91,6 +91,12 @@ _prepared("prepare_dual_source", ["background", "ips"])
 _prepared("prepare_triple_source", ["background", "ips", "hv"])
 
 
+@query(f"with {_PIECES} select subject, y, {r('list_sum(features)')} as total from own where source = 'background' and family = 'dwt'")
+def preloaded_features(spark, sf_dir):
+    cache = sweeps.preload(sweeps.prepare(*_pieces(spark, sf_dir), ["background"]))
+    return rounded(sweeps.fetch(cache, "dwt").select("subject", "y", F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("total")), "total")
+
+
 # Sweeps, on small grids of the real pipeline
 
 
