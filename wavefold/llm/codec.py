@@ -27,7 +27,7 @@ from .tokens import encoder
 MAGIC = b"WFIDRC02"
 _HEAD = struct.Struct("<8sIIIIQI")
 #: A partition holds about so many bytes of text; beyond `MOST_PARTS` partitions each holds more, in more files.
-PART_BYTES, MOST_PARTS = 20_000_000, 20_000
+PART_BYTES, MOST_PARTS = 25_000_000, 20_000
 FILES = "part int, file_no int, n_docs long, n_tokens long, content binary"
 DOCS = "part int, file_no int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -65,7 +65,7 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(ids.tolist(), null, strict=True)], lengths, tokens
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = 10_000_000) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_tokens: int = 12_000_000) -> DataFrame:
     """The files of all documents: part, file_no, n_docs, n_tokens, content.
 
     Null counts as empty: the end id alone. Rows with a null doc_id come first; rows that repeat one are written as

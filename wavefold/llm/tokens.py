@@ -4,24 +4,32 @@ A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct
 `tokenizers` library, and the pieces' ids are put together. Pieces of Latin script go, many at a time, straight to the
 library's BPE model; all others through its whole chain. Texts that hold an added token's content go through the whole chain uncut, as
 it splits there first. Files with another chain than the two known here are encoded text by text.
+
+Where pieces are all that stands between white space, words are known by their 64-bit hashes and a text's ids are
+gathered from a pool of ids, a slice of texts at once; texts with white space beyond ASCII take the other way.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from ._common import CACHE_ENTRIES, no_threads
+from ._common import CACHE_ENTRIES, SPACED, no_threads
 
+#: Words a worker keeps in the pool, some 120 bytes each.
+POOL_ENTRIES = 1_000_000
 #: White space of Unicode: Python's, but for the four separators that only Python counts.
 _WS, _NS = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: Printable ASCII and Latin letters of one case mapping each, the same in every version of Unicode.
 _LATIN = re.compile(r" ?[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+\Z")
 _L, _N = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]", r"[0-9]"
 _OTHER = r"[^\sA-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff0-9]"
+#: White space beyond the six ASCII characters.
+_ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SHORT = r"'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -44,7 +52,9 @@ class Encoder:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         added = spec.get("added_tokens") or []
         self.added = [x["content"] for x in added]
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[str, bytes] = {}  # of pieces
+        self.words: dict[str, bytes] = {}  # of what pieces are made of
+        self.pool = _Pool()
         self.cut = self.parts = None
         self.lower = self.plain = False
         if any(x.get("normalized") for x in added):  # sought in normalised text
@@ -71,25 +81,26 @@ class Encoder:
     def _one(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _fill(self, pieces: list[str]) -> None:
-        memory, latin = self.memory, _LATIN.match
-        letters, plain, rest = [], [], []
+    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
+        """What pieces encode to. Those of Latin script are cut into words, and only words that aren't known are encoded."""
+        letters, plain, rest, latin = [], [], [], _LATIN.match
         for p in pieces:
             (letters if p.isascii() and p[1:].isalpha() and (p[0].isalpha() or p[0] == " ") else plain if latin(p) else rest).append(p)
-        if letters or plain:
-            # Pieces of ASCII letters are one word each; others are cut into words.
-            lines = "\n".join([*letters, *plain])
-            if self.lower:
-                lines = lines.lower()
-            sizes = np.array([len(x) for x in lines.encode().split(b"\n")])
-            at = sum(map(len, letters)) + len(letters)
-            words = (lines[:at] + "\n".join(self.parts.findall(lines[at:]))).encode().decode("latin-1").translate(self.letters)
-            ids = np.array(self.bare.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1)).tolist()
+        if len(self.words) >= CACHE_ENTRIES:
+            self.words.clear()
+        low = str.lower if self.lower else str
+        one, several = list(map(low, letters)), [self.parts.findall(low(p)) for p in plain]
+        if new := list(set(one).union(*several).difference(self.words)):
+            lines = "\n".join(new).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.bare.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(w.encode()) for w in new])) + 1)).tolist()
             raw = ids.tobytes()
-            memory.update(zip([*letters, *plain], [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
-            memory[p] = np.array(e.ids, "<u4").tobytes()
+            self.words.update(zip(new, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        get = self.words.__getitem__
+        out = dict(zip(letters, map(get, one), strict=True))
+        out.update(zip(plain, [b"".join(map(get, s)) for s in several], strict=True))
+        out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True))
+        return out
 
     def _pieces(self, text: str) -> list[str]:
         """The text cut where the pre-tokenizer always cuts. Python's own split knows four separators more."""
@@ -101,13 +112,68 @@ class Encoder:
         if self.cut is None:
             return [self._one(t) if t else b"" for t in texts]
         uncut = {k for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        cut = [self._pieces(t) if t and k not in uncut else [] for k, t in enumerate(texts)]
-        if len(self.memory) >= CACHE_ENTRIES:
-            self.memory.clear()
-        if new := set().union(*cut).difference(self.memory):
-            self._fill(list(new))
-        get = self.memory.__getitem__
-        return [self._one(texts[k]) if k in uncut else b"".join(map(get, c)) for k, c in enumerate(cut)]
+        out = [self._one(t) if k in uncut else b"" for k, t in enumerate(texts)]
+        own, spaced = [], []
+        for k, t in enumerate(texts):
+            if t and k not in uncut:
+                (spaced if self.plain and (t.isascii() or not _ODD_SPACE.search(t)) else own).append(k)
+        for k, ids in zip(spaced, self._spaced([texts[k] for k in spaced]) if spaced else [], strict=True):
+            out[k] = ids
+        if own:
+            cut = [self._pieces(texts[k]) for k in own]
+            if len(self.memory) >= CACHE_ENTRIES:
+                self.memory.clear()
+            if new := set().union(*cut).difference(self.memory):
+                self.memory.update(self._ids(list(new)))
+            for k, c in zip(own, cut, strict=True):
+                out[k] = b"".join(map(self.memory.__getitem__, c))
+        return out
+
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        h, first, start, stop, raw = SPACED.spans(texts)
+        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.pool.slot) >= POOL_ENTRIES:
+            self.pool = _Pool()
+        slots = self.pool.find(keys)
+        if len(new := np.flatnonzero(slots < 0)):
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[at[new]].tolist(), stop[at[new]].tolist(), strict=True)]
+            got = self._ids(words)
+            slots[new] = self.pool.add(keys[new], [got[w] for w in words])
+        ids, ends = self.pool.gather(slots[inverse])
+        raw, cuts = ids.tobytes(), (4 * np.concatenate([[0], ends])[first]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class _Pool:
+    """Ids of words by the words' hashes, one after the other in one array."""
+
+    def __init__(self):
+        self.slot: dict[int, int] = {}
+        self.ids, self.begin, self.size, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot; -1 where there is none."""
+        return np.fromiter(map(self.slot.get, keys.tolist(), itertools.repeat(-1)), np.int64, len(keys))
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids])
+        slots, n = np.arange(len(self.slot), len(self.slot) + len(keys)), len(self.slot) + len(keys)
+        while n > len(self.begin):
+            self.begin, self.size = np.pad(self.begin, (0, len(self.begin))), np.pad(self.size, (0, len(self.size)))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.pad(self.ids, (0, len(self.ids)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[slots], self.size[slots] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(flat)
+        self.slot.update(zip(keys.tolist(), slots.tolist(), strict=True))
+        return slots
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and where each word's end."""
+        sizes = self.size.take(slots)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids.take(np.repeat(self.begin.take(slots) - (ends - sizes), sizes) + np.arange(total)), ends
 
 
 _known: dict[str, Encoder] = {}
