@@ -3,6 +3,7 @@ closed forms."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -46,13 +47,21 @@ l_ as (select a.rec, a.t // 16 as seg, a.o as i, b.o as j, a.t - b.t as lag, abs
 f_ as (select l_.rec, i * (i - 1) // 2 + j as k, l_.seg, max(c) / sqrt(max(p.e) * max(q.e)) as x from l_ join e_ p on p.rec = l_.rec and p.seg = l_.seg and p.o = i join e_ q on q.rec = l_.rec and q.seg = l_.seg and q.o = j group by all)"""
 _CC = f"with {_montage('BipolarDB')}, {_LAGS}, {_SHAPES} {_combined('cc', 'BipolarDB', 0.5, True)}"
 
+_KERNEL = ", ".join(f"({d}, {float(v)!r}::double)" for d, v in enumerate(numeric.analytic(np.eye(16)[0]).imag))
+_PHASES = f"""y_ as (select rec, o, seg, band, k as t, b[1] * s[k + 1] + z[1] as v from fold_ where k < 16 union all select rec, o, t // 16, 'raw', t % 16, v from out_), ker_(d, g) as (values {_KERNEL}),
+h_ as (select a.rec, a.o, a.seg, a.band, a.t, any_value(a.v) as re, sum(x.v * g) as im from y_ a join y_ x on x.rec = a.rec and x.o = a.o and x.seg = a.seg and x.band = a.band join ker_ on d = (a.t - x.t + 16) % 16 group by all),
+u_ as (select rec, o, seg, band, t, coalesce(re / nullif(sqrt(re * re + im * im), 0), 1) as c, coalesce(im / nullif(sqrt(re * re + im * im), 0), 0) as s from h_),
+f_ as (select a.rec, (case a.band when 'raw' then 0 else 1 + {_BAND.replace('case band', 'case a.band')} end) * 171 + a.o * (a.o - 1) // 2 + b.o as k, a.seg, sqrt(power(avg(a.c * b.c + a.s * b.s), 2) + power(avg(a.s * b.c - a.c * b.s), 2)) as x
+from u_ a join u_ b on a.rec = b.rec and a.seg = b.seg and a.band = b.band and a.t = b.t and a.o > b.o group by a.rec, a.seg, a.band, a.o, b.o)"""
+_PLV = f"""with recursive {_montage('CAR')}, parts_ as (select rec, o, t // 16 as seg, list(v order by t) as v from out_ group by all), {iir_sql('parts_', 'rec, o, seg', 'v', 16)}, {_PHASES}, {_SHAPES} {_combined('plv', 'CAR', 0.064, False)}"""
+
 _family("spectral_relative_power", "spectral", "CAR", 0.064, 250.0, _SPECTRAL, "sig")
 _family("cwt_energy", "cwt", "Cz", 0.5, 1.0)
 _family("dwt_energy", "dwt", "BipolarDB")
 _family("mst_features", "mst", "CAR", 1.0)
 _family("sst_features", "sst", "CAR", 1.0)
 _family("utm_full", "utm", "Laplacian")
-_family("plv_bands", "plv", "CAR", 0.125, 250.0)
+_family("plv_bands", "plv", "CAR", 0.064, 250.0, _PLV, "sig")
 _family("cc_features", "cc", "BipolarDB", 0.5, FS, _CC, "sig")
 _family("gcc_features", "gcc", "CAR", 1.0)
 _family("gplv_features", "gplv", "CAR", 1.0)
