@@ -137,6 +137,25 @@ def test_packing(docs, none):
     assert packing.pack(none, BYTE).count() == 0
 
 
+def test_a_length_that_most_pieces_have_is_ranked_in_many_windows(spark, monkeypatch):
+    """Repeated rows without a doc_id among them; places are gapless all the same."""
+    monkeypatch.setattr(packing, "RANKED", 7)
+    d = spark.createDataFrame([(None if k % 3 else k, "one two") for k in range(300)] + [(500, prose(900))], "doc_id long, text string").repartition(5)
+    got = packing.pack(d, BYTE, 16).collect()
+    space = defaultdict(list)
+    for r in got:
+        space[r.sequence_id].append((r.offset, r.length))
+    for items in space.values():
+        at = 0
+        for offset, n in sorted(items):
+            assert offset == at
+            at += n
+        assert at <= 16
+    assert Counter(r.doc_id for r in got)[None] == 200 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    counts = Counter(r.length for r in got)
+    assert len(space) == check_plan(counts, 16)
+
+
 def test_packed_sequences_hold_the_ids(spark):
     d = spark.createDataFrame([(1, prose(30)), (2, prose(200)), (3, None)], "doc_id long, text string")
     placed = packing.pack(d, BYTE, 128)
@@ -217,6 +236,23 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_a_hot_group_without_doc_ids_is_spread_and_small_groups_stay_whole(spark):
+    rnd = random.Random(6)
+    small = [prose(30, rnd) for _ in range(60)]
+    rows = [(None, "copy " * 20) for _ in range(500)] + [(k, small[k % 60]) for k in range(600)] + [(None, None)] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard(d, 8, whole_group=0.2).collect()
+    size, slots, where = Counter(), defaultdict(list), defaultdict(set)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where[r.text_crc32].add(r.shard)
+    mean = sum(size.values()) / 8
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(where[zlib.crc32(b"copy " * 20)]) > 2 and all(len(where[zlib.crc32(t.encode())]) == 1 for t in small)
+    assert max(abs(x - mean) for x in size.values()) <= 0.2 * mean + max(r.size for r in got)
+
+
 # 5 token files
 
 

@@ -28,6 +28,19 @@ def test_added_tokens_are_the_library_s(parts):
         assert encoder(path).encode([text, None, "a b"]) == [library(path, text), b"", library(path, "a b")]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abszÉéÀßÿ×÷Þ'rveml tdS01$!-\n\t\x0b\x1d\xa0\u2003Ωœ", max_size=30), st.lists(st.sampled_from(["it's", "'s", "$'s", "IT'LL", "we've'd", "1's", "é'rex", "''m", " 're", "a1b22", "x'"]), max_size=4))
+def test_words_of_latin_texts_are_the_library_s(text, more):
+    both = [text, " ".join(more), text + "".join(more), None]
+    for path in PATHS:
+        assert encoder(path).encode(both) == [library(path, t) if t else b"" for t in both]
+
+
+def test_long_words_and_texts_are_the_library_s():
+    texts = ["ab" * 400_000 + " don't", "x " * 300_000 + "É" * 1000, "end"]
+    assert encoder(PATHS[1]).encode(texts) == [library(PATHS[1], t) for t in texts]
+
+
 def test_added_ids_are_given():
     for path, name, end in zip(PATHS, ("byte", "word"), (50256, 49407), strict=True):
         assert np.frombuffer(encoder(path).encode([TEXT])[0], "<u4").tolist().count(end) == 3, name

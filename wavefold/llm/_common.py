@@ -147,43 +147,36 @@ class Words:
 
     def __init__(self, inside: np.ndarray, fold: np.ndarray):
         self.inside = inside
-        self.code = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U)[fold]
+        self.code = CODES[fold]
 
     def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every word of all texts, and where each text's words begin (one more than texts)."""
-        h, first, _, _, _ = self.spans(texts)
-        return h, first
-
-    def spans(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-        """The same, and the first byte of each word and the one after its last in the texts' bytes, which come last."""
         raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         ends = np.cumsum([len(r) + 1 for r in raws])
-        joined = b" ".join([*raws, b""])
-        raw = np.frombuffer(joined, np.uint8)
-        out, starts, stops, at = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        raw = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+        out, places, at = [np.empty(0, _U)], [np.empty(0, np.int64)], 0
         while at < len(raw):
             end = min(at + _BLOCK, len(raw))
             while end < len(raw) and self.inside[raw[end - 1]] and self.inside[raw[end]]:  # words stay whole
                 gaps = np.flatnonzero(~self.inside[raw[end : end + _BLOCK]])
                 end = end + int(gaps[0]) if len(gaps) else min(end + _BLOCK, len(raw))
-            h, start, stop = self._block(raw[at:end])
-            out.append(h)
-            starts.append(start + at)
-            stops.append(stop + at)
+            own = raw[at:end]
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], self.inside[own], [False]]).view(np.int8)))
+            out.append(run_hashes(self.code[own], edge[::2], edge[1::2]))
+            places.append(edge[::2] + at)
             at = end
-        start = np.concatenate(starts)
-        return np.concatenate(out), np.concatenate([[0], np.searchsorted(start, ends)]), start, np.concatenate(stops), joined
+        return np.concatenate(out), np.concatenate([[0], np.searchsorted(np.concatenate(places), ends)])
+
 
-    def _block(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A word's hash is the sum of its bytes' codes times powers of an odd number, from differences of one running sum."""
-        inside = self.inside[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        power, inverse = _powers(len(raw))
-        run = np.concatenate([np.zeros(1, _U), np.cumsum(self.code[raw] * power, dtype=_U)])
-        return mix((run[end] - run[start]) * inverse[start] + (end - start).astype(_U)), start, end
+def run_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, given by the bytes' codes: the sum of the codes times powers of an odd number, from
+    differences of one running sum."""
+    power, inverse = _powers(len(code))
+    run = np.concatenate([np.zeros(1, _U), np.cumsum(code * power, dtype=_U)])
+    return mix((run[end] - run[start]) * inverse[start] + (end - start).astype(_U))
 
 
+CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U)
 _BLOCK = 1 << 18
 _table: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 

@@ -5,8 +5,9 @@ A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct
 library's BPE model; all others through its whole chain. Texts that hold an added token's content go through the whole chain uncut, as
 it splits there first. Files with another chain than the two known here are encoded text by text.
 
-Where pieces are all that stands between white space, words are known by their 64-bit hashes and a text's ids are
-gathered from a pool of ids, a slice of texts at once; texts with white space beyond ASCII take the other way.
+Where white space gives no ids, texts of Latin script take a shorter way, a slice of them at once: they are cut into words
+(runs of letters, single digits, runs of others, contractions) by the classes of their bytes, words are known by their
+64-bit hashes, and the ids are gathered from a pool.
 """
 
 from __future__ import annotations
@@ -18,19 +19,24 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-from ._common import CACHE_ENTRIES, SPACED, no_threads
+from ._common import CACHE_ENTRIES, CODES, no_threads, run_hashes
 
 #: Words a worker keeps in the pool, some 120 bytes each.
-POOL_ENTRIES = 1_000_000
+POOL_ENTRIES = 800_000
 #: White space of Unicode: Python's, but for the four separators that only Python counts.
 _WS, _NS = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: Printable ASCII and Latin letters of one case mapping each, the same in every version of Unicode.
 _LATIN = re.compile(r" ?[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+\Z")
 _L, _N = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]", r"[0-9]"
 _OTHER = r"[^\sA-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff0-9]"
-#: White space beyond the six ASCII characters.
-_ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: What a text of Latin script doesn't hold.
+_NOT_LATIN = re.compile(r"[^\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _SHORT = r"'s|'t|'re|'ve|'m|'ll|'d"
+_SHORT_BYTES = re.compile(_SHORT.encode())
+#: Classes of bytes: 0 white space, 1 letters (bytes beyond ASCII are parts of letters here), 2 digits, 3 others.
+_CLASS = np.array([0 if b in b" \t\n\v\f\r" else 1 if chr(b).isalpha() or b > 127 else 2 if chr(b).isdigit() else 3 for b in range(256)], np.int8)
+_SMALL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_STEP = 1 << 18
 
 
 def _byte_letters() -> dict[int, str]:
@@ -113,11 +119,11 @@ class Encoder:
             return [self._one(t) if t else b"" for t in texts]
         uncut = {k for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
         out = [self._one(t) if k in uncut else b"" for k, t in enumerate(texts)]
-        own, spaced = [], []
+        own, latin = [], []
         for k, t in enumerate(texts):
             if t and k not in uncut:
-                (spaced if self.plain and (t.isascii() or not _ODD_SPACE.search(t)) else own).append(k)
-        for k, ids in zip(spaced, self._spaced([texts[k] for k in spaced]) if spaced else [], strict=True):
+                (latin if self.plain and not _NOT_LATIN.search(t) else own).append(k)
+        for k, ids in zip(latin, self._latin([texts[k] for k in latin]) if latin else [], strict=True):
             out[k] = ids
         if own:
             cut = [self._pieces(texts[k]) for k in own]
@@ -129,19 +135,64 @@ class Encoder:
                 out[k] = b"".join(map(self.memory.__getitem__, c))
         return out
 
-    def _spaced(self, texts: list[str]) -> list[bytes]:
-        h, first, start, stop, raw = SPACED.spans(texts)
-        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    def _latin(self, texts: list[str]) -> list[bytes]:
+        raws = [t.encode() for t in texts]
+        raw, first = _small(np.frombuffer(b" ".join([*raws, b""]), np.uint8)), np.cumsum([0, *(len(r) + 1 for r in raws)])
+        start, end = _words(raw)
+        hashes, at, k = [np.empty(0, np.uint64)], 0, 0
+        while k < len(start):  # some bytes at a time, so that powers stay few
+            to = max(k + 1, int(np.searchsorted(start, start[k] + _STEP)))
+            at = int(start[k])
+            hashes.append(run_hashes(CODES[raw[at : int(end[to - 1])]], start[k:to] - at, end[k:to] - at))
+            k = to
+        keys, one, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         if len(self.pool.slot) >= POOL_ENTRIES:
             self.pool = _Pool()
         slots = self.pool.find(keys)
         if len(new := np.flatnonzero(slots < 0)):
-            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[at[new]].tolist(), stop[at[new]].tolist(), strict=True)]
-            got = self._ids(words)
-            slots[new] = self.pool.add(keys[new], [got[w] for w in words])
+            flat = raw.tobytes()
+            words = [flat[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
+            slots[new] = self.pool.add(keys[new], *self._encoded(words))
         ids, ends = self.pool.gather(slots[inverse])
-        raw, cuts = ids.tobytes(), (4 * np.concatenate([[0], ends])[first]).tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        cuts = (4 * np.concatenate([[0], ends])[np.searchsorted(start, first)]).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in small letters, one after the other, and how many each has."""
+        lines = b"\n".join(words).decode("latin-1").translate(self.letters)
+        ids = np.array(self.bare.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(w) for w in words])) + 1
+        return ids, np.diff(ends, prepend=0)
+
+
+def _small(raw: np.ndarray) -> np.ndarray:
+    """Bytes of a Latin text with its letters made small: A to Z, and those whose second byte in UTF-8 is 0x80 to 0x9E."""
+    out = _SMALL[raw]
+    second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    out[second] += np.where((raw[second] <= 0x9E), np.uint8(0x20), np.uint8(0))
+    return out
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a Latin text in small letters begin and end."""
+    kind = _CLASS[raw]
+    before = np.concatenate([[0], kind[:-1]])
+    begins = (kind != 0) & ((kind != before) | (kind == 2))
+    # A contraction is a word if a word can begin there; letters after it are the next one.
+    spans = [m.span() for m in _SHORT_BYTES.finditer(raw.tobytes())]
+    if spans:
+        a, b = np.array(spans).T
+        own = before[a] != 3
+        a, b = a[own], b[own]
+        begins[a + 1] = False
+        inner = b < len(raw)
+        begins[b[inner]] |= kind[b[inner]] != 0
+    start = np.flatnonzero(begins)
+    # A word ends where the next begins or white space does.
+    edge = np.flatnonzero(begins | (kind == 0))
+    end = np.append(edge, len(raw))[np.searchsorted(edge, start) + 1]
+    return start, end
 
 
 class _Pool:
@@ -155,8 +206,8 @@ class _Pool:
         """Each key's slot; -1 where there is none."""
         return np.fromiter(map(self.slot.get, keys.tolist(), itertools.repeat(-1)), np.int64, len(keys))
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> np.ndarray:
-        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids])
+    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New keys with their ids; gives their slots."""
         slots, n = np.arange(len(self.slot), len(self.slot) + len(keys)), len(self.slot) + len(keys)
         while n > len(self.begin):
             self.begin, self.size = np.pad(self.begin, (0, len(self.begin))), np.pad(self.size, (0, len(self.size)))
