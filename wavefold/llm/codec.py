@@ -107,7 +107,7 @@ def read(files: DataFrame, ids: bool = False) -> DataFrame:
             for k in range(b.num_rows):
                 names, lengths, tokens = unpack_file(b.column("content")[k].as_py())
                 ends = np.cumsum(lengths.astype(np.int64))
-                raw = tokens.tobytes()
+                raw = memoryview(tokens).cast("B")
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 cols = [pa.array([b.column("part")[k].as_py()] * len(names), pa.int32()), pa.array([b.column("file_no")[k].as_py()] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())]
                 head = [x.split()[0] for x in DOCS.split(", ")]

@@ -159,7 +159,7 @@ def encode(ids: np.ndarray) -> tuple[Table, list[tuple[int, int, bytes]]]:
     for k in np.flatnonzero(up >> _32).tolist():
         _carry(words, k, at[k])
     words[np.arange(lanes), at] = up.astype(_W)
-    raw = ids.tobytes()
+    raw = memoryview(ids).cast("B")
     begins = np.concatenate([[0], np.cumsum(lengths)]).tolist()
     return table, [(n, zlib.crc32(raw[4 * b : 4 * (b + n)]), words[k, :end].tobytes()) for k, (n, b, end) in enumerate(zip(lengths, begins, (at + 1).tolist(), strict=False))]
 
@@ -200,8 +200,9 @@ def decode(table: Table, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
         models.learn(x, c1 == x, c2 == x, made)
         columns[t, :n] = x
     flat = np.ascontiguousarray(columns.T)
-    out = table.symbols.take(np.concatenate([flat[k, :n] for k, n in enumerate(lengths)])).astype("<u4")
-    raw, at_ = out.tobytes(), 0
+    del columns
+    out = table.symbols.astype("<u4").take(np.concatenate([flat[k, :n] for k, n in enumerate(lengths)]))
+    raw, at_ = memoryview(out).cast("B"), 0
     for n, crc, _ in blocks:
         if zlib.crc32(raw[4 * at_ : 4 * (at_ + n)]) != crc:
             raise ValueError("a block's checksum doesn't hold")
