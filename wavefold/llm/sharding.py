@@ -43,9 +43,9 @@ def shard(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 64, samples
     drawn = rows.where(F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < chance).select("_key")
     sample = np.sort(np.array([r[0] for r in drawn.collect()], np.int64))
     edges = np.unique(sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]]) if len(sample) else sample
-    # A range ends between groups of equal texts, but for a group that would end several.
+    # A range ends between groups of equal texts, but for groups that hold so many ends that they are too large to stay whole.
     groups, many = edges >> LOW_BITS, np.unique(edges >> LOW_BITS, return_counts=True)
-    edges = np.unique(np.where(np.isin(groups, many[0][many[1] > 1]), edges, groups << LOW_BITS))
+    edges = np.unique(np.where(np.isin(groups, many[0][many[1] > max(1.0, whole_group * ranges / shards)]), edges, groups << LOW_BITS))
 
     @F.pandas_udf("int")
     def range_of(key: pd.Series) -> pd.Series:
