@@ -36,9 +36,17 @@ def test_words_of_latin_texts_are_the_library_s(text, more):
         assert encoder(path).encode(both) == [library(path, t) if t else b"" for t in both]
 
 
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="aBé 's1$\n\t", max_size=14), st.text(alphabet=" \n\r\t", max_size=6), st.sampled_from(["'ll", " 'll x", "\n've ", "0'd1", "'' s"])), max_size=5))
+def test_white_space_of_latin_texts_is_the_library_s(texts):
+    for path in PATHS:
+        assert encoder(path).encode([*texts, "".join(texts)]) == [library(path, t) for t in [*texts, "".join(texts)]]
+
+
 def test_long_words_and_texts_are_the_library_s():
     texts = ["ab" * 400_000 + " don't", "x " * 300_000 + "É" * 1000, "end"]
-    assert encoder(PATHS[1]).encode(texts) == [library(PATHS[1], t) for t in texts]
+    for path in PATHS:
+        assert encoder(path).encode(texts) == [library(path, t) for t in texts]
 
 
 def test_added_ids_are_given():

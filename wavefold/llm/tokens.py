@@ -5,9 +5,9 @@ A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct
 library's BPE model; all others through its whole chain. Texts that hold an added token's content go through the whole chain uncut, as
 it splits there first. Files with another chain than the two known here are encoded text by text.
 
-Where white space gives no ids, texts of Latin script take a shorter way, a slice of them at once: they are cut into words
-(runs of letters, single digits, runs of others, contractions) by the classes of their bytes, words are known by their
-64-bit hashes, and the ids are gathered from a pool.
+Texts of Latin script take a shorter way, a slice of them at once: they are cut into words (runs of letters, digits or
+others, contractions, and white space where it gives ids) by the classes of their bytes, words are known by their 64-bit
+hashes, and the ids are gathered from a pool.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ _OTHER = r"[^\sA-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff0-9]"
 _NOT_LATIN = re.compile(r"[^\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _SHORT = r"'s|'t|'re|'ve|'m|'ll|'d"
 _SHORT_BYTES = re.compile(_SHORT.encode())
-#: Classes of bytes: 0 white space, 1 letters (bytes beyond ASCII are parts of letters here), 2 digits, 3 others.
-_CLASS = np.array([0 if b in b" \t\n\v\f\r" else 1 if chr(b).isalpha() or b > 127 else 2 if chr(b).isdigit() else 3 for b in range(256)], np.int8)
+#: Classes of bytes: 0 white space and the zero byte, 1 letters (bytes beyond ASCII are parts of letters here), 2 digits, 3 others.
+_CLASS = np.array([0 if b in b"\0 \t\n\v\f\r" else 1 if chr(b).isalpha() or b > 127 else 2 if chr(b).isdigit() else 3 for b in range(256)], np.int8)
 _SMALL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _STEP = 1 << 18
 
@@ -122,7 +122,7 @@ class Encoder:
         own, latin = [], []
         for k, t in enumerate(texts):
             if t and k not in uncut:
-                (latin if self.plain and not _NOT_LATIN.search(t) else own).append(k)
+                (own if _NOT_LATIN.search(t) else latin).append(k)
         for k, ids in zip(latin, self._latin([texts[k] for k in latin]) if latin else [], strict=True):
             out[k] = ids
         if own:
@@ -137,8 +137,10 @@ class Encoder:
 
     def _latin(self, texts: list[str]) -> list[bytes]:
         raws = [t.encode() for t in texts]
-        raw, first = _small(np.frombuffer(b" ".join([*raws, b""]), np.uint8)), np.cumsum([0, *(len(r) + 1 for r in raws)])
-        start, end = _words(raw)
+        raw, first = np.frombuffer(b"\0".join([*raws, b""]), np.uint8), np.cumsum([0, *(len(r) + 1 for r in raws)])
+        if self.plain:
+            raw = _small(raw)
+        start, end = (_words if self.plain else _words_and_spaces)(raw)
         hashes, at, k = [np.empty(0, np.uint64)], 0, 0
         while k < len(start):  # some bytes at a time, so that powers stay few
             to = max(k + 1, int(np.searchsorted(start, start[k] + _STEP)))
@@ -159,11 +161,19 @@ class Encoder:
         return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words in small letters, one after the other, and how many each has."""
-        lines = b"\n".join(words).decode("latin-1").translate(self.letters)
-        ids = np.array(self.bare.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(w) for w in words])) + 1
-        return ids, np.diff(ends, prepend=0)
+        """The ids of words, one after the other, and how many each has. White space goes through the library's whole chain."""
+        blank = [k for k, w in enumerate(words) if w.isspace()]
+        own = {k: self._one(words[k].decode()) for k in blank}
+        text = [w for k, w in enumerate(words) if k not in own] if blank else words
+        lines = b"\n".join(text).decode("latin-1").translate(self.letters)
+        ids = np.array(self.bare.encode_batch_fast([lines], add_special_tokens=False)[0].ids if text else [], "<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(w) for w in text])) + 1 if text else np.empty(0, np.int64)
+        if not blank:
+            return ids, np.diff(ends, prepend=0)
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        rest = iter([raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
+        each = [own[k] if k in own else next(rest) for k in range(len(words))]
+        return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each])
 
 
 def _small(raw: np.ndarray) -> np.ndarray:
@@ -174,25 +184,53 @@ def _small(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a Latin text in small letters begin and end."""
+def _begins(raw: np.ndarray, single_digits: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words of a Latin text begin, white space before them aside; the bytes' classes and those of the bytes before."""
     kind = _CLASS[raw]
     before = np.concatenate([[0], kind[:-1]])
-    begins = (kind != 0) & ((kind != before) | (kind == 2))
+    begins = (kind != 0) & ((kind != before) | (kind == 2) & single_digits)
     # A contraction is a word if a word can begin there; letters after it are the next one.
-    spans = [m.span() for m in _SHORT_BYTES.finditer(raw.tobytes())]
-    if spans:
+    if spans := [m.span() for m in _SHORT_BYTES.finditer(raw.tobytes())]:
         a, b = np.array(spans).T
         own = before[a] != 3
+        if not single_digits:  # a space belongs to what follows it
+            own &= (a == 0) | (raw[a - 1] != 32)
         a, b = a[own], b[own]
         begins[a + 1] = False
         inner = b < len(raw)
         begins[b[inner]] |= kind[b[inner]] != 0
+    return begins, kind, before
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of Latin texts in small letters, each with a zero byte after it, begin and end; digits stand alone."""
+    begins, kind, _ = _begins(raw, True)
     start = np.flatnonzero(begins)
     # A word ends where the next begins or white space does.
     edge = np.flatnonzero(begins | (kind == 0))
-    end = np.append(edge, len(raw))[np.searchsorted(edge, start) + 1]
-    return start, end
+    return start, np.append(edge, len(raw))[np.searchsorted(edge, start) + 1]
+
+
+def _words_and_spaces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same where white space counts: a word takes the space before it; of other white space, all before a word but the
+    last character is one word, and so is the last, if the word doesn't take it; before a text's end all of it is one."""
+    begins, kind, before = _begins(raw, False)
+    word = np.flatnonzero(begins)
+    blank = (kind == 0) & (raw != 0)
+    took = (word > 0) & (raw[word - 1] == 32)
+    start = word - took
+    edge = np.flatnonzero(begins | (kind == 0))
+    end = np.append(edge, len(raw))[np.searchsorted(edge, word) + 1]
+    # Runs of white space: from p, to q.
+    sides = np.diff(np.concatenate([[0], blank.view(np.int8), [0]]))
+    p, q = np.flatnonzero(sides == 1), np.flatnonzero(sides == -1)
+    last = np.append(raw, 0)[q] == 0  # nothing but the text's end follows
+    long = ~last & (q - p > 1)
+    alone = ~last & (raw[q - 1] != 32)
+    starts = np.concatenate([start, p[last], p[long], q[alone] - 1])
+    ends = np.concatenate([end, q[last], q[long] - 1, q[alone]])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order]
 
 
 class _Pool:
