@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import shared
@@ -147,13 +148,12 @@ class Words:
 
     def __init__(self, inside: np.ndarray, fold: np.ndarray):
         self.inside = inside
-        self.code = CODES[fold]
+        self.fold = fold.astype(np.uint8)
 
-    def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every word of all texts, and where each text's words begin (one more than texts)."""
-        raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        ends = np.cumsum([len(r) + 1 for r in raws])
-        raw = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+    def hashes(self, texts: list[str | None], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word of all texts, and where each text's words begin (one more than texts). Hashes of another seed
+        are independent of the first ones."""
+        raw, ends = _joined(texts)
         out, places, at = [np.empty(0, _U)], [np.empty(0, np.int64)], 0
         while at < len(raw):
             end = min(at + _BLOCK, len(raw))
@@ -162,34 +162,53 @@ class Words:
                 end = end + int(gaps[0]) if len(gaps) else min(end + _BLOCK, len(raw))
             own = raw[at:end]
             edge = np.flatnonzero(np.diff(np.concatenate([[False], self.inside[own], [False]]).view(np.int8)))
-            out.append(run_hashes(self.code[own], edge[::2], edge[1::2]))
+            out.append(run_hashes(self.fold[own], edge[::2], edge[1::2], seed))
             places.append(edge[::2] + at)
             at = end
         return np.concatenate(out), np.concatenate([[0], np.searchsorted(np.concatenate(places), ends)])
 
+    def normal(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's words with one space after each."""
+        raw, ends = _joined(texts)
+        inside = self.inside[raw]
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]
+        flat = np.where(inside, self.fold[raw], np.uint8(32))[keep].tobytes()
+        sizes = np.add.reduceat(keep, np.concatenate([[0], ends[:-1]]), dtype=np.int64) if len(ends) else []
+        cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, a space after each, and where each ends with that."""
+    raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    return np.frombuffer(b" ".join([*raws, b""]), np.uint8), np.cumsum([len(r) + 1 for r in raws])
+
+
+#: Bytes of a run that are hashed eight at a time beside those of all other runs; longer ones go one by one.
+_LONG = 48
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of runs of bytes: eight bytes at a time are mixed into the state, which isn't linear in any of them."""
+    size = end - start
+    words = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix((words[start] & _MASKS[np.minimum(size, 8)]) ^ mix(size.astype(_U) * _M + _U(seed)))
+    more = np.flatnonzero((size > 8) & (size <= _LONG))
+    for k in range(8, _LONG, 8):
+        if not len(more):
+            break
+        block = words[start[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]
+        out[more] = mix(out[more] * _M + block)
+        more = more[size[more] > k + 8]
+    if len(more := np.flatnonzero(size > _LONG)):
+        flat = raw.tobytes()
+        out[more] = [xxhash.xxh3_64_intdigest(flat[a:b], seed) for a, b in zip(start[more].tolist(), end[more].tolist(), strict=True)]
+    return out
 
-def run_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of runs of bytes, given by the bytes' codes: the sum of the codes times powers of an odd number, from
-    differences of one running sum."""
-    power, inverse = _powers(len(code))
-    run = np.concatenate([np.zeros(1, _U), np.cumsum(code * power, dtype=_U)])
-    return mix((run[end] - run[start]) * inverse[start] + (end - start).astype(_U))
 
-
-CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U)
 _BLOCK = 1 << 18
-_table: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_table[0]) < n:
-        for k, base in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
-            x = np.full(max(n, _BLOCK), base, _U)
-            x[0] = 1
-            _table[k] = np.multiply.accumulate(x)
-    return _table[0][:n], _table[1][:n]
-
-
 _ALL = np.arange(256)
 #: Runs of anything but space and the five controls from tab on, unchanged.
 SPACED = Words(~np.isin(_ALL, [32, 9, 10, 11, 12, 13]), _ALL)

@@ -4,7 +4,8 @@ Both sides are cut into words and hashed k-grams; of every w consecutive k-grams
 kept (k + w - 1 = the window of 10 words), so each shared run of a window's length keeps one fingerprint on both sides.
 Items shorter than a window are one window of their own length, whose hash is their fingerprint. The benchmark's
 fingerprints go to every worker as a Bloom filter of bounded size; each match is extended to the whole windows around it,
-and only these windows' hashes are joined with the benchmark's. No text moves, and one plan serves every size.
+and only these windows are joined with the benchmark's, by two independent hashes of 64 bits. No text moves, and one plan
+serves every size.
 """
 
 from __future__ import annotations
@@ -18,23 +19,24 @@ from ._common import LETTERS, Filter, Stored, ngram_hashes, ship, signed, slices
 WINDOW, K = 10, 5
 
 
-def each(texts: list[str | None]) -> list[np.ndarray]:
+def each(texts: list[str | None], seed: int = 0) -> list[np.ndarray]:
     """Word hashes of every text."""
-    h, first = LETTERS.hashes(texts)
+    h, first = LETTERS.hashes(texts, seed)
     return [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def benchmark_windows(bench: DataFrame) -> DataFrame:
-    """len, hash, item_id (as text) of every window, without repeats; items without words have none."""
+    """len, hash, other (a second hash), item_id (as text) of every window, without repeats; items without words have none."""
 
     def run(batches):
         for b in slices(batches):
-            for item, h in zip(b.column("item_id").to_pylist(), each(b.column("text").to_pylist()), strict=True):
+            texts = b.column("text").to_pylist()
+            for item, h, g in zip(b.column("item_id").to_pylist(), each(texts), each(texts, 1), strict=True):
                 n = min(len(h), WINDOW)
-                w = np.unique(ngram_hashes(h, n))
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(w), pa.int32()), pa.array(signed(w)), pa.array([item] * len(w), pa.string())], ["len", "hash", "item_id"])
+                w = ngram_hashes(h, n)
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(w), pa.int32()), pa.array(signed(w)), pa.array(signed(ngram_hashes(g, n))), pa.array([item] * len(w), pa.string())], ["len", "hash", "other", "item_id"])
 
-    return bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").mapInArrow(run, "len int, hash long, item_id string").distinct()
+    return bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").mapInArrow(run, "len int, hash long, other long, item_id string").distinct()
 
 
 def benchmark_fingerprints(bench: DataFrame) -> DataFrame:
@@ -74,6 +76,17 @@ def _maybe(h: np.ndarray, first: np.ndarray, fps: Filter, lengths: list[int]) ->
     return at[order], n[order], own[order]
 
 
+def _others(texts: list[str | None], first: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The second hash of the windows of n words that begin at words `at`; only their texts are looked at."""
+    doc = np.searchsorted(first, at, side="right") - 1
+    some, place = np.unique(doc, return_inverse=True)
+    h, begin = LETTERS.hashes([texts[k] for k in some.tolist()], 1)
+    own, out = at - first[doc] + begin[place], np.zeros(len(at), np.uint64)
+    for k in np.unique(n).tolist():
+        out[n == k] = ngram_hashes(h, k)[own[n == k]]
+    return out
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and text_hash (xxhash64 of the text) for every row of docs.
 
@@ -91,16 +104,17 @@ def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            h, first = LETTERS.hashes(b.column("text").to_pylist())
+            texts = b.column("text").to_pylist()
+            h, first = LETTERS.hashes(texts)
             at, n, own = _maybe(h, first, shared.value, lengths)
             ends = np.searchsorted(at, first).astype(np.int32)
             doc = np.searchsorted(first, at, side="right") - 1
-            pieces = pa.StructArray.from_arrays([pa.array((at - first[doc]).astype(np.int32)), pa.array(n), pa.array(signed(own))], ["pos", "len", "hash"])
+            pieces = pa.StructArray.from_arrays([pa.array((at - first[doc]).astype(np.int32)), pa.array(n), pa.array(signed(own)), pa.array(signed(_others(texts, first, at, n)))], ["pos", "len", "hash", "other"])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(ends), pieces)], ["doc_id", "text_hash", "n_words", "maybe"])
 
-    read = table(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_words long, maybe array<struct<pos:int,len:int,hash:long>>")
+    read = table(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_words long, maybe array<struct<pos:int,len:int,hash:long,other:long>>")
     rows = Stored(read.withColumn("row", F.monotonically_increasing_id()), "read").df
-    met = rows.where(F.size("maybe") > 0).select("row", F.inline("maybe")).join(windows, ["len", "hash"])
+    met = rows.where(F.size("maybe") > 0).select("row", F.inline("maybe")).join(windows, ["len", "hash", "other"])
     hits = met.groupBy("row").agg(F.collect_set(F.struct("pos", "len")).alias("spans"), F.collect_set("item_id").alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.pos, s.pos + s.len - 1)))))
     found = hits.select("row", covered.cast("long").alias("hit"), F.size("items").cast("long").alias("n"), F.array_join(F.array_sort("items"), ",").alias("ids"))

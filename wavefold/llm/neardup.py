@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import Filter, Stored, mix, ngram_hashes, ship, signed, slices, table
+from ._common import LETTERS, Filter, Stored, mix, ngram_hashes, ship, signed, slices, table
 from .components import components
 from .decontaminate import each
 
@@ -82,8 +82,8 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             content, bags = [], []
             texts = b.column("text").to_pylist()
-            for text, h in zip(texts, each(texts), strict=True):
-                content.append(_content(text, h))
+            for text, words, h in zip(texts, LETTERS.normal(texts), each(texts), strict=True):
+                content.append(_content(text, words))
                 bags.append(bag(h))
             keys = _bands(signatures(bags))
             col = pa.array([signed(k) if len(x[0]) else None for k, x in zip(keys, bags, strict=True)], pa.list_(pa.int64()))
@@ -103,18 +103,17 @@ def _bags(docs: DataFrame, wanted: DataFrame, first_ids: Filter) -> DataFrame:
             some = b.filter(pa.array(shared.value.may_hold(np.asarray(pc.fill_null(ids, 0))) | (np.asarray(ids.is_null()))))
             for s in slices(iter([some])):
                 texts = s.column("text").to_pylist()
-                hashes = each(texts)
-                content = [_content(t, h) for t, h in zip(texts, hashes, strict=True)]
-                rows = [signed(np.repeat(*bag(h))) for h in hashes]
+                content = [_content(t, w) for t, w in zip(texts, LETTERS.normal(texts), strict=True)]
+                rows = [signed(np.repeat(*bag(h))) for h in each(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["content", "shingles"])
 
     got = docs.mapInArrow(run, "content binary, shingles array<long>")
     return got.groupBy("content").agg(F.first("shingles").alias("shingles")).join(wanted, "content").select("node", "shingles")
 
 
-def _content(text: str | None, h: np.ndarray) -> bytes:
+def _content(text: str | None, words: bytes) -> bytes:
     """Digest of a text's words, or of the text where it has none."""
-    return xxhash.xxh3_128_digest(h.tobytes() if len(h) else b"\0" + (text or "").encode("utf-8", "surrogatepass"), seed=int(len(h) > 0))
+    return xxhash.xxh3_128_digest(words or (text or "").encode("utf-8", "surrogatepass"), seed=int(len(words) > 0))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

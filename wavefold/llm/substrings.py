@@ -4,7 +4,7 @@ Windows of a quarter's length that occur only once can't lie in a longer window
 at one length is extended to twice that length: 5, 10, 20 words, or until no candidate survives. The two lower levels
 are thinned by winnowing, at no loss: each whole window is counted by the smallest hash of a shorter window in it, a
 choice that depends on its words alone, so two equal whole windows are counted by equal ones at the same place. Windows
-are carried as 64-bit hashes, at the last level with 32 bits more.
+are carried as 64-bit hashes, at the last level with 32 bits of a second, independent hash of the words.
 
 Hot windows (a passage in a third of all rows) stay harmless: counts and first places are partial aggregates, and the
 joins back are plain equi-joins that adaptive execution splits.
@@ -61,7 +61,8 @@ def _emit(keys: list[str], length: int, below: int | None, window: int):
             cols = [*(b.column(k).take(doc) for k in keys), pa.array((at - first[np.asarray(doc)]).astype(np.int32)), pa.array(signed(g[at]))]
             names = [*keys, "pos", "h"]
             if length == window:
-                cols.append(pa.array((_doubled(mix(h + _U(1)), length, window // 4)[at] >> _U(32)).astype(np.uint32).view(np.int32)))
+                other = SPACED.hashes(b.column("text").to_pylist(), 1)[0]
+                cols.append(pa.array((_doubled(other, length, window // 4)[at] >> _U(32)).astype(np.uint32).view(np.int32)))
                 names.append("g")
             yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -6,8 +6,8 @@ library's BPE model; all others through its whole chain. Texts that hold an adde
 it splits there first. Files with another chain than the two known here are encoded text by text.
 
 Texts of Latin script take a shorter way, a slice of them at once: they are cut into words (runs of letters, digits or
-others, contractions, and white space where it gives ids) by the classes of their bytes, words are known by their 64-bit
-hashes, and the ids are gathered from a pool.
+others, contractions, and white space where it gives ids) by the classes of their bytes, equal words are found by
+their hashes and told apart by their bytes, and the ids are gathered from a pool.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-from ._common import CACHE_ENTRIES, CODES, no_threads, run_hashes
+from ._common import CACHE_ENTRIES, no_threads, run_hashes
 
-#: Words a worker keeps in the pool, some 120 bytes each.
+#: Words a worker keeps in the pool, some 160 bytes each.
 POOL_ENTRIES = 800_000
 #: White space of Unicode: Python's, but for the four separators that only Python counts.
 _WS, _NS = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -142,19 +142,24 @@ class Encoder:
             raw = _small(raw)
         start, end = (_words if self.plain else _words_and_spaces)(raw)
         hashes, at, k = [np.empty(0, np.uint64)], 0, 0
-        while k < len(start):  # some bytes at a time, so that powers stay few
+        while k < len(start):  # some bytes at a time
             to = max(k + 1, int(np.searchsorted(start, start[k] + _STEP)))
             at = int(start[k])
-            hashes.append(run_hashes(CODES[raw[at : int(end[to - 1])]], start[k:to] - at, end[k:to] - at))
+            hashes.append(run_hashes(raw[at : int(end[to - 1])], start[k:to] - at, end[k:to] - at))
             k = to
-        keys, one, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        one, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)[1:]
+        flat = raw.tobytes()
+        if not _equal(raw, start, end, one, inverse):  # two words of one hash
+            known: dict[bytes, int] = {}
+            inverse = np.array([known.setdefault(flat[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+            one = np.unique(inverse, return_index=True)[1]
         if len(self.pool.slot) >= POOL_ENTRIES:
             self.pool = _Pool()
-        slots = self.pool.find(keys)
+        words = [flat[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        slots = self.pool.find(words)
         if len(new := np.flatnonzero(slots < 0)):
-            flat = raw.tobytes()
-            words = [flat[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
-            slots[new] = self.pool.add(keys[new], *self._encoded(words))
+            fresh = [words[k] for k in new.tolist()]
+            slots[new] = self.pool.add(fresh, *self._encoded(fresh))
         ids, ends = self.pool.gather(slots[inverse])
         cuts = (4 * np.concatenate([[0], ends])[np.searchsorted(start, first)]).tolist()
         flat = ids.tobytes()
@@ -176,6 +181,25 @@ class Encoder:
         return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each])
 
 
+def _equal(raw: np.ndarray, start: np.ndarray, end: np.ndarray, one: np.ndarray, inverse: np.ndarray) -> bool:
+    """Whether words of one hash (`inverse` numbers it, `one` names its first word) are the same. Up to eight bytes a hash
+    has one word of each size; of longer words all bytes are compared."""
+    size = end - start
+    if not np.array_equal(size, size[one][inverse]):
+        return False
+    words = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    more = np.flatnonzero(size > 8)
+    at, to, left = start[more], start[one[inverse[more]]], size[more]
+    at, to, left = at[at != to], to[at != to], left[at != to]
+    while len(at):
+        apart = words[at] ^ words[to]
+        if (np.where(left < 8, apart << (64 - 8 * np.minimum(left, 7)).astype(np.uint64), apart) != 0).any():
+            return False
+        on = left > 8
+        at, to, left = at[on] + 8, to[on] + 8, left[on] - 8
+    return True
+
+
 def _small(raw: np.ndarray) -> np.ndarray:
     """Bytes of a Latin text with its letters made small: A to Z, and those whose second byte in UTF-8 is 0x80 to 0x9E."""
     out = _SMALL[raw]
@@ -234,19 +258,19 @@ def _words_and_spaces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Pool:
-    """Ids of words by the words' hashes, one after the other in one array."""
+    """Ids of words, one after the other in one array."""
 
     def __init__(self):
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.ids, self.begin, self.size, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's slot; -1 where there is none."""
-        return np.fromiter(map(self.slot.get, keys.tolist(), itertools.repeat(-1)), np.int64, len(keys))
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Each word's slot; -1 where there is none."""
+        return np.fromiter(map(self.slot.get, words, itertools.repeat(-1)), np.int64, len(words))
 
-    def add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """New keys with their ids; gives their slots."""
-        slots, n = np.arange(len(self.slot), len(self.slot) + len(keys)), len(self.slot) + len(keys)
+    def add(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New words with their ids; gives their slots."""
+        slots, n = np.arange(len(self.slot), len(self.slot) + len(words)), len(self.slot) + len(words)
         while n > len(self.begin):
             self.begin, self.size = np.pad(self.begin, (0, len(self.begin))), np.pad(self.size, (0, len(self.size)))
         while self.used + len(flat) > len(self.ids):
@@ -254,7 +278,7 @@ class _Pool:
         self.ids[self.used : self.used + len(flat)] = flat
         self.begin[slots], self.size[slots] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(flat)
-        self.slot.update(zip(keys.tolist(), slots.tolist(), strict=True))
+        self.slot.update(zip(words, slots.tolist(), strict=True))
         return slots
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
