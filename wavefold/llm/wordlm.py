@@ -24,13 +24,15 @@ BLOCK_BYTES = 4_000_000
 #: A range of keys holds about those of so many blocks.
 RANGE_BLOCKS = 4
 PRIOR = 20.0
+#: Of the words' hashes, which decide the binomial draws too.
+SEED = 1
 _U = np.uint64
 _M, _END, _TOTAL = _U(0x9E3779B97F4A7C15), _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes, each text's followed by the end's, and where texts begin."""
-    h, first = SPACED.hashes(texts)
+    h, first = SPACED.hashes(texts, SEED)
     return np.insert(h, first[1:], _END), first[:-1] + np.arange(len(texts))
 
 
@@ -39,7 +41,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(SPACED.hashes(b.column("text").to_pylist())[0])))], ["word"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(SPACED.hashes(b.column("text").to_pylist(), SEED)[0])))], ["word"])
 
     return docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "word long").distinct()
 
