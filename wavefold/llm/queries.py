@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, codec, decontaminate, langid, neardup, packing, quality, sharding, substrings, wordlm
+from . import ann, codec, decontaminate, jaccard, langid, neardup, packing, quality, ranked, sharding, substrings, trie, wordlm
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,13 +71,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_sets(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.ordered(read(spark, sf_dir, "conversations")), every=5, most=8))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_decontamination, op4_sharding, op5_token_files, op6_nearest, op7_quality, op8_substring_dedup, op9_language_id, op10_near_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_decontamination, op4_sharding, op5_token_files, op6_nearest, op7_quality, op8_substring_dedup, op9_language_id, op10_near_dedup, op11_ranked_search, op12_jaccard_join, op13_prefix_trie, pipeline)}
 
 _OP3 = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -120,4 +132,51 @@ class as (select s as node, min(t) as class_id from reach group by s)
 select doc_id, class_id, n_copies from keyed join node using (c) join class using (node)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op8_substring_dedup": _OP8, "op10_near_dedup": _OP10}
+_OP11 = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+total as (select count(*) filter (where len(w) > 0) as n_docs, sum(len(w))::bigint as n_words from d),
+item as (select item_id, term, count(*) as q from (select item_id, unnest(w) as term from b) group by all),
+tf as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) semi join item using (term) group by all),
+weight as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w from (select term, count(*) as df from tf group by term), total),
+size as (select r, doc_id, 100 - 75 + ((75 * len(w)::bigint * n_docs) // n_words) as m from d, total),
+impact as (select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) as impact from tf join weight using (term) join size using (r)),
+score as (select item_id, r, doc_id, sum(q * impact)::bigint as score from item join impact using (term) group by all having sum(q * impact) > 0),
+best as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score)
+select item_id, rank::int as rank, doc_id, score from best where rank <= 10
+"""
+
+_OP12 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') as g from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as t(i) where len(w) > 0),
+size as (select doc_id, count(*) as n from sh group by doc_id),
+pair as (select a.doc_id as u, b.doc_id as v, count(*) as shared from sh a join sh b on a.g = b.g and a.doc_id > b.doc_id group by all),
+link as (select u, v from pair join size x on x.doc_id = u join size y on y.doc_id = v where 100 * shared >= 80 * (x.n + y.n - shared)),
+edge as (select u, v from link union select v, u from link),
+reach as (select doc_id as s, doc_id as t from d union select r.s, e.v from reach r join edge e on e.u = r.t),
+whole as (select s as doc_id, min(t) as component_id from reach group by s),
+copies as (select w, count(*) as n_copies from d where len(w) > 0 group by w)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, coalesce(n_copies, 1)::bigint as n_copies
+from d join whole using (doc_id) left join size using (doc_id) left join copies on copies.w = d.w
+"""
+
+_OP13 = r"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos, md5(coalesce(role, '')) || md5(coalesce(text, '')) as turn_key, strlen(coalesce(text, '')) as bytes from conversations where conv_id is not null),
+size as (select conv_id, count(*) as n, conv_id - conv_id % 5 as base, xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint),
+         lambda c, x: list_reduce([xor(c, x)] || range(8), lambda k, i: case when k % 2 = 1 then xor(k // 2, 3988292384) else k // 2 end))) % 9 as h from t group by conv_id),
+built as (select size.conv_id, pos as depth, turn_key, bytes from size join t on t.conv_id = size.base and pos <= h
+          union all select t.conv_id, least(size.h, coalesce(b.n, 0)) + pos - size.h, turn_key, bytes from t join size using (conv_id) left join size b on b.conv_id = size.base where pos > size.h),
+p as (select conv_id, depth, md5(string_agg(turn_key, '') over (partition by conv_id order by depth)) as k, bytes from built union all select conv_id, 0, '', 0 from size),
+node as (select depth, k, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes from p group by all),
+up as (select distinct p.depth, p.k, q.k as pk from p join p q on q.conv_id = p.conv_id and q.depth = p.depth - 1),
+kids as (select depth - 1 as depth, pk as k, count(*) as n from up group by all),
+subtree as (select a.depth, a.k, sum((n.n_convs - 1) * n.bytes) as saved, count(*) filter (where kids.n is null) as leaves
+            from node n left join kids on kids.depth = n.depth and kids.k = n.k join p a on a.conv_id = n.conv_id and a.depth <= n.depth group by all),
+stop as (select conv_id, max(depth) as depth from p group by conv_id),
+ends as (select depth, k, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as sha from p join stop using (conv_id, depth) group by all)
+select n.conv_id, n.depth, parent.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n, 0) as n_children, leaves as n_leaves, saved::bigint as saved_tokens, coalesce(sha, sha256('')) as ends_sha256
+from node n join subtree s on s.depth = n.depth and s.k = n.k left join kids on kids.depth = n.depth and kids.k = n.k left join ends e on e.depth = n.depth and e.k = n.k
+left join up on up.depth = n.depth and up.k = n.k left join node parent on parent.depth = n.depth - 1 and parent.k = up.pk
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op8_substring_dedup": _OP8, "op10_near_dedup": _OP10, "op11_ranked_search": _OP11, "op12_jaccard_join": _OP12, "op13_prefix_trie": _OP13}

@@ -6,7 +6,7 @@ background is larger, each of its counts is brought down to the target's size by
 decides, so that it is as sparse as a sample of that size though every text has been counted. A text's own words are taken
 out of both models before it is scored.
 
-Rows are dealt by doc_id to blocks of about BLOCK_BYTES of text. A block adds up its own words and word pairs and deals the
+Rows are dealt by doc_id and text to blocks of about BLOCK_BYTES of text; a target's doc_id goes to the blocks that hold it. A block adds up its own words and word pairs and deals the
 sorted keys out by range, totals are made in each range over all blocks, and each block gets the totals of its keys back in
 their order. The driver gets two numbers, the words of the vocabulary and the bytes of all texts.
 """
@@ -125,17 +125,19 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     The models are those of `docs`: texts whose doc_id is in `target` count for the target, all for the background, but for
     the scored text itself (other rows with the same text count). Words are runs of anything but ASCII white space. Null isn't counted and is
-    scored as empty: one token, the end. Null and repeated doc_ids are scored row by row; rows that share one are in one
-    block. Other columns aren't looked at.
+    scored as empty: one token, the end. Null and repeated doc_ids are scored row by row; only rows that
+    agree in doc_id and text are bound to one block. Other columns aren't looked at.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = vocabulary(texts).count()
     blocks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
-    block = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks))
-    ids = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).where("doc_id is not null")
-    both = texts.withColumn("label", F.lit(False)).unionByName(ids.withColumn("label", F.lit(True)))
-    rows = both.select(block.alias("block"), "doc_id", "text", "label").repartition("block")
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    held = dealt.select("block", "doc_id").join(ids, "doc_id", "left_semi").distinct()
+    labels = held.select("doc_id", F.lit(None).cast("string").alias("text"), "block", F.lit(True).alias("label"))
+    both = dealt.withColumn("label", F.lit(False)).unionByName(labels)
+    rows = both.select("block", "doc_id", "text", "label").repartition("block")
 
     bits = int(blocks // RANGE_BLOCKS).bit_length()
 
