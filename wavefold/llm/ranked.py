@@ -202,9 +202,11 @@ def search(docs: DataFrame, bench: DataFrame, k: int = 10) -> DataFrame:
     out = None
     for k_ in range(blocks):
         part = items.df.where(own == k_)
+        held = [tuple(r) for r in part.select("item", "terms", "times").orderBy("item").collect()]
+        if not held:
+            continue
         df = {r[0]: r[1] for r in frequencies.df.join(part.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").collect()}
-        block = _Block([tuple(r) for r in part.select("item", "terms", "times").orderBy("item").collect()], df, total, words)
-        found = Stored(_search(postings.df, block, k), "ranked").df
+        found = Stored(_search(postings.df, _Block(held, df, total, words), k), "ranked").df
         out = found if out is None else out.unionByName(found)
     postings.drop()
     frequencies.drop()
