@@ -1,6 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one per language, in sorted hash arrays.
 
-Texts are lower-cased; letters (with their marks) stay, each run of other characters becomes one space. Each order has
+Texts are lower-cased; letters and combining marks stay, each run of other characters becomes one space. A text is read
+some characters at a time, so that its length doesn't matter to a worker's memory. Each order has
 one sorted array of the hashes of all n-grams seen in any language and beside it a matrix with the log-probability of
 the n-gram's last character in every language, already interpolated down to the uniform distribution. A document gets
 the language of least mean cross-entropy per character; it is accepted unless that is above a bound calibrated on
@@ -9,6 +10,9 @@ training documents that were held out of the counts (with more room for short te
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,28 +23,51 @@ ORDER = 4
 UNKNOWN = "und"
 RESULT = "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean"
 _U = np.uint64
-_known = np.zeros(0x110000, np.uint32)  # code point -> 1 + its letter, lower-cased; 0 not looked up yet, 1 not a letter
+_MARK = 1 << 30
+_known = np.zeros(0x110000, np.uint32)  # code point -> 1 + its letter, lower-cased (_MARK more for a mark); 0 not looked up yet, 1 neither
+#: Characters of a text that are looked at together.
+BLOCK = 100_000
 
 
-def symbols(text: str | None) -> np.ndarray:
-    """Lower-case letters' code points, 32 between and around; empty where no character is a letter."""
-    if not text:
-        return np.empty(0, np.uint32)
+def _letters(text: str) -> np.ndarray:
+    """Each character's letter or mark, as _known says, less 1: 0 for others."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     got = _known[raw]
     if not got.all():
         for c in np.unique(raw[got == 0]).tolist():
-            low = chr(c).lower()
-            _known[c] = 1 + (ord(low[0]) if low[0].isalpha() else 0)
+            low = chr(c).lower()[0]
+            mark = unicodedata.category(low)[0] == "M"
+            _known[c] = 1 + (ord(low) if low.isalpha() or mark else 0) + (_MARK if mark else 0)
         got = _known[raw]
-    got = got - 1
-    if not got.any():
-        return np.empty(0, np.uint32)
-    got[got == 0] = 32
-    keep = np.ones(len(got), bool)
-    keep[1:] = (got[1:] != 32) | (got[:-1] != 32)
-    got = got[keep]
-    return np.concatenate([[32], got[int(got[0] == 32) :], [] if got[-1] == 32 else [32]]).astype(np.uint32)
+    return got - np.uint32(1)
+
+
+def blocks(text: str | None) -> Iterator[np.ndarray]:
+    """A text's symbols, block by block: lower-case letters' code points, 32 between and around. There are none where no
+    character is a letter, and what comes before the first letter counts as space, marks too."""
+    last = None
+    for i in range(0, len(text or ""), BLOCK):
+        got = _letters(text[i : i + BLOCK])
+        if last is None:
+            letter = (got > 0) & (got < _MARK)
+            if not letter.any():
+                continue
+            got = np.concatenate([np.zeros(1, np.uint32), got[int(letter.argmax()) :]])
+        got = got & np.uint32(_MARK - 1)
+        got[got == 0] = 32
+        keep = np.ones(len(got), bool)
+        keep[1:] = (got[1:] != 32) | (got[:-1] != 32)
+        keep[0] = got[0] != 32 or last != 32
+        if (own := got[keep]).size:
+            last = int(own[-1])
+            yield own
+    if last is not None and last != 32:
+        yield np.array([32], np.uint32)
+
+
+def symbols(text: str | None) -> np.ndarray:
+    """All of a text's symbols."""
+    return np.concatenate([np.empty(0, np.uint32), *blocks(text)])
 
 
 def grams(s: np.ndarray, n: int) -> np.ndarray:
@@ -115,8 +142,8 @@ class Model:
         out[keys[at] != h] = self.floor
         return out
 
-    def losses(self, s: np.ndarray) -> np.ndarray:
-        """Mean negative log-probability per character in every language."""
+    def _sums(self, s: np.ndarray, skip: int) -> np.ndarray:
+        """Sum of the log-probabilities of the symbols from `skip` on, in every language."""
         size, m = len(self.langs), len(s)
         out = np.zeros((m, size), np.float32)
         open_, extra = np.arange(m), np.zeros((m, size), np.float32)
@@ -138,23 +165,35 @@ class Model:
                 extra[miss[ok]] += self.back[n - 1][at[ok]]
             open_ = np.union1d(open_[open_ < n - 1], miss)
         out[open_] = self.floor + extra[open_]
-        return -out.mean(axis=0, dtype=np.float64)
+        return out[skip:].sum(axis=0, dtype=np.float64)
+
+    def losses(self, s: np.ndarray) -> np.ndarray:
+        """Mean negative log-probability per symbol in every language."""
+        return -self._sums(s, 0) / len(s)
+
+    def measure(self, text: str | None) -> tuple[np.ndarray, int]:
+        """The losses of a text and how many symbols it has; blocks overlap by what a symbol's probability looks at."""
+        total, count, before = np.zeros(len(self.langs)), 0, np.empty(0, np.uint32)
+        for own in blocks(text):
+            total += self._sums(np.concatenate([before, own]), len(before))
+            count += len(own)
+            before = np.concatenate([before, own])[1 - self.order :] if self.order > 1 else before
+        return -total / max(count, 1), count
 
     def calibrate(self, texts: dict[str, list[str]], share: float, margin: float) -> None:
         """Bound of each language: the `share` quantile of the losses of its own held-out texts, and a margin."""
         for k, lang in enumerate(self.langs):
-            own = [self.losses(s)[k] for s in map(symbols, texts.get(lang, [])) if len(s)]
+            own = [loss[k] for loss, n in map(self.measure, texts.get(lang, [])) if n]
             if own:
                 self.bound[k] = np.quantile(own, share) + margin
 
     def judge(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        s = symbols(text)
-        if not len(s) or not self.langs:
+        loss, size = self.measure(text) if self.langs else (None, 0)
+        if not size:
             return UNKNOWN, 0.0, None, False
-        loss = self.losses(s)
         best = int(np.argmin(loss))
-        odds = np.exp(-(loss - loss[best]) * min(len(s), 50))
-        return self.langs[best], float(1 / odds.sum()), float(loss[best]), bool(loss[best] <= self.bound[best] + 3 / np.sqrt(len(s)))
+        odds = np.exp(-(loss - loss[best]) * min(size, 50))
+        return self.langs[best], float(1 / odds.sum()), float(loss[best]), bool(loss[best] <= self.bound[best] + 3 / np.sqrt(size))
 
 
 def _pick(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
