@@ -216,7 +216,7 @@ def logit(p: np.ndarray, edge: float = 0.001) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def simplex_stacker(z: np.ndarray, y: np.ndarray, alpha: float = 1.1, steps: int = 2500, tol: float = 1e-9) -> np.ndarray:
+def simplex_stacker(z: np.ndarray, y: np.ndarray, alpha: float = 1.05, steps: int = 2500, tol: float = 1e-9) -> np.ndarray:
     """Weights w >= 0 that sum to 1 and minimise the log-loss of sigmoid(z w) with a Dirichlet prior; by exponentiated
     gradient with step halving. Raises RuntimeError if it doesn't settle."""
     d = z.shape[1]

@@ -19,12 +19,13 @@ RUN = ["project_name", "mode", "run", "seed", "run_name", "feature_set"]
 PARAMETERS = ["montage", "family", "seconds", "combiner"]
 
 
-def run_plan(spark: SparkSession, e: Experiment, done: DataFrame | None = None, start: str | None = None) -> DataFrame:
+def run_plan(spark: SparkSession, e: Experiment, done: DataFrame | None = None, start: str | None = None, logged: DataFrame | None = None) -> DataFrame:
     """Every run of an experiment in its order: run_no, project_name, mode, run, seed, run_name, feature_set, and the
     parameters of a single set or the families of an ensemble.
 
     Runs come configuration by configuration. Those before the run called `start` are skipped, and so are, if the
-    experiment says so, runs whose name is in `done` (run_name). A run's seed follows from its name.
+    experiment says so, runs whose name is in `done` or in `logged` (run_name): finished outputs (`skip_existing`) and the
+    project's log of runs (`check_log`). A run's seed follows from its name.
     """
     if e.mode == "single":
         grid = relational.config_grid(spark, montage=list(e.montages), family=list(e.families), seconds=list(e.seconds), combiner=list(e.combiners))
@@ -40,7 +41,10 @@ def run_plan(spark: SparkSession, e: Experiment, done: DataFrame | None = None,
     if start is not None:
         first = plan.where(F.col("run_name") == start).agg(F.min("run_no").alias("_first"))  # one number
         plan = plan.crossJoin(F.broadcast(first)).where("run_no >= _first").drop("_first")
-    return plan if done is None or not e.skip_existing else relational.skip_existing(plan, done, ["run_name"])
+    for wanted, names in ((e.skip_existing, done), (e.check_log, logged)):
+        if wanted and names is not None:
+            plan = relational.skip_existing(plan, names, ["run_name"])
+    return plan
 
 
 def prepare(features: DataFrame, params: DataFrame, sources: list[str]) -> DataFrame:
@@ -93,26 +97,28 @@ def _predictions(made: DataFrame, plan: DataFrame) -> DataFrame:
     return made.withColumn("fold_id", fold).join(F.broadcast(plan), made["config"] == plan["run_no"]).select(*RUN, *(c for c in PARAMETERS if c in plan.columns), "fold_id", F.col("subject").alias("subject_id"), "y_true", "y_pred", "y_prob")
 
 
-def single_sweep(features: DataFrame, e: Experiment, responders: DataFrame | None = None, done: DataFrame | None = None, start: str | None = None) -> DataFrame:
+def single_sweep(features: DataFrame, e: Experiment, responders: DataFrame | None = None, done: DataFrame | None = None, start: str | None = None, logged: DataFrame | None = None) -> DataFrame:
     """features (subject, y, family, montage, seconds, combiner, features): predictions of every run of every configuration,
     each subject's by trees that learned from the others."""
-    plan = run_plan(features.sparkSession, e, done, start)
+    plan = run_plan(features.sparkSession, e, done, start, logged)
     rows = _subjects(features, e, responders).join(F.broadcast(plan), PARAMETERS)  # a plan is a few thousand rows
     made = modelling.loso_boosting(rows.select(F.col("run_no").alias("config"), "subject", "y", "features", "seed"), e.boost)
     return _predictions(made, plan)
 
 
-def ensemble_sweep(rows: DataFrame, e: Experiment, responders: DataFrame | None = None, done: DataFrame | None = None, start: str | None = None) -> DataFrame:
+def ensemble_sweep(rows: DataFrame, e: Experiment, responders: DataFrame | None = None, done: DataFrame | None = None, start: str | None = None, logged: DataFrame | None = None) -> DataFrame:
     """rows of prepare(): predictions of every run of every combination of families by two-stage ensembles."""
-    plan = run_plan(rows.sparkSession, e, done, start)
-    made = modelling.ensemble(_subjects(rows, e, responders), plan.select(F.col("run_no").alias("config"), "families", "seed"), e.boost, e.validation)
+    plan = run_plan(rows.sparkSession, e, done, start, logged)
+    made = modelling.ensemble(_subjects(rows, e, responders), plan.select(F.col("run_no").alias("config"), "families", "seed"), e.boost, e.validation, e.prior)
     return _predictions(made, plan)
 
 
 def summaries(predictions: DataFrame) -> DataFrame:
-    """One row for each run: its keys and metrics."""
+    """One row for each run: its keys and metrics, and in lost_folds how many subjects it couldn't predict, which metrics leave
+    out; a run that lost all has no metrics."""
     keys = [c for c in [*RUN, *PARAMETERS] if c in predictions.columns]
-    return evaluation.summary(predictions, keys)
+    lost = predictions.groupBy(*keys).agg(F.count_if(F.col("y_prob").isNull()).alias("lost_folds"))
+    return lost.join(evaluation.summary(predictions.where("y_prob is not null"), keys), keys, "left")
 
 
 METRICS = ["accuracy", "bac", "bac80", "f1_score", "precision", "recall", "auc", "auprc", "ap"]

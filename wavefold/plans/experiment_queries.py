@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.learn import BoostParams
@@ -100,17 +102,24 @@ def preloaded_features(spark, sf_dir):
 # Sweeps, on small grids of the real pipeline
 
 
+def _name(k) -> F.Column:
+    """A subject's name, of eight letters, for a number."""
+    letter = lambda x: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (x % 26 + 1).cast("int"), F.lit(1))
+    return F.concat(F.lit("aaaaa"), *(letter(F.floor(k / 26**p)) for p in (2, 1, 0)))
+
+
 def _features(spark, sf_dir) -> DataFrame:
+    """Of all recordings; the first ten subjects' names are aaaaajga to aaaaajgj, the last of which the preset leaves out."""
     grid = [("cc", "CAR", 0.25), ("dwt", "CAR", 0.25), ("cc", "Cz", 0.25)]
-    f = families.extract(emb_arrays(spark, sf_dir).where("rec < 14"), grid, 64.0)
-    return f.select(F.col("rec").alias("subject"), (F.col("rec") % 2).cast("int").alias("y"), "family", "montage", F.lit(1).alias("seconds"), "combiner", "features")
+    f = families.extract(emb_arrays(spark, sf_dir), grid, 64.0)
+    return f.select(_name(F.col("rec") + 6240).alias("subject"), (F.col("rec") % 2).cast("int").alias("y"), "family", "montage", F.lit(1).alias("seconds"), "combiner", "features", F.col("rec").alias("pos"))
 
 
 _SMALL = BoostParams(trees=10, depth=2)
 
 
 def _single(spark, sf_dir) -> DataFrame:
-    e = experiments.Experiment("small", ("background",), "single", montages=("CAR", "Cz"), families=("cc", "dwt"), seconds=(1,), combiners=("mean", "std"), runs=2, skip="family = 'dwt' and montage = 'Cz'", exclude=("3",), boost=_SMALL)
+    e = replace(experiments.PRESETS["open_ss_ips_noieds"], montages=("CAR", "Cz"), families=("cc", "dwt"), seconds=(1,), runs=2, skip="family = 'dwt' and montage = 'Cz'", boost=_SMALL)
     return sweeps.single_sweep(_features(spark, sf_dir), e)
 
 
@@ -124,12 +133,29 @@ def single_sweep_summaries(spark, sf_dir):
     return rounded(sweeps.summaries(_single(spark, sf_dir)), *sweeps.METRICS)
 
 
+def _ensemble(spark, sf_dir) -> DataFrame:
+    """From features through preparation to predictions: each family's vector is that of its best montage and combiner."""
+    e = replace(experiments.PRESETS["open_ensemble_ips_noieds"], families=("cc", "dwt"), least=1, below=3, runs=2, responders=1, boost=BoostParams(trees=10, depth=2, rate=0.3))
+    yes = emb_signal(spark, sf_dir).select(_name(F.col("rec") + 6240).alias("subject"), F.when(F.col("rec") == 4, 0).otherwise(1).alias("hv_success")).distinct()
+    params = spark.createDataFrame([("open_ips", "cc", "Cz", 1, "skew"), ("open_ips", "dwt", "CAR", 1, "std")], "source string, family string, montage string, length int, combiner string")
+    features = _features(spark, sf_dir).withColumnRenamed("seconds", "length").withColumn("source", F.lit("open_ips"))
+    return sweeps.ensemble_sweep(sweeps.prepare(features, params, ["open_ips"]), e, yes)
+
+
 @query()
 def ensemble_sweep(spark, sf_dir):
-    e = experiments.Experiment("small", ("background",), "ensemble", families=("cc", "dwt"), least=1, below=3, runs=2, responders=1, boost=BoostParams(trees=10, depth=2, rate=0.3))
-    yes = emb_signal(spark, sf_dir).select(F.col("rec").cast("string").alias("subject"), F.when(F.col("rec") == 4, 0).otherwise(1).alias("hv_success")).distinct()
-    rows = _features(spark, sf_dir).where("montage = 'CAR' and combiner = 'mean'").select("subject", "y", "family", "features")
-    return rounded(sweeps.ensemble_sweep(rows, e, yes), "y_prob")
+    return rounded(_ensemble(spark, sf_dir), "y_prob")
+
+
+_SUBJECTS = """subjects as (select vec_id // 20 as rec, 'aaaaa' || chr((97 + (vec_id // 20 + 6240) // 676 % 26)::int) || chr((97 + (vec_id // 20 + 6240) // 26 % 26)::int) || chr((97 + (vec_id // 20 + 6240) % 26)::int) as subject from embeddings group by all),
+kept as (select subject, (rec % 2)::int as y, dense_rank() over (order by subject) - 1 as fold_id from subjects where subject not in ('aaaaajgj', 'aaaaakcd') and rec <> 4)"""
+
+
+@query(f"""with {_SUBJECTS}, sets as (select * from (values ('cc'), ('dwt'), ('cc+dwt')) s(feature_set))
+select feature_set || '_run_' || run as run_name, fold_id::int as fold_id, subject as subject_id, y as y_true from kept, sets, range(2) r(run)""")
+def ensemble_sweep_folds(spark, sf_dir):
+    """Who is tested in which fold of which run, by text names, with the study's exclusions and responders."""
+    return _ensemble(spark, sf_dir).select("run_name", "fold_id", "subject_id", "y_true")
 
 
 # Reports over stored predictions: line items stand for tested recordings of 7 runs of 6 configurations.

@@ -43,16 +43,17 @@ def write_periods(periods: DataFrame, path: str, overwrite: bool = False) -> Non
 
 def save_dataset(rows: DataFrame, path: str, offset: int = 0, overwrite: bool = False) -> list[int]:
     """Recordings (index, ...), one folder for each index + offset. Without `overwrite` an index that is there is an error;
-    with it those written are replaced, and others that stay are warned of and returned."""
+    with it those written are replaced; how many others stay is warned of, and the first ten are returned."""
     own = rows.withColumn("index", F.col("index") + offset)
     before = _there(rows.sparkSession, path)
     old = before.select("index").distinct() if before is not None else None
     if old is not None and not overwrite and (clash := old.join(own.select("index"), "index", "left_semi").limit(1).collect()):
         raise FileExistsError(f"recording {clash[0][0]} is there already")
-    left = [] if old is None else sorted(r[0] for r in old.join(own.select("index"), "index", "left_anti").collect())  # numbers of recordings alone
+    others = None if old is None else old.join(own.select("index"), "index", "left_anti")
+    count, left = (0, []) if others is None else (others.count(), [r[0] for r in others.orderBy("index").limit(10).collect()])
     own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index").parquet(path)
-    if left:
-        warnings.warn(f"{path} also holds recordings {left[:10]}, which were not written now", stacklevel=2)
+    if count:
+        warnings.warn(f"{path} also holds {count} recordings that were not written now: {left}{' ...' if count > 10 else ''}", stacklevel=2)
     return left
 
 
@@ -96,7 +97,7 @@ def append_run(rows: DataFrame, path: str, **keys: str | int) -> None:
 
 
 def finished_runs(spark: SparkSession, path: str, project: str) -> DataFrame:
-    """run_name of a project's runs that are there; none where there is no table."""
+    """run_name of a project's runs that are there, in a table of outputs or in the run log; none where there is no table."""
     rows = _there(spark, path)
     return spark.createDataFrame([], "run_name string") if rows is None else rows.where(F.col("project_name") == project).select("run_name").distinct()
 
@@ -117,8 +118,8 @@ def read_predictions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_roc(curves: DataFrame, areas: DataFrame, path: str) -> None:
-    """Averaged curves (curve, fpr, tpr) with their areas (curve, area)."""
-    curves.join(areas, "curve").write.mode("overwrite").partitionBy("curve").parquet(path)
+    """Averaged curves (curve, fpr, tpr) with their areas (curve, area); curves of other names stay."""
+    curves.join(areas, "curve").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("curve").parquet(path)
 
 
 def write_effects(effects: DataFrame, path: str, name: str) -> None:
