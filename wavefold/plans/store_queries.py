@@ -99,3 +99,18 @@ def stored_effects(spark, sf_dir):
     listed = sinks.list_effects(spark, path)
     back = sinks.read_effects(spark, path, "second").select("result", "feature", "x", "n", "mean", "low")
     return rounded(back.join(listed, "result"), "x", "mean", "low")
+
+
+@query("""with v as (select vec_id // 20 as rec, vec_id % 20 as ch, k - 1 as t, round(embedding[k]::double * 10000) + 0.0 as v from embeddings, unnest(range(1, 65)) as u(k))
+select rec, ch, (t // 16)::double as start, (t % 16)::bigint as k, v from v where ch in (3, 7, 19) and t >= 16 and t < 48""")
+def edf_scan(spark, sf_dir):
+    """All recordings as EDF files, of which three channels and the two seconds in the middle are read."""
+    from ..sources import edf_source
+
+    path = shared.folder(spark, "edf")
+    channels = emb_arrays(spark, sf_dir).select("rec", "ch", F.transform("samples", lambda v: F.round(v * 10000)).alias("s"))
+    files = channels.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("ch", "s"))).alias("c"))
+    rows = files.select(F.concat(F.lit("rec"), F.col("rec").cast("string")).alias("name"), F.lit(16.0).alias("sfreq"), F.transform("c", lambda c: c.ch.cast("string")).alias("channels"), F.col("c.s").alias("samples"))
+    edf_source.write(rows, path)
+    got = edf_source.scan(spark, path, ["3", "7", "19"]).where("start >= 1 and start < 3")
+    return got.select(F.regexp_extract("path", r"rec(\d+)\.edf$", 1).cast("long").alias("rec"), F.col("channel").cast("long").alias("ch"), "start", F.posexplode("samples").alias("k", "v")).withColumns({"k": F.col("k").cast("long"), "v": F.col("v") + 0.0})

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import relational
+from .edf_source import file_system
 
 SIGNALS = "path string, name string, sfreq double, samples array<double>"
 
@@ -22,14 +21,14 @@ def discover(spark: SparkSession, root: str, glob: str = "*.edf") -> DataFrame:
 
 
 def headers(files: DataFrame, size: int = 88) -> DataFrame:
-    """path, header (its first 88 bytes), age and gender; no more of a file is read. Paths are of file systems that Arrow
-    opens (local, hdfs, s3, gs)."""
+    """path, header (its first 88 bytes), age and gender; no more of a file is read. Paths are of local, hdfs, s3 (also as
+    s3a and s3n), gs or mounted dbfs file systems."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             heads = []
             for path in b.column("path").to_pylist():
-                fs, name = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                fs, name = file_system(path)
                 with fs.open_input_file(name) as f:
                     heads.append(f.read(size).decode("ascii", "replace"))
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(heads, pa.string())], ["path", "header"])
