@@ -1,12 +1,15 @@
 """Evaluation of predictions (y_true 0/1, y_prob) by groups, all in aggregates and windows over distinct scores.
 
-Curves are computed per group on one row for each distinct score, so ties collapse first and windows order what is left.
+Curves are computed per group on one row for each distinct score, so ties collapse first; what is left is put in order range
+by range (see `ranges`), so that a group of very many scores isn't one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import ranges
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -23,49 +26,65 @@ def confusion(pred: DataFrame, by: list[str], threshold: float = 0.5) -> DataFra
     })
 
 
-def _steps(pred: DataFrame, by: list[str]) -> DataFrame:
-    """by, threshold, tps, fps (cumulated from the highest score), pos, neg, k (1 for the highest)."""
-    per = pred.groupBy(*by, F.col("y_prob").alias("threshold")).agg(F.sum(F.col("y_true").cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    all_ = Window.partitionBy(*by)
-    return per.select(*by, "threshold", F.sum("p").over(down).alias("tps"), F.sum(F.col("n") - F.col("p")).over(down).alias("fps"), F.sum("p").over(all_).alias("pos"), F.sum(F.col("n") - F.col("p")).over(all_).alias("neg"), F.row_number().over(down).alias("k"))
+def _steps(pred: DataFrame, by: list[str], ahead: bool = False, size: int | None = None) -> DataFrame:
+    """by, threshold, p, m (positives and negatives of that score), tps, fps (cumulated from the highest score), pos, neg, k
+    (1 for the highest), _part; and with `ahead` the next score's p and m."""
+    per = pred.groupBy(*by, F.col("y_prob").alias("threshold")).agg(F.sum(F.col("y_true").cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("m", F.col("n") - F.col("p"))
+    sums = {"tps": F.col("p"), "fps": F.col("m"), "k": F.lit(1).cast("long")}
+    s = ranges.running(ranges.cut(per, by, "threshold", True, size), by, [F.desc("threshold")], sums, {"next_p": "p", "next_m": "m"} if ahead else None)
+    return s.select(*by, "threshold", "p", "m", "tps", "fps", F.col("tps_all").alias("pos"), F.col("fps_all").alias("neg"), "k", "_part", *(["next_p", "next_m"] if ahead else []))
 
 
-def roc_curve(pred: DataFrame, by: list[str], drop_intermediate: bool = True) -> DataFrame:
+def roc_curve(pred: DataFrame, by: list[str], drop_intermediate: bool = True, size: int | None = None) -> DataFrame:
     """by, k, threshold, fpr, tpr from (infinity, 0, 0) on; points on a straight line between their neighbours are dropped.
-    A group of one class has null rates on the missing side."""
-    s = _steps(pred, by)
+    A group of one class has null rates on the missing side. `size` is the scores a range of the order has (see `ranges`)."""
+    return _roc(_steps(pred, by, True, size), by, drop_intermediate)
+
+
+def _roc(s: DataFrame, by: list[str], drop_intermediate: bool = True) -> DataFrame:
     if drop_intermediate:
-        w = Window.partitionBy(*by).orderBy("k")
-        bend = lambda c: (F.lead(c).over(w) - F.col(c)) - (F.col(c) - F.lag(c, 1, 0).over(w))
         # The first and the last point stay; so does each that isn't straight.
-        s = s.withColumn("_b", F.coalesce((bend("tps") != 0) | (bend("fps") != 0), F.lit(True)) | (F.col("k") == 1)).where("_b").drop("_b")
-    zero = s.select(*by, "pos", "neg").distinct().select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps"), "pos", "neg", F.lit(0).alias("k"))
-    whole = s.unionByName(zero)
-    order = Window.partitionBy(*by).orderBy("k")
-    return whole.select(*by, (F.row_number().over(order) - 1).cast("long").alias("k"), "threshold", F.try_divide(F.col("fps").cast("double"), F.col("neg").cast("double")).alias("fpr"), F.try_divide(F.col("tps").cast("double"), F.col("pos").cast("double")).alias("tpr"))
+        s = s.where("next_p is null or next_p <> p or next_m <> m or k = 1")
+    rate = lambda a, b: F.try_divide(a.cast("double"), F.col(b).cast("double"))
+    # Before the highest score there is one point more.
+    start = F.struct(F.lit(0).cast("long").alias("c"), F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("fps"), F.lit(0).cast("long").alias("tps"))
+    own = F.struct(F.lit(1).cast("long").alias("c"), F.col("threshold"), F.col("fps"), F.col("tps"))
+    points = ranges.running(s.drop("k"), by, [F.desc("threshold")], {"k": F.lit(1).cast("long")})
+    both = points.select(*by, "k", "pos", "neg", F.explode(F.when(F.col("k") == 1, F.array(start, own)).otherwise(F.array(own))).alias("o"))
+    return both.select(*by, F.when(F.col("o.c") == 0, F.lit(0).cast("long")).otherwise(F.col("k")).alias("k"), F.col("o.threshold").alias("threshold"), rate(F.col("o.fps"), "neg").alias("fpr"), rate(F.col("o.tps"), "pos").alias("tpr"))
 
 
 def roc_auc(pred: DataFrame, by: list[str]) -> DataFrame:
     """Rank-sum form over distinct scores; null for a group of one class."""
-    s = _steps(pred, by)
-    prev = Window.partitionBy(*by).orderBy("k")
-    area = (F.col("fps") - F.lag("fps", 1, 0).over(prev)) * (F.col("tps") + F.lag("tps", 1, 0).over(prev)) / 2.0
-    return s.withColumn("_a", area).groupBy(*by).agg(F.try_divide(F.sum("_a"), (F.first("pos") * F.first("neg")).cast("double")).alias("auc"))
+    return _areas(_steps(pred, by), by).select(*by, "auc")
 
 
 def pr_areas(pred: DataFrame, by: list[str]) -> DataFrame:
     """auprc by trapezoids (from precision 1 at recall 0) and ap, the average precision by steps; null without positives."""
-    s = _steps(pred, by).withColumn("precision", F.col("tps") / (F.col("tps") + F.col("fps"))).withColumn("recall", F.try_divide(F.col("tps").cast("double"), F.col("pos").cast("double")))
-    w = Window.partitionBy(*by).orderBy("k")
-    d = F.col("recall") - F.lag("recall", 1, 0.0).over(w)
-    x = s.withColumn("_t", d * (F.col("precision") + F.lag("precision", 1, 1.0).over(w)) / 2).withColumn("_s", d * F.col("precision"))
-    return x.groupBy(*by).agg(F.sum("_t").alias("auprc"), F.sum("_s").alias("ap"))
+    return _areas(_steps(pred, by), by).select(*by, "auprc", "ap")
+
+
+def areas(pred: DataFrame, by: list[str], size: int | None = None) -> DataFrame:
+    """by, auc, auprc, ap in one pass."""
+    return _areas(_steps(pred, by, size=size), by)
+
+
+def _areas(s: DataFrame, by: list[str]) -> DataFrame:
+    tps, n = F.col("tps"), F.col("tps") + F.col("fps")
+    under = F.col("m") * (2 * tps - F.col("p")) / 2.0
+    now, before = tps / n, F.coalesce(F.try_divide((tps - F.col("p")).cast("double"), (n - F.col("p") - F.col("m")).cast("double")), F.lit(1.0))
+    d = F.try_divide(F.col("p").cast("double"), F.col("pos").cast("double"))
+    auc = F.try_divide(F.sum(under), (F.first("pos") * F.first("neg")).cast("double"))
+    return s.groupBy(*by).agg(auc.alias("auc"), F.sum(d * (now + before) / 2).alias("auprc"), F.sum(d * now).alias("ap"))
 
 
 def bac_at_sensitivity(pred: DataFrame, by: list[str], sensitivity: float = 0.8) -> DataFrame:
     """Balanced accuracy at the first (highest) threshold whose true-positive rate reaches `sensitivity`."""
-    c = roc_curve(pred, by).where(F.col("tpr") >= sensitivity)
+    return _first_at(roc_curve(pred, by), by, sensitivity)
+
+
+def _first_at(curve: DataFrame, by: list[str], sensitivity: float) -> DataFrame:
+    c = curve.where(F.col("tpr") >= sensitivity)
     return c.groupBy(*by).agg(F.min(F.struct("k", "threshold", "tpr", "fpr")).alias("m")).select(*by, F.col("m.threshold").alias("threshold"), ((F.col("m.tpr") + 1 - F.col("m.fpr")) / 2).alias("bac"))
 
 
@@ -120,16 +139,17 @@ def vertical_averages(curves: DataFrame, by: list[str], curve: str, strips: int
 
 def curve_area(curve: DataFrame, by: list[str]) -> DataFrame:
     """Area under fpr, tpr by trapezoids."""
-    w = Window.partitionBy(*by).orderBy("fpr", "tpr")
-    strip = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
-    return curve.withColumn("_a", strip).groupBy(*by).agg(F.sum("_a").alias("area"))
+    x = ranges.running(ranges.cut(curve, by, "fpr"), by, [F.asc("fpr"), F.asc("tpr")], {}, behind={"_x": "fpr", "_y": "tpr"})
+    strip = (F.col("fpr") - F.col("_x")) * (F.col("tpr") + F.col("_y")) / 2
+    return x.groupBy(*by).agg(F.sum(strip).alias("area"))
 
 
 def summary(pred: DataFrame, by: list[str]) -> DataFrame:
     """Of each run: accuracy, precision, recall, f1_score and bac of y_pred; auc, bac80, auprc and ap of y_prob."""
     flat = confusion(pred.withColumn("y_prob", F.col("y_pred").cast("double")), by).select(*by, "accuracy", "precision", "recall", "f1_score", "bac")
-    first = bac_at_sensitivity(pred, by).select(*by, F.col("bac").alias("bac80"))
-    return flat.join(roc_auc(pred, by), by).join(pr_areas(pred, by), by).join(first, by, "left")
+    steps = _steps(pred, by, ahead=True)
+    first = _first_at(_roc(steps, by), by, 0.8).select(*by, F.col("bac").alias("bac80"))
+    return flat.join(_areas(steps, by), by).join(first, by, "left")
 
 
 def mean_std(log: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.learn import t_quantile
+from . import ranges
 
 
 def two_sided(z: Column | str) -> Column:
@@ -20,13 +21,13 @@ def two_sided(z: Column | str) -> Column:
     return F.when(x < 3, 1 - 2 / root * x * F.exp(-x * x) * near).otherwise(F.exp(-x * x) / root / far)
 
 
-def mann_whitney(values: DataFrame, by: list[str], value: str = "v", label: str = "y", least: int = 10, least_each: int = 3) -> DataFrame:
+def mann_whitney(values: DataFrame, by: list[str], value: str = "v", label: str = "y", least: int = 10, least_each: int = 3, size: int | None = None) -> DataFrame:
     """by, n1, n0, u, z: U of label 1 by average ranks, z with tie and continuity correction; groups that are too small
-    are left out. One row for each distinct value is ranked, so ties cost nothing."""
+    are left out. One row for each distinct value is ranked, so ties cost nothing, and ranks are counted range by range."""
     x = values.where(F.col(value).isNotNull() & ~F.isnan(value))
     per = x.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(label) == 1).alias("c1"))
-    w, all_ = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    r = per.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2.0).withColumn("n", F.sum("c").over(all_)).withColumn("n1", F.sum("c1").over(all_))
+    x = ranges.running(ranges.cut(per, by, value, size=size), by, [F.asc(value)], {"n": F.col("c"), "n1": F.col("c1")})
+    r = x.select(*by, "c", "c1", (F.col("n") - (F.col("c") - 1) / 2.0).alias("rank"), F.col("n_all").alias("n"), F.col("n1_all").alias("n1"))
     s = r.groupBy(*by, "n", "n1").agg(F.sum(F.col("rank") * F.col("c1")).alias("r1"), F.sum((F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double")).alias("ties"))
     n1, n0, n = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double"), F.col("n").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2
@@ -44,14 +45,12 @@ def bonferroni(tests: DataFrame, p: str = "p") -> DataFrame:
 
 def quantile_edges(values: DataFrame, by: list[str], value: str = "v", bins: int = 20) -> DataFrame:
     """by, k, edge: the distinct exact quantiles at 0, 1/bins, ... 1."""
-    at = [k / bins for k in range(bins + 1)]
-    q = values.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile(F.col(value), F.array(*map(F.lit, at))))).alias("e"))
+    q = ranges.quantiles(values, by, value, [k / bins for k in range(bins + 1)]).select(*by, F.array_sort(F.array_distinct("q")).alias("e"))
     return q.select(*by, F.posexplode("e").alias("k", "edge")).withColumn("k", F.col("k").cast("long"))
 
 
 def percentile_range(values: DataFrame, by: list[str], value: str = "v", low: float = 0.05, high: float = 0.95) -> DataFrame:
-    p = F.percentile(F.col(value), F.array(F.lit(low), F.lit(high)))
-    return values.groupBy(*by).agg(p.alias("p")).select(*by, F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return ranges.quantiles(values, by, value, [low, high]).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def to_bins(values: DataFrame, edges: DataFrame, by: list[str], value: str = "v") -> DataFrame:

@@ -53,4 +53,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import evaluation_queries, experiment_queries, family_queries, model_queries, relational_queries, signal_queries, store_queries, stream_queries  # noqa: F401
+    from . import evaluation_queries, experiment_queries, family_queries, model_queries, range_queries, relational_queries, signal_queries, store_queries, stream_queries  # noqa: F401
