@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavefold.functions import numeric
-from wavefold.operators import evaluation, longsignal, ranges, stats
+from wavefold.functions import learn, numeric
+from wavefold.operators import calibration, evaluation, longsignal, ranges, stats
 
 R = random.Random(6)
 
@@ -125,3 +125,28 @@ def test_filters_go_on_from_block_to_block(spark):
     for name, (b, a) in filters.items():
         y = np.concatenate([np.array(q.samples, float) for q in sorted((q for q in got if q.band == name), key=lambda q: q.block)])
         assert np.allclose(y, numeric.lfilter(np.asarray(b, float), np.asarray(a, float), x["a"]), atol=1e-4 if name == "theta" else 1e-9)
+
+
+def test_hulls():
+    r = np.random.default_rng(3)
+    for n in [1, 2, 3, 10, 200]:
+        x, y = np.cumsum(r.integers(1, 4, n)).astype(float), np.cumsum(r.integers(-3, 4, n)).astype(float)
+        at = calibration.lower_hull(x, y)
+        assert at[0] == 0 and at[-1] == n - 1 and (np.diff(np.diff(y[at]) / np.diff(x[at])) > 0).all()
+        assert (np.interp(x, x[at], y[at]) <= y + 1e-9).all()
+
+
+def test_isotonic_fits_are_those_of_pooling(spark, size):
+    rows = [(R.choice(["a", None]), R.choice([R.random(), 0.5]), R.randint(0, 1)) for _ in range(150)] + [("one", 0.5, 1), ("up", 0.1, 0), ("up", 0.2, 1), ("down", 0.1, 1), ("down", 0.2, 0), ("a", None, 1), ("a", 0.3, None)]
+    df = spark.createDataFrame(rows, "g string, y_prob double, y_true int")
+    blocks = calibration.isotonic(df, ["g"])
+    asked = [(g, q / 50) for g in ("a", None, "one", "up", "down", "unknown") for q in range(-1, 53)]
+    got = {(r.g, r.y_prob): r.calibrated for r in calibration.calibrated(spark.createDataFrame(asked, "g string, y_prob double"), blocks, ["g"]).collect()}
+    for g in ("a", None, "one", "up", "down"):
+        own = [(p, y) for h, p, y in rows if h == g and p is not None and y is not None]
+        knots = learn.isotonic(np.array([p for p, _ in own]), np.array([y for _, y in own], float))
+        for h, q in asked:
+            if h == g:
+                assert got[g, q] == pytest.approx(float(learn.calibrate(knots, np.array([q]))[0]))
+    assert got["unknown", 0.5] is None and sum(r.weight for r in blocks.collect()) == 155
+    assert calibration.isotonic(df.limit(0), ["g"]).collect() == []

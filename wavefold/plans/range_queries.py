@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation as E, longsignal, ranges, stats
-from ..sources.views import emb_arrays, evt_signal, table
+from ..operators import calibration, evaluation as E, longsignal, ranges, stats
+from ..sources.views import emb_arrays, evt_signal, scores, table
 from .registry import query, r, rounded
 from .signal_queries import _FILTERS, iir_sql
 
@@ -87,3 +87,19 @@ def iir_across_blocks(spark, sf_dir):
     out = longsignal.iir_blocks(blocks, ["rec", "ch"], _FILTERS)
     energy = F.sum(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v))
     return rounded(out.groupBy("rec", "ch", "band").agg(energy.alias("energy")), "energy", digits=4)
+
+
+_FIT = """per as (select lang, y_prob as x, sum(y_true)::double as s, count(*) as w from scores group by all),
+o as (select *, row_number() over (partition by lang order by x) as i, (sum(s) over (partition by lang order by x)) as ts, (sum(w) over (partition by lang order by x)) as tw from per),
+m as (select a.lang, a.i as a, b.i as b, (b.ts - a.ts + a.s) / (b.tw - a.tw + a.w) as m from o a join o b on a.lang = b.lang and a.i <= b.i),
+low as (select lang, a, b as i, min(m) over (partition by lang, a order by b desc) as m from m),
+fit as (select o.lang, o.x, max(l.m) as fit from o join low l on l.lang = o.lang and l.i = o.i and l.a <= o.i group by all)"""
+
+
+@query(f"with {_FIT} select lang, {r('x', 9)} as y_prob, {r('fit')} as fit from fit", "scores")
+def isotonic_fit(spark, sf_dir):
+    """The fit at every score: the largest over starts of the least over ends of the mean between them."""
+    s = scores(spark, sf_dir)
+    blocks = calibration.isotonic(s, ["lang"], size=10)
+    at = calibration.calibrated(s.select("lang", "y_prob").distinct(), blocks, ["lang"], name="fit", size=10)
+    return rounded(rounded(at, "fit"), "y_prob", digits=9)
