@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, evaluation as E, longsignal, ranges, stats
+from ..functions.learn import BoostParams
+from ..operators import boosting, calibration, evaluation as E, longsignal, ranges, stats
 from ..sources.views import emb_arrays, evt_signal, scores, table
 from .registry import query, r, rounded
 from .signal_queries import _FILTERS, iir_sql
@@ -103,3 +104,26 @@ def isotonic_fit(spark, sf_dir):
     blocks = calibration.isotonic(s, ["lang"], size=10)
     at = calibration.calibrated(s.select("lang", "y_prob").distinct(), blocks, ["lang"], name="fit", size=10)
     return rounded(rounded(at, "fit"), "y_prob", digits=9)
+
+
+_FEATURES = ("l_quantity", "l_discount", "l_tax")
+
+
+@query(f"""with d as (select (case when l_quantity > 30 then l_orderkey % 4 > 0 else l_orderkey % 4 = 0 end)::int as y, {', '.join(_FEATURES)} from lineitem),
+w as (select count(*) filter (where y = 0)::double / count(*) filter (where y = 1) as w from d),
+long as ({' union all '.join(f'select {k} as f, {c} as v, y from d' for k, c in enumerate(_FEATURES))}),
+hist as (select f, v, sum(case when y = 1 then -0.5 * w else 0.5 end) as g, sum(case when y = 1 then 0.25 * w else 0.25 end) as h from long, w group by all),
+run as (select f, v, sum(g) over o as gl, sum(h) over o as hl, sum(g) over (partition by f) as gs, sum(h) over (partition by f) as hs from hist window o as (partition by f order by v)),
+gain as (select *, (gl * gl / (hl + 1) + (gs - gl) * (gs - gl) / (hs - hl + 1) - gs * gs / (hs + 1)) / 2 - 0.1 as gain from run where hl >= 1 and hs - hl >= 1),
+top as (select * from gain order by gain desc, f limit 1)
+select f::bigint as feature, {r('v')} as cut, {r('-0.1 * gl / (hl + 1)')} as low_value, {r('-0.1 * (gs - gl) / (hs - hl + 1)')} as high_value, {r('hl', 3)} as low_cover, {r('hs - hl', 3)} as high_cover from top""")
+def boosted_first_cut(spark, sf_dir):
+    """The first cut of boosting over all line items: its feature and place, and what the two sides say and hold."""
+    li = table(spark, sf_dir, "lineitem")
+    y = F.when(F.col("l_quantity") > 30, F.col("l_orderkey") % 4 > 0).otherwise(F.col("l_orderkey") % 4 == 0).cast("int")
+    rows = li.select(F.struct("l_orderkey", "l_linenumber").cast("string").alias("id"), y.alias("y"), F.array(*_FEATURES).alias("features"))
+    feature, cut, left, right, _, value, cover = boosting.fit(rows, BoostParams(trees=1, depth=1, subsample=1.0)).trees[0]
+    a, b = int(left[0]), int(right[0])
+    one = [(int(feature[0]), float(cut[0]), float(value[a]), float(value[b]), float(cover[a]), float(cover[b]))]
+    out = spark.createDataFrame(one, "feature long, cut double, low_value double, high_value double, low_cover double, high_cover double")
+    return rounded(rounded(out, "cut", "low_value", "high_value"), "low_cover", "high_cover", digits=3)
