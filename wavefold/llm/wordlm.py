@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import SPACED, mix, ship, signed, slices
 
 RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: A range of keys holds about those of so many blocks.
 RANGE_BLOCKS = 4
 PRIOR = 20.0
