@@ -114,3 +114,14 @@ def edf_scan(spark, sf_dir):
     edf_source.write(rows, path)
     got = edf_source.scan(spark, path, ["3", "7", "19"]).where("start >= 1 and start < 3")
     return got.select(F.regexp_extract("path", r"rec(\d+)\.edf$", 1).cast("long").alias("rec"), F.col("channel").cast("long").alias("ch"), "start", F.posexplode("samples").alias("k", "v")).withColumns({"k": F.col("k").cast("long"), "v": F.col("v") + 0.0})
+
+
+@query("select c_mktsegment || c_custkey % 40 as subject, arg_min(c_nationkey % 2, c_custkey)::int as epilepsy from customer group by all")
+def described_labels(spark, sf_dir):
+    """Descriptions as CSV, read back: each subject's label is that of its first row."""
+    from ..sources import edf
+
+    path = shared.folder(spark, "descriptions")
+    c = table(spark, sf_dir, "customer").select(F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string")).alias("subject"), (F.col("c_nationkey") % 2).alias("epilepsy"), F.col("c_custkey").alias("session"))
+    c.repartitionByRange(3, "session").sortWithinPartitions("session").write.option("header", True).csv(path)
+    return edf.subject_labels(edf.descriptions(spark, path, "subject string, epilepsy int, session int"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from datetime import date
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import relational
@@ -83,6 +87,56 @@ def dates(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"), "date").where("date is not null").groupBy("folder").agg(F.min("date").alias("date"))
 
 
+def recording_dates(files: DataFrame, keep: bool = True) -> DataFrame:
+    """path, date (null where neither names one), source ("side-car" or "header"), kept (whether a side-car is there now).
+
+    A recording's date is that of the side-car beside it (its name with _date.txt for .edf: a JSON object of year, month
+    and day); without one, that of its header, which is then kept in a side-car, so that the next time the recording isn't opened. A
+    folder that can't be written costs nothing else. A header's years 85 to 99 are 19.., the others 20...
+    """
+
+    def one(path: str) -> tuple[str, date | None, str, bool]:
+        fs, name = file_system(path)
+        side = re.sub(r"\.edf$", "", name) + "_date.txt"
+        if fs.get_file_info(side).type == pafs.FileType.File:
+            with fs.open_input_file(side) as f:
+                d = json.loads(f.read())
+            return path, date(int(d["year"]), int(d["month"]), int(d["day"])), "side-car", True
+        with fs.open_input_file(name) as f:
+            text = f.read(176)[168:176].decode("ascii", "replace")
+        try:
+            day, month, year = (int(x) for x in text.split("."))
+            found = date(year + (1900 if year >= 85 else 2000), month, day)
+        except ValueError:
+            return path, None, "header", False
+        if keep:
+            try:
+                with fs.open_output_stream(side) as f:
+                    f.write(json.dumps({"year": found.year, "month": found.month, "day": found.day}).encode())
+            except OSError:
+                return path, found, "header", False
+        return path, found, "header", keep
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = list(map(one, b.column("path").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.date32(), pa.string(), pa.bool_()))], ["path", "date", "source", "kept"])
+
+    return files.select("path").mapInArrow(run, "path string, date date, source string, kept boolean")
+
+
+def descriptions(spark: SparkSession, root: str, schema: str = "path string, subject string, session int, segment int, year int, month int, day int, epilepsy int") -> DataFrame:
+    """The description CSV files (with a header) below root, columns by name, and pos, a row's place in its file."""
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("enforceSchema", False).csv(root, schema=schema)
+    # Blocks of a file are read in any order; within a block rows are numbered as they come.
+    return rows.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("pos"))
+
+
+def subject_labels(described: DataFrame, label: str = "epilepsy") -> DataFrame:
+    """subject and the label of its first row."""
+    return relational.first_label(described.where("subject is not null"), "subject", label, "pos")
+
+
 def recordings(spark: SparkSession, root: str) -> DataFrame:
     """One row for each file: description from path and header, report of its folder if there is one (several are put
     together in the order of their names)."""
