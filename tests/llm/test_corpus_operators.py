@@ -253,6 +253,39 @@ def test_a_hot_group_without_doc_ids_is_spread_and_small_groups_stay_whole(spark
     assert max(abs(x - mean) for x in size.values()) <= 0.2 * mean + max(r.size for r in got)
 
 
+def test_groups_are_whole_wherever_a_shard_has_room(spark, none):
+    rnd = random.Random(9)
+
+    def body(c, n):
+        return c * n
+
+    # groups of a fifth of a shard to most of one, one that is larger, single texts of a quarter, and small texts
+    groups = {"a": (99, 360), "b": (99, 280), "c": (199, 80), "d": (9, 1200), "e": (499, 40), "f": (99, 920), "g": (13999, 1), "h": (13998, 1), "i": (49, 320), "j": (249, 130)}
+    rows = [(None if k % 7 == 0 else k, body(c, n)) for c, (n, m) in groups.items() for k in range(m)] + [(k, prose(rnd.randint(0, 20), rnd)) for k in range(2500)]
+    rnd.shuffle(rows)
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).collect()
+    size, slots, where, total = Counter(), defaultdict(list), defaultdict(Counter), sum(len(t.encode()) + 1 for _, t in rows)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where[r.text_crc32][r.shard] += 1
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((k, zlib.crc32(t.encode())) for k, t in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    room, whole = [total / 8] * 8, {}
+    for n, c in sorted(((m * (n + 1), c) for c, (n, m) in groups.items()), reverse=True):  # best fit, the largest first
+        fit = min((k for k in range(8) if room[k] >= n), key=lambda k: room[k], default=None)
+        whole[c] = fit is not None
+        if fit is not None:
+            room[fit] -= n
+    assert [c for c, x in whole.items() if not x] == ["f"]
+    for c, (n, m) in groups.items():
+        assert (len(where[zlib.crc32(body(c, n).encode())]) == 1) == whole[c], c
+    assert len(where[zlib.crc32(body("f", 99).encode())]) >= 920 * 100 / (total / 8) > 1
+    assert max(size.values()) - min(size.values()) <= 0.03 * total / 8
+    small = [t for _, t in rows if t and t[0] not in groups or " " in t]
+    assert all(len(where[zlib.crc32(t.encode())]) == 1 for t in small)
+
+
 # 5 token files
 
 
