@@ -53,4 +53,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import edge_queries, evaluation_queries, experiment_queries, family_queries, model_queries, range_queries, relational_queries, signal_queries, store_queries, stream_queries  # noqa: F401
+    from . import edge_queries, evaluation_queries, experiment_queries, extension_queries, family_queries, model_queries, range_queries, relational_queries, signal_queries, store_queries, stream_queries  # noqa: F401
