@@ -162,6 +162,40 @@ def histogram_entropy(signal: DataFrame, keys: list[str], bins: int = 1024) -> D
     return b.groupBy(*keys, "_b", "_n").agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg((-F.sum(p * F.log2(p)) + 0.0).alias("entropy"))
 
 
+# The same on arrays of whole channels: no row a sample, and no shuffle
+
+
+def array_zero_crossings(arrays: DataFrame) -> DataFrame:
+    """Adds crossings: how often the sign of the samples less their mean changes. None in an array of less than two."""
+    x, n = F.col("samples"), F.greatest(F.size("samples") - 1, F.lit(0))
+    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    s = arrays.withColumn("_m", F.when(F.size(x) > 0, mean)).withColumn("_s", F.transform(x, lambda v: F.signum(v - F.col("_m"))))
+    turns = F.zip_with(F.slice("_s", F.lit(2), n), F.slice("_s", F.lit(1), n), lambda a, b: a != b)
+    return s.withColumn("crossings", F.size(F.filter(turns, lambda c: c)).cast("long")).drop("_m", "_s")
+
+
+def array_nleo(arrays: DataFrame, l: int, p: int, q: int, s: int) -> DataFrame:  # noqa: E741
+    """Adds nleo, an array: x[n-l] x[n-p] - x[n-q] x[n-s], zero within |l| + |p| + |q| + |s| + 1 samples of the ends."""
+    edge, x = abs(l) + abs(p) + abs(q) + abs(s) + 1, F.col("samples")
+    at = lambda t, k: F.get(x, t - k)
+    value = lambda v, t: F.when((t >= edge) & (t < F.size(x) - edge), at(t, l) * at(t, p) - at(t, q) * at(t, s)).otherwise(F.lit(0.0))
+    return arrays.withColumn("nleo", F.transform(x, value))
+
+
+def array_moving_average(arrays: DataFrame, width: int) -> DataFrame:
+    """samples becomes the mean of each `width` samples in a row, the first of them at index 0; empty where there are fewer."""
+    x = F.col("samples")
+    starts = F.when(F.size(x) >= width, F.sequence(F.lit(1), F.size(x) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return arrays.withColumn("samples", F.transform(starts, lambda k: F.aggregate(F.slice(x, k, F.lit(width)), F.lit(0.0), lambda s, v: s + v) / width))
+
+
+def array_peak_candidates(arrays: DataFrame, height: float) -> DataFrame:
+    """Adds peaks, an array of (t, v): samples above both neighbours and of at least `height`."""
+    x = F.col("samples")
+    high = F.filter(F.transform(x, lambda v, t: F.struct(t.cast("long").alias("t"), v.alias("v"))), lambda s: (s.v >= height) & (s.v > F.get(x, (s.t - 1).cast("int"))) & (s.v > F.get(x, (s.t + 1).cast("int"))))
+    return arrays.withColumn("peaks", high)
+
+
 def iir_energies(arrays: DataFrame, filters: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """arrays (keys, samples) -> keys, band, energy of the samples through each filter (b, a), from rest. Rows of one length
     are filtered together, in time linear in their samples."""

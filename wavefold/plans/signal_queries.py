@@ -260,6 +260,36 @@ def graph_participation(spark, sf_dir):
     return rounded(graph.participation(e, c, ["rec"]), "participation", "diversity")
 
 
+# The same on arrays
+
+
+@query("""with c as (select rec, ch, t, sign(v - avg(v) over (partition by rec, ch)) as s from sig),
+l as (select rec, ch, s, lag(s) over (partition by rec, ch order by t) as p from c)
+select rec, ch, count(*) filter (where s <> p) as crossings from l group by all""", "sig")
+def array_zero_crossings(spark, sf_dir):
+    return S.array_zero_crossings(emb_arrays(spark, sf_dir)).select("rec", "ch", "crossings")
+
+
+@query(_nleo_sql("abs(p1 * p2 - v * p3)", 6).replace("evt", "sig"), "sig")
+def array_nleo(spark, sf_dir):
+    x = S.array_nleo(emb_arrays(spark, sf_dir), 1, 2, 0, 3)
+    return rounded(x.select("rec", "ch", F.aggregate("nleo", F.lit(0.0), lambda s, v: s + F.abs(v)).alias("nleo")), "nleo", digits=5)
+
+
+@query(f"""with w as (select rec, ch, t, avg(v) over (partition by rec, ch order by t rows 4 preceding) as avg from sig)
+select rec, ch, t, {r('avg')} as avg from w where t >= 4""", "sig")
+def array_moving_average(spark, sf_dir):
+    x = S.array_moving_average(emb_arrays(spark, sf_dir), 5)
+    return rounded(x.select("rec", "ch", F.posexplode("samples").alias("t", "avg")).withColumn("t", F.col("t").cast("long") + 4), "avg")
+
+
+@query(f"""with w as (select rec, ch, t, v, lag(v) over o as a, lead(v) over o as b from sig window o as (partition by rec, ch order by t))
+select rec, ch, t, {r('v')} as v from w where v > a and v > b and v >= 0.1""", "sig")
+def array_peak_candidates(spark, sf_dir):
+    x = S.array_peak_candidates(emb_arrays(spark, sf_dir), 0.1)
+    return rounded(x.select("rec", "ch", F.explode("peaks").alias("p")).select("rec", "ch", "p.t", "p.v"), "v")
+
+
 # Stimulus periods: the stimulus is above 0.2 on channel 19
 
 
