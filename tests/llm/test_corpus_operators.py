@@ -113,6 +113,32 @@ def test_packing_plan_is_gapless_and_tight(counts):
     assert -(-total // 24) <= bins <= 1.5 * max(total / 24, sum(c for n, c in counts.items() if n > 12)) + 2
 
 
+def best_fit_count(counts, capacity):
+    """Sequences that the method opens when it places one piece at a time."""
+    pieces, rooms = sorted(Counter(counts).elements(), reverse=True), []
+    large = [n for n in pieces if 3 * n > capacity]
+    while large:
+        n = large.pop(0)
+        mate = next((m for m in large if m <= capacity - n), 0)  # the longest that fits
+        if mate:
+            large.remove(mate)
+        rooms.append(capacity - n - mate)
+    for n in (n for n in pieces if 3 * n <= capacity):
+        fits = [k for k, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(6, 40).flatmap(lambda c: st.tuples(st.just(c), st.dictionaries(st.integers(1, c), st.integers(0, 12), max_size=12))))
+def test_packing_plan_opens_as_many_sequences_as_piece_by_piece(case):
+    capacity, counts = case
+    assert check_plan(counts, capacity) == best_fit_count(counts, capacity)
+
+
 def test_large_pieces_pair_optimally():
     assert check_plan({13: 4, 11: 4, 12: 3}, 24) == 6
 

@@ -76,10 +76,15 @@ def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, i
             first, there = gaps[room].pop()
             if not gaps[room]:
                 del gaps[room], rooms[at]
-            k = min(left[n], there)
-            put(n, k, first, capacity - room)
-            opened(room, first + k, there - k)
-            opened(room - n, first, k)
+            full, rest = divmod(left[n], room // n)  # a sequence that took one is the fullest with room until it can't take more
+            full, rest = (there, 0) if full >= there else (full, rest)
+            for j in range(room // n):
+                if k := full + (j < rest):
+                    put(n, k, first, capacity - room + j * n)
+            opened(room, first + full + (rest > 0), there - full - (rest > 0))
+            opened(room % n, first, full)
+            if rest:
+                opened(room - rest * n, first + full, 1)
         if c := left[n]:
             each = capacity // n
             full, rest = divmod(c, each)
