@@ -1,5 +1,7 @@
 """The modelling queries take whole feature vectors."""
 
+from pyspark.sql import functions as F
+
 from wavefold.functions.learn import BoostParams
 from wavefold.plans import model_queries as q, registry
 
@@ -15,3 +17,9 @@ def test_models_see_every_feature(spark, monkeypatch):
         got.setdefault(r.config, set()).add(r.feature)
     assert {c: len(got[c]) for c in LENGTHS} == LENGTHS and len(got[2]) > 12
     assert all(f == set(range(len(f))) for f in got.values())
+
+
+def test_configurations_are_numbered_combiner_by_combiner(spark):
+    size = {r.config: r.n for r in q._configs(spark, DATA).groupBy("config").agg(F.max(F.size("features")).alias("n")).collect()}
+    assert sorted(size) == list(range(1, 16)) and all(size[k] == size[(k - 1) % 3 + 1] for k in size)
+    assert {c: size[c] for c in LENGTHS} == LENGTHS and size[2] > 12
