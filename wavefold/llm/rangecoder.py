@@ -74,35 +74,38 @@ class _Models:
     def __init__(self, lanes: int, table: Table):
         self.part, self.full, self.all = table.part, _W(table.bits), _W(1 << table.weight_bits)
         self.down1, self.down2 = _W(16 - table.weight_bits), _W(32 - table.weight_bits)
-        self.slots1, self.slots2 = np.zeros(lanes << SLOT_BITS, _W), np.zeros(lanes << SLOT_BITS, _W)
+        self.slots = np.zeros(2 * lanes << SLOT_BITS, _W)  # all of order 1, then all of order 2
         self.weights = np.tile(np.concatenate([_FIRST, _FIRST]), lanes)
         self.before, self.hash1 = np.zeros(lanes, _W), np.zeros(lanes, _W)
-        self.base, self.rows = np.arange(lanes, dtype=np.int64) << SLOT_BITS, np.arange(lanes, dtype=np.int64) << 5
+        self.base, self.rows = (np.arange(2 * lanes) << SLOT_BITS).reshape(2, lanes), np.arange(lanes) << 5
 
     def predict(self, n: int):
-        """What learn() needs, the weight of order 0, and where the ids that orders 2 and 1 name end, out of the total."""
-        h, base = self.hash1[:n], self.base[:n]
-        s1 = (h >> _W(32 - SLOT_BITS)) + base
-        s2 = ((h + self.before[:n]) * _W(0x85EBCA77) >> _W(32 - SLOT_BITS)) + base
-        e1, e2 = self.slots1.take(s1), self.slots2.take(s2)
-        c1, c2 = e1 >> _2, e2 >> _2
-        row = ((e2 & _3) << _2) + (e1 & _3) + ((c1 == c2).astype(_W) << _W(4)) + self.rows[:n]
-        w = self.weights.take(row)
+        """What learn() needs, the ids that orders 1 and 2 name, the weight of order 0, and where the ids of orders 2 and 1 end,
+        out of the total."""
+        h = self.hash1[:n]
+        hashes = np.empty((2, n), _W)
+        hashes[0] = h
+        np.multiply(h + self.before[:n], _W(0x85EBCA77), out=hashes[1])
+        slot = (hashes >> _W(32 - SLOT_BITS)) + self.base[:, :n]
+        e = self.slots.take(slot, mode="clip")
+        named, sure = e >> _2, e & _3
+        c1, c2 = named
+        row = ((sure[1] << _2) + sure[0] + ((c1 == c2).view(np.uint8) << np.uint8(4))) + self.rows[:n]
+        w = self.weights.take(row, mode="clip")
         w2, w1 = w >> self.down2, (w & _W(0xFFFF)) >> self.down1
         w0 = self.all - w2 - w1
-        end2 = (w2 << self.full) + w0 * self.part.take(c2)
-        end1 = end2 + (w1 << self.full) + w0 * self.part.take(c1)
-        return (s1, s2, e1, e2, row, w), c1, c2, w0, end2, end1, end1 + (w0 << self.full)
-
-    def learn(self, x: np.ndarray, is1: np.ndarray, is2: np.ndarray, made) -> None:
-        """x: the ids' numbers; is1, is2: which of them orders 1 and 2 named."""
-        (s1, s2, e1, e2, row, w), n = made, len(x)
-        new = x << _2
-        self.slots1[s1] = np.where(is1, np.minimum(e1 + _W(1), e1 | _3), new)
-        self.slots2[s2] = np.where(is2, np.minimum(e2 + _W(1), e2 | _3), new)
-        self.weights[row] = w - ((w >> _5) & _KEEP) + np.where(is2, _RIGHT2, np.where(is1, _RIGHT1, _WRONG))
+        p1, p2 = self.part.take(named, mode="clip")
+        end2 = (w2 << self.full) + w0 * p2
+        end1 = end2 + (w1 << self.full) + w0 * p1
+        return (slot, e, sure, row, w), named, w0, end2, end1, end1 + (w0 << self.full)
+
+    def learn(self, x: np.ndarray, right: np.ndarray, made) -> None:
+        """x: the ids' numbers; right: which of them order 1 named, and which order 2."""
+        (slot, e, sure, row, w), n = made, len(x)
+        self.slots[slot] = np.where(right, e + (sure != _3), x << _2)
+        self.weights[row] = w - ((w >> _5) & _KEEP) + np.where(right[1], _RIGHT2, np.where(right[0], _RIGHT1, _WRONG))
         self.before[:n] = self.hash1[:n]
-        self.hash1[:n] = x * _W(0x9E3779B1)
+        np.multiply(x, _W(0x9E3779B1), out=self.hash1[:n])
 
 
 def _lengths(n: int) -> list[int]:
@@ -110,13 +113,12 @@ def _lengths(n: int) -> list[int]:
     return [BLOCK] * (n // BLOCK) + ([n % BLOCK] if n % BLOCK else [])
 
 
-def _carry(words: np.ndarray, lane: int, at: int) -> None:
-    """Adds one to the words before `at`."""
-    at -= 1
-    words[lane, at] += _W(1)
-    while not words[lane, at]:
-        at -= 1
-        words[lane, at] += _W(1)
+def _carry(words: np.ndarray, at: np.ndarray) -> None:
+    """Adds one to the words before `at`, which are of different lanes."""
+    while len(at):
+        at = at - 1
+        words[at] += _W(1)
+        at = at[words[at] == 0]
 
 
 def encode(ids: np.ndarray) -> tuple[Table, list[tuple[int, int, bytes]]]:
@@ -131,37 +133,41 @@ def encode(ids: np.ndarray) -> tuple[Table, list[tuple[int, int, bytes]]]:
     del grid, number
     models = _Models(lanes, table)
     low, wide, at = np.zeros(lanes, _U), np.full(lanes, _FULL, _U), np.zeros(lanes, np.int64)
-    words = np.zeros((lanes, BLOCK // 3 + 16), _W)
+    room = BLOCK // 3 + 16  # words of each lane, one after the other
+    words, own = np.zeros(lanes * room, _W), np.arange(lanes) * room
     for t in range(max(lengths, default=0)):
         n = lanes if t < lengths[-1] else lanes - 1
         x = columns[t, :n]
-        made, c1, c2, w0, end2, end1, total = models.predict(n)
-        is1, is2 = c1 == x, c2 == x
-        begin = np.where(is2, _W(0), np.where(is1, end2, end1 + w0 * table.begin.take(x)))
-        size = np.where(is2, end2, np.where(is1, end1 - end2, w0 * table.part.take(x)))
+        number = x.astype(np.int64)
+        made, named, w0, end2, end1, total = models.predict(n)
+        is1, is2 = right = named == x
+        begin = np.where(is2, _W(0), np.where(is1, end2, end1 + w0 * table.begin.take(number, mode="clip")))
+        size = np.where(is2, end2, np.where(is1, end1 - end2, w0 * table.part.take(number, mode="clip")))
         old, r = low[:n], wide[:n] // total
         new, wd = old + r * begin, r * size
-        for k in np.flatnonzero(new < old).tolist():
-            _carry(words, k, at[k])
-        out = np.flatnonzero(wd <= _U(0xFFFFFFFF))
+        over = (new < old).nonzero()[0]
+        if len(over):
+            _carry(words, own.take(over) + at.take(over))
+        out = (wd <= _FULL >> _32).nonzero()[0]
         if len(out):
-            own, to = new[out], at[out]
-            if int(to.max()) + 2 > words.shape[1]:
-                words = np.pad(words, ((0, 0), (0, words.shape[1])))
-            words[out, to] = own >> _32
+            low_, to = new.take(out), at.take(out)
+            if t % 16 == 0 and int(at.max()) + 18 > room:
+                words = np.pad(words.reshape(lanes, room), ((0, 0), (0, room))).ravel()
+                room *= 2
+                own = np.arange(lanes) * room
+            words[own.take(out) + to] = low_ >> _32
             at[out] = to + 1
-            new[out] = own << _32
+            new[out] = low_ << _32
             wd[out] <<= _32
         low[:n], wide[:n] = new, wd
-        models.learn(x, is1, is2, made)
-    words = np.pad(words, ((0, 0), (0, 1)))
-    up = (low >> _32) + ((low & _U(0xFFFFFFFF)) != 0)  # the first multiple of a word in the last range; zeros follow it
-    for k in np.flatnonzero(up >> _32).tolist():
-        _carry(words, k, at[k])
-    words[np.arange(lanes), at] = up.astype(_W)
+        models.learn(x, right, made)
+    up = (low >> _32) + ((low & _FULL >> _32) != 0)  # the first multiple of a word in the last range; zeros follow it
+    over = (up >> _32).nonzero()[0]
+    _carry(words, own[over] + at[over])
+    words[own + at] = up.astype(_W)
     raw = memoryview(ids).cast("B")
     begins = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-    return table, [(n, zlib.crc32(raw[4 * b : 4 * (b + n)]), words[k, :end].tobytes()) for k, (n, b, end) in enumerate(zip(lengths, begins, (at + 1).tolist(), strict=False))]
+    return table, [(n, zlib.crc32(raw[4 * b : 4 * (b + n)]), words[k : k + end].tobytes()) for n, b, k, end in zip(lengths, begins, own.tolist(), (at + 1).tolist(), strict=False)]
 
 
 def decode(table: Table, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
@@ -170,38 +176,41 @@ def decode(table: Table, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     if not lanes:
         return np.empty(0, "<u4")
     lengths = [b[0] for b in blocks]
-    words = np.zeros((lanes, max(len(b[2]) for b in blocks) // 4 + 2), _W)
+    if set(lengths[:-1]) - {lengths[0]} or lengths[-1] > lengths[0]:
+        raise ValueError("the blocks' sizes don't hold")
+    room = max(len(b[2]) for b in blocks) // 4 + 2
+    words, own = np.zeros((lanes, room), _W), np.arange(lanes) * room
     for k, b in enumerate(blocks):
         words[k, : len(b[2]) // 4] = np.frombuffer(b[2], "<u4")
-    named = np.repeat(np.arange(len(table.symbols), dtype=_W), table.part.astype(np.int64))
+    code, wide, at = (words[:, 0].astype(_U) << _32) | words[:, 1], np.full(lanes, _FULL, _U), own + 2
+    words, last = words.ravel(), own + room - 1
+    place = np.repeat(np.arange(len(table.symbols), dtype=_W), table.part.astype(np.int64))
     columns = np.zeros((max(lengths), lanes), _W)
     models = _Models(lanes, table)
-    code, wide, at = (words[:, 0].astype(_U) << _32) | words[:, 1], np.full(lanes, _FULL, _U), np.full(lanes, 2)
-    last = words.shape[1] - 1
     for t in range(max(lengths)):
         n = lanes if t < lengths[-1] else lanes - 1
-        made, c1, c2, w0, end2, end1, total = models.predict(n)
-        r, own = wide[:n] // total, code[:n]
-        v = np.minimum(own // r, total - _W(1)).astype(_W)
-        is2 = v < end2
-        rest = np.flatnonzero(v >= end1)
-        x, begin = np.where(is2, c2, c1), np.where(is2, _W(0), end2)
-        size = np.where(is2, end2, end1 - end2)
-        w, edge = w0.take(rest), end1.take(rest)
-        y = named.take((v.take(rest) - edge) // w)
-        x[rest], begin[rest], size[rest] = y, edge + w * table.begin.take(y), w * table.part.take(y)
-        code[:n], wide[:n] = own - r * begin, r * size
-        out = np.flatnonzero(wide[:n] <= _U(0xFFFFFFFF))
+        made, (c1, c2), w0, end2, end1, total = models.predict(n)
+        r, low = wide[:n] // total, code[:n]
+        v = np.minimum(low // r, total - _W(1)).astype(_W)
+        is2, is1 = v < end2, v < end1
+        # Below 2^53 a quotient of doubles, cut, is that of whole numbers; where order 0 isn't asked any place will do.
+        y = place.take(((v - end1) / w0).astype(np.int64), mode="clip")
+        number = y.astype(np.int64)
+        x = np.where(is2, c2, np.where(is1, c1, y))
+        begin = np.where(is2, _W(0), np.where(is1, end2, end1 + w0 * table.begin.take(number, mode="clip")))
+        size = np.where(is2, end2, np.where(is1, end1 - end2, w0 * table.part.take(number, mode="clip")))
+        low -= r * begin
+        wd = r * size
+        out = (wd <= _FULL >> _32).nonzero()[0]
         if len(out):
-            to = at[out]
-            code[out] = (code[out] << _32) | words[out, np.minimum(to, last)]
-            wide[out] <<= _32
+            to = at.take(out)
+            low[out] = (low.take(out) << _32) | words.take(np.minimum(to, last.take(out)))
+            wd[out] <<= _32
             at[out] = to + 1
-        models.learn(x, c1 == x, c2 == x, made)
+        wide[:n] = wd
         columns[t, :n] = x
-    flat = np.ascontiguousarray(columns.T)
-    del columns
-    out = table.symbols.astype("<u4").take(np.concatenate([flat[k, :n] for k, n in enumerate(lengths)]))
+        models.learn(x, made[1] >> _2 == x, made)
+    out = table.symbols.astype("<u4").take(columns.T, mode="clip").ravel()[: sum(lengths)]
     raw, at_ = memoryview(out).cast("B"), 0
     for n, crc, _ in blocks:
         if zlib.crc32(raw[4 * at_ : 4 * (at_ + n)]) != crc:

@@ -6,13 +6,12 @@ library's BPE model; all others through its whole chain. Texts that hold an adde
 it splits there first. Files with another chain than the two known here are encoded text by text.
 
 Texts of Latin script take a shorter way, a slice of them at once: they are cut into words (runs of letters, digits or
-others, contractions, and white space where it gives ids) by the classes of their bytes, equal words are found by
-their hashes and told apart by their bytes, and the ids are gathered from a pool.
+others, contractions, and white space where it gives ids) by the classes of their bytes, words that are known are found
+by their hashes in a table and told apart by their bytes, and the ids are gathered from a pool.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 
@@ -29,14 +28,17 @@ _WS, _NS = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _LATIN = re.compile(r" ?[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+\Z")
 _L, _N = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]", r"[0-9]"
 _OTHER = r"[^\sA-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff0-9]"
-#: What a text of Latin script doesn't hold.
-_NOT_LATIN = re.compile(r"[^\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+#: The bytes of texts of Latin script: their letters beyond ASCII begin with 0xC3, and no other text has these bytes alone.
+_LATIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))])
 _SHORT = r"'s|'t|'re|'ve|'m|'ll|'d"
 _SHORT_BYTES = re.compile(_SHORT.encode())
 #: Classes of bytes: 0 white space and the zero byte, 1 letters (bytes beyond ASCII are parts of letters here), 2 digits, 3 others.
-_CLASS = np.array([0 if b in b"\0 \t\n\v\f\r" else 1 if chr(b).isalpha() or b > 127 else 2 if chr(b).isdigit() else 3 for b in range(256)], np.int8)
-_SMALL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_CLASS = bytes(0 if b in b"\0 \t\n\v\f\r" else 1 if chr(b).isalpha() or b > 127 else 2 if chr(b).isdigit() else 3 for b in range(256))
+_SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = 1 << 18
+#: Words of more bytes are found by a dictionary.
+_LONG = 48
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -119,11 +121,15 @@ class Encoder:
             return [self._one(t) if t else b"" for t in texts]
         uncut = {k for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
         out = [self._one(t) if k in uncut else b"" for k, t in enumerate(texts)]
-        own, latin = [], []
+        own, latin, raws = [], [], []
         for k, t in enumerate(texts):
             if t and k not in uncut:
-                (own if _NOT_LATIN.search(t) else latin).append(k)
-        for k, ids in zip(latin, self._latin([texts[k] for k in latin]) if latin else [], strict=True):
+                if (raw := t.encode("utf-8", "surrogatepass")).translate(None, _LATIN_BYTES):
+                    own.append(k)
+                else:
+                    latin.append(k)
+                    raws.append(raw)
+        for k, ids in zip(latin, self._latin(raws) if latin else [], strict=True):
             out[k] = ids
         if own:
             cut = [self._pieces(texts[k]) for k in own]
@@ -135,35 +141,41 @@ class Encoder:
                 out[k] = b"".join(map(self.memory.__getitem__, c))
         return out
 
-    def _latin(self, texts: list[str]) -> list[bytes]:
-        raws = [t.encode() for t in texts]
+    def _latin(self, raws: list[bytes]) -> list[bytes]:
         raw, first = np.frombuffer(b"\0".join([*raws, b""]), np.uint8), np.cumsum([0, *(len(r) + 1 for r in raws)])
         if self.plain:
             raw = _small(raw)
         start, end = (_words if self.plain else _words_and_spaces)(raw)
-        hashes, at, k = [np.empty(0, np.uint64)], 0, 0
+        if self.pool.count >= POOL_ENTRIES:
+            self.pool = _Pool()
+        parts, ends, k, total = [], [np.zeros(1, np.int64)], 0, 0
         while k < len(start):  # some bytes at a time
             to = max(k + 1, int(np.searchsorted(start, start[k] + _STEP)))
             at = int(start[k])
-            hashes.append(run_hashes(raw[at : int(end[to - 1])], start[k:to] - at, end[k:to] - at))
-            k = to
-        one, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)[1:]
-        flat = raw.tobytes()
-        if not _equal(raw, start, end, one, inverse):  # two words of one hash
-            known: dict[bytes, int] = {}
-            inverse = np.array([known.setdefault(flat[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
-            one = np.unique(inverse, return_index=True)[1]
-        if len(self.pool.slot) >= POOL_ENTRIES:
-            self.pool = _Pool()
-        words = [flat[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+            ids, own = self.pool.gather(self._slots(raw[at : int(end[to - 1])], start[k:to] - at, end[k:to] - at))
+            parts.append(ids)
+            ends.append(own + total)
+            k, total = to, total + len(ids)
+        cuts = (4 * np.concatenate(ends)[np.searchsorted(start, first)]).tolist()
+        flat = b"".join(parts)
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _slots(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The pool's slots of words; those it doesn't hold are encoded and added."""
+        words = _Cut(raw, start, end)
         slots = self.pool.find(words)
         if len(new := np.flatnonzero(slots < 0)):
-            fresh = [words[k] for k in new.tolist()]
-            slots[new] = self.pool.add(fresh, *self._encoded(fresh))
-        ids, ends = self.pool.gather(slots[inverse])
-        cuts = (4 * np.concatenate([[0], ends])[np.searchsorted(start, first)]).tolist()
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            flat = raw.tobytes()
+            texts = [flat[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            fresh: dict[bytes, int] = {}  # to where the word comes first
+            for k, w in zip(new.tolist(), texts, strict=True):
+                if w not in self.pool.apart:
+                    fresh.setdefault(w, k)
+            known = self.pool.apart
+            if fresh:
+                known = known | dict(zip(fresh, self.pool.add(words, fresh, *self._encoded(list(fresh))), strict=True))
+            slots[new] = [known[w] for w in texts]
+        return slots
 
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and how many each has. White space goes through the library's whole chain."""
@@ -181,28 +193,21 @@ class Encoder:
         return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each])
 
 
-def _equal(raw: np.ndarray, start: np.ndarray, end: np.ndarray, one: np.ndarray, inverse: np.ndarray) -> bool:
-    """Whether words of one hash (`inverse` numbers it, `one` names its first word) are the same. Up to eight bytes a hash
-    has one word of each size; of longer words all bytes are compared."""
-    size = end - start
-    if not np.array_equal(size, size[one][inverse]):
-        return False
-    words = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
-    more = np.flatnonzero(size > 8)
-    at, to, left = start[more], start[one[inverse[more]]], size[more]
-    at, to, left = at[at != to], to[at != to], left[at != to]
-    while len(at):
-        apart = words[at] ^ words[to]
-        if (np.where(left < 8, apart << (64 - 8 * np.minimum(left, 7)).astype(np.uint64), apart) != 0).any():
-            return False
-        on = left > 8
-        at, to, left = at[on] + 8, to[on] + 8, left[on] - 8
-    return True
+class _Cut:
+    """Words of a run of bytes: their sizes and hashes, and their bytes eight at a time."""
+
+    def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.start, self.size, self.hash = start, end - start, run_hashes(raw, start, end)
+        self.words = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+    def eight(self, which: np.ndarray | slice, k: int) -> np.ndarray:
+        """The k-th eight bytes of some words that have so many; zeros stand after a word's end."""
+        return self.words[self.start[which] + 8 * k] & _MASKS[np.minimum(self.size[which] - 8 * k, 8)]
 
 
 def _small(raw: np.ndarray) -> np.ndarray:
     """Bytes of a Latin text with its letters made small: A to Z, and those whose second byte in UTF-8 is 0x80 to 0x9E."""
-    out = _SMALL[raw]
+    out = np.frombuffer(bytearray(raw).translate(_SMALL), np.uint8)
     second = np.flatnonzero(raw[:-1] == 0xC3) + 1
     out[second] += np.where((raw[second] <= 0x9E), np.uint8(0x20), np.uint8(0))
     return out
@@ -210,8 +215,8 @@ def _small(raw: np.ndarray) -> np.ndarray:
 
 def _begins(raw: np.ndarray, single_digits: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where words of a Latin text begin, white space before them aside; the bytes' classes and those of the bytes before."""
-    kind = _CLASS[raw]
-    before = np.concatenate([[0], kind[:-1]])
+    kind = np.frombuffer(raw.tobytes().translate(_CLASS), np.int8)
+    before = np.concatenate([np.zeros(1, np.int8), kind[:-1]])
     begins = (kind != 0) & ((kind != before) | (kind == 2) & single_digits)
     # A contraction is a word if a word can begin there; letters after it are the next one.
     if spans := [m.span() for m in _SHORT_BYTES.finditer(raw.tobytes())]:
@@ -229,22 +234,24 @@ def _begins(raw: np.ndarray, single_digits: bool) -> tuple[np.ndarray, np.ndarra
 def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of Latin texts in small letters, each with a zero byte after it, begin and end; digits stand alone."""
     begins, kind, _ = _begins(raw, True)
-    start = np.flatnonzero(begins)
-    # A word ends where the next begins or white space does.
+    return _to_edges(begins, kind)
+
+
+def _to_edges(begins: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end: a word ends where the next begins or white space does."""
     edge = np.flatnonzero(begins | (kind == 0))
-    return start, np.append(edge, len(raw))[np.searchsorted(edge, start) + 1]
+    own = np.flatnonzero(begins[edge])
+    return edge[own], np.append(edge, len(kind))[own + 1]
 
 
 def _words_and_spaces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same where white space counts: a word takes the space before it; of other white space, all before a word but the
     last character is one word, and so is the last, if the word doesn't take it; before a text's end all of it is one."""
     begins, kind, before = _begins(raw, False)
-    word = np.flatnonzero(begins)
+    word, end = _to_edges(begins, kind)
     blank = (kind == 0) & (raw != 0)
     took = (word > 0) & (raw[word - 1] == 32)
     start = word - took
-    edge = np.flatnonzero(begins | (kind == 0))
-    end = np.append(edge, len(raw))[np.searchsorted(edge, word) + 1]
     # Runs of white space: from p, to q.
     sides = np.diff(np.concatenate([[0], blank.view(np.int8), [0]]))
     p, q = np.flatnonzero(sides == 1), np.flatnonzero(sides == -1)
@@ -258,28 +265,77 @@ def _words_and_spaces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Pool:
-    """Ids of words, one after the other in one array."""
+    """Ids of words, one after the other in one array. A table by hashes, each in the first free place from its own on, names
+    a word's slot, which keeps the word's bytes. Long words and those whose hash another word has are in a dictionary."""
 
     def __init__(self):
-        self.slot: dict[bytes, int] = {}
+        self.count, self.apart = 0, {}
+        self.table, self.bits = np.full(1 << 16, -1, np.int32), 16
+        self.hash, self.length, self.bytes = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros((_LONG // 8, 1 << 14), np.uint64)
         self.ids, self.begin, self.size, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def find(self, words: list[bytes]) -> np.ndarray:
-        """Each word's slot; -1 where there is none."""
-        return np.fromiter(map(self.slot.get, words, itertools.repeat(-1)), np.int64, len(words))
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, words: _Cut) -> np.ndarray:
+        """Each word's slot by the table; -1 where there is none."""
+        at = self._place(words.hash)
+        slots = self.table.take(at).astype(np.int64)
+        # The last slot stands for none here.
+        on = np.flatnonzero((self.hash.take(slots, mode="wrap") != words.hash) & (slots >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & ((1 << self.bits) - 1)
+            slots[on] = own = self.table[at[on]]
+            on = on[(own >= 0) & (self.hash[own] != words.hash[on])]
+        same = (self.length.take(slots, mode="wrap") == words.size) & (self.bytes[0].take(slots, mode="wrap") == words.eight(slice(None), 0))
+        more = np.flatnonzero(same & (slots >= 0) & (words.size > 8))
+        for k in range(1, _LONG // 8):
+            if not len(more):
+                break
+            equal = self.bytes[k].take(slots[more]) == words.eight(more, k)
+            same[more[~equal]] = False
+            more = more[equal & (words.size[more] > 8 * k + 8)]
+        slots[~same] = -1
+        return slots
 
-    def add(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """New words with their ids; gives their slots."""
-        slots, n = np.arange(len(self.slot), len(self.slot) + len(words)), len(self.slot) + len(words)
+    def add(self, words: _Cut, new: dict[bytes, int], flat: np.ndarray, sizes: np.ndarray) -> list[int]:
+        """New words, and where each is among `words`, with their ids; gives their slots."""
+        at, n = np.fromiter(new.values(), np.int64, len(new)), self.count + len(new)
+        slots = np.arange(self.count, n)
         while n > len(self.begin):
-            self.begin, self.size = np.pad(self.begin, (0, len(self.begin))), np.pad(self.size, (0, len(self.size)))
+            self.begin, self.size, self.hash, self.length = (np.pad(x, (0, len(x))) for x in (self.begin, self.size, self.hash, self.length))
+            self.bytes = np.pad(self.bytes, ((0, 0), (0, self.bytes.shape[1])))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.pad(self.ids, (0, len(self.ids)))
         self.ids[self.used : self.used + len(flat)] = flat
         self.begin[slots], self.size[slots] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(flat)
-        self.slot.update(zip(words, slots.tolist(), strict=True))
-        return slots
+        self.count = n
+        self.hash[slots], self.length[slots] = words.hash[at], words.size[at]
+        for k in range(_LONG // 8):
+            more = np.flatnonzero(self.length[slots] > 8 * k) if k else slice(None)
+            self.bytes[k, slots[more]] = words.eight(at[more], k)
+        if 2 * n > len(self.table):
+            old = self.table[self.table >= 0].astype(np.int64)
+            self.bits = (4 * n).bit_length()
+            self.table = np.full(1 << self.bits, -1, np.int32)
+            self._insert(old)
+        left = set(slots[self.length[slots] > _LONG].tolist()) | set(self._insert(slots[self.length[slots] <= _LONG]))
+        if left:
+            self.apart.update((w, k) for w, k in zip(new, slots.tolist(), strict=True) if k in left)
+        return slots.tolist()
+
+    def _insert(self, slots: np.ndarray) -> list[int]:
+        """Enters slots into the table, but for those whose hash it holds; gives these."""
+        at, own, left = self._place(self.hash[slots]), slots, []
+        while len(own):
+            free = self.table[at] < 0
+            self.table[at[free]] = own[free]  # of several the last one stays
+            there = self.table[at]
+            left += own[(there != own) & (self.hash[there] == self.hash[own])].tolist()
+            on = (there != own) & (self.hash[there] != self.hash[own])
+            at, own = (at[on] + 1) & ((1 << self.bits) - 1), own[on]
+        return left
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and where each word's end."""
