@@ -67,12 +67,12 @@ def register_table_function(spark: SparkSession, name: str, generate: Callable[.
 
 
 def window_targets(arrays: DataFrame, misc: list[int], length: int, last_only: bool = True, by: str = "rec") -> DataFrame:
-    """arrays (rec, ch, samples) -> rec, seg, samples (channels that aren't misc, in order of ch), target.
+    """arrays (rec, ch, samples) -> rec, seg, samples (channels that aren't misc, in order of ch), target, misc (whose target each is).
 
     Windows of `length` samples without the incomplete last one, as float. target has, of each misc channel in order of ch, the
     window's last value, or with last_only=False the array of all its values. Channels are cut to the shortest of their
-    recording; a recording without misc channels has an empty target, one without other channels empty samples, one shorter
-    than a window no rows.
+    recording; a recording without misc channels has an empty target and misc, one without other channels empty samples, one
+    shorter than a window no rows.
     """
     one = arrays.where(F.col("samples").isNotNull() & F.col("ch").isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ch", F.col("samples").cast("array<float>").alias("samples")))).alias("_c"))
     size = F.array_min(F.transform("_c", lambda c: F.size(c.samples)))
@@ -82,7 +82,7 @@ def window_targets(arrays: DataFrame, misc: list[int], length: int, last_only: b
     kind = lambda c: c.ch.isin(misc) if misc else F.lit(False)
     part = lambda c: F.slice(c.samples, F.col("seg") * length + 1, F.lit(length))
     target = F.transform(F.filter("_c", kind), (lambda c: part(c)[length - 1]) if last_only else part)
-    return cut.select(by, F.col("seg").cast("long").alias("seg"), F.transform(F.filter("_c", lambda c: ~kind(c)), part).alias("samples"), target.alias("target"))
+    return cut.select(by, F.col("seg").cast("long").alias("seg"), F.transform(F.filter("_c", lambda c: ~kind(c)), part).alias("samples"), target.alias("target"), F.transform(F.filter("_c", kind), lambda c: c.ch).alias("misc"))
 
 
 def check_targets(names: str | list[str] | tuple[str, ...] | None, columns: list[str]) -> tuple[list[str], list[str]]:

@@ -52,7 +52,9 @@ x as (select rec, seg, {r('sum(v::double * (ch + 1) * (i + 1))', 3)} as weighted
 y as (select rec, seg, {r('max(v) filter (where ch = 18 and i = 15)::double')} as first_target, {r('max(v) filter (where ch = 19 and i = 15)::double')} as second_target from w group by rec, seg)
 select * from x join y using (rec, seg)""", "sig")
 def misc_targets(spark, sf_dir):
-    w = X.window_targets(emb_arrays(spark, sf_dir), [18, 19], 16)
+    """A recording that lacks a misc channel has no target of it; one without other channels has no rows."""
+    w = X.window_targets(emb_arrays(spark, sf_dir), [18, 19], 16).where(F.size("samples") > 0)
+    own = lambda ch: F.get("target", F.array_position("misc", ch).cast("int") - 1).cast("double")
     total = F.aggregate(F.flatten(F.transform("samples", lambda x, c: F.transform(x, lambda v, i: v.cast("double") * (c + 1) * (i + 1)))), F.lit(0.0), lambda s, v: s + v)
-    out = w.select("rec", "seg", total.alias("weighted"), F.size(F.flatten("samples")).cast("long").alias("n"), F.col("target")[0].cast("double").alias("first_target"), F.try_element_at("target", F.lit(2)).cast("double").alias("second_target"))
+    out = w.select("rec", "seg", total.alias("weighted"), F.size(F.flatten("samples")).cast("long").alias("n"), own(18).alias("first_target"), own(19).alias("second_target"))
     return rounded(rounded(out, "weighted", digits=3), "first_target", "second_target")
