@@ -59,10 +59,16 @@ def _plus(w: float):
     return lambda a, b: a + b * w
 
 
-def montage_arrays(arrays: DataFrame, name: str) -> DataFrame:
+def montage_arrays(arrays: DataFrame, name: str, partial: bool = False) -> DataFrame:
     """The same from rec, ch, samples to rec, out_ch, samples: one shuffle by recording, of arrays and not of samples.
-    Recordings without all EEG channels have no rows."""
-    rows = arrays.where(F.col("ch") < EEG).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("ch", "samples"))).alias("_c")).where(F.size("_c") == EEG)
+    Recordings without all EEG channels have no rows, but with `partial` the average of CAR is that of the channels which have
+    a sample, and those that are there come out."""
+    rows = arrays.where(F.col("ch") < EEG).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("ch", "samples"))).alias("_c"))
+    if partial:
+        if name != "CAR":
+            raise ValueError(f"{name} needs all channels")
+        return _partial_average(rows)
+    rows = rows.where(F.size("_c") == EEG)
     x = rows.select("rec", F.transform("_c", lambda c: c.samples).alias("_x"))
     at = lambda k: F.col("_x")[k]
     if name == "CAR":
@@ -80,6 +86,17 @@ def montage_arrays(arrays: DataFrame, name: str) -> DataFrame:
     return x.select("rec", F.posexplode(F.array(*outs)).alias("out_ch", "samples")).select("rec", F.col("out_ch").cast("long").alias("out_ch"), "samples")
 
 
+def _partial_average(rows: DataFrame) -> DataFrame:
+    """rows (rec, _c: ch and samples of each channel) less the mean of the channels at each sample."""
+    x = F.transform("_c", lambda c: c.samples)
+    at = lambda t: F.filter(F.transform("_x", lambda c: F.get(c, t)), lambda v: v.isNotNull())
+    long = F.array_max(F.transform("_x", lambda c: F.size(c)))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(a), F.lit(0))
+    means = F.transform(F.transform(F.sequence(F.lit(0), long - 1), at), mean)
+    own = rows.withColumn("_x", x).withColumn("_m", F.when(long > 0, means).otherwise(F.array().cast("array<double>"))).select("rec", "_m", F.inline("_c"))
+    return own.select("rec", F.col("ch").cast("long").alias("out_ch"), F.transform("samples", lambda v, t: v - F.get("_m", t)).alias("samples"))
+
+
 def array_segments(arrays: DataFrame, length: int) -> DataFrame:
     """Adds seg and cuts samples to it; a signal shorter than one window is one segment."""
     n = F.size("samples")
