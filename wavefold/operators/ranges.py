@@ -27,7 +27,8 @@ def _joined(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inne
 
 def cut(rows: DataFrame, by: list[str], order: str, descending: bool = False, size: int | None = None) -> DataFrame:
     """Adds _part, the number of the range in the group, ascending in the order; equal values are in one range, nulls in the
-    first (the last, if descending). The rows are stored, as they are read for the cuts, the sums and the result."""
+    first (the last, if descending). The rows are stored, as they are read for the cuts, the sums and the result, and so are the
+    cuts: approximate quantiles hang on the order in which rows come, and one result must not rest on two of them."""
     size, most = size or SIZE, MOST
     rows = shared.store(rows, "ordered")
     at = F.array(*(F.lit(k / most) for k in range(1, most)))
@@ -35,6 +36,7 @@ def cut(rows: DataFrame, by: list[str], order: str, descending: bool = False, si
     wanted = F.least(F.lit(most), F.ceil(F.col("_n") / size)).cast("int")
     chosen = F.when((wanted > 1) & F.col("_q").isNotNull(), F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))), lambda j: F.element_at("_q", (j * most / wanted).cast("int")))))
     cuts = groups.select(*by, F.coalesce(chosen, F.slice("_q", 1, 0), F.array()).alias("_cuts"))
+    cuts = shared.store(cuts, "cuts")
     below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     return _joined(rows, cuts, by).withColumn("_part", -below if descending else below).drop("_cuts")
 
