@@ -201,11 +201,17 @@ def loso_splits(rows: DataFrame, subject: str, key: str) -> DataFrame:
     return rows.select(key, subject).crossJoin(F.broadcast(subjects)).select("fold", key, F.when(F.col(subject) == F.col("fold"), "test").otherwise("train").alias("role"))
 
 
+#: Pairs of a fold and a subject that a task puts in order.
+PAIRS = 1_000_000
+
+
 def train_validation(subjects: DataFrame, subject: str, label: str, share: float = 0.3, seed: int = 0) -> DataFrame:
     """fold, subject, role: the others of a held-out subject are split by label into training and `share` validation, in
-    the order of a seeded digest."""
+    the order of a seeded digest. All subjects meet a fold where it is, and tasks have some PAIRS of both, so the pairs are
+    ordered without a shuffle."""
     folds = subjects.select(F.col(subject).alias("fold")).distinct()
-    x = subjects.select(subject, label).crossJoin(F.broadcast(folds)).where(F.col(subject) != F.col("fold"))
+    tasks = max(1, -(-folds.count() * subjects.count() // PAIRS))
+    x = folds.repartition(tasks, "fold").crossJoin(F.broadcast(subjects.select(subject, label))).where(F.col(subject) != F.col("fold"))
     order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("fold").cast("string"), F.col(subject).cast("string")))
     w = Window.partitionBy("fold", label)
     k, n = F.row_number().over(w.orderBy(order, subject)), F.count(F.lit(1)).over(w)
